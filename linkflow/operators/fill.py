@@ -35,14 +35,15 @@ def bfill(value: str, partition: Sequence[str], order: str) -> Column:
 
 
 def interpolate(value: str, partition: Sequence[str], order: str,
-                then_bfill: bool = True) -> Column:
+                then_bfill: bool = True, position: str | None = None) -> Column:
     """Linear interpolation by position (trailing gap padded), optionally then bfill.
 
     ``v = pv + (nv - pv) * (i - pi) / (ni - pi)`` where ``(pi, pv)`` is the last
     non-missing point up to the row and ``(ni, nv)`` the next one from the row on.
+    ``position`` (default: the order column) is the numeric position used.
     """
     upto, onwards = _windows(partition, order)
-    v, i = F.col(value), F.col(order)
+    v, i = F.col(value), F.col(position or order)
     known_pos = F.when(v.isNotNull(), i)
     pv = F.last(v, ignorenulls=True).over(upto)
     pi = F.last(known_pos, ignorenulls=True).over(upto)

@@ -14,50 +14,60 @@ from .registry import query, r4
 
 SLOT_SQL = "CAST((DayOfWeek - 1) * 96 + (hour(DateTime) * 60 + minute(DateTime)) // 15 AS INTEGER)"
 
-# DuckDB: per (link, slot) robust statistics on the observation adapter.
-PROFILE_CTES = [
-    ("x", f"SELECT LinkRef, {SLOT_SQL} AS slot, LinkTravelTime AS v FROM obs WHERE LinkTravelTime IS NOT NULL"),
-    ("med", "SELECT LinkRef, slot, count(*) AS n, median(v) AS median FROM x GROUP BY LinkRef, slot"),
-    ("mad", """SELECT x.LinkRef, x.slot, median(abs(x.v - m.median)) * 1.4826 AS mad
-               FROM x JOIN med m USING (LinkRef, slot) GROUP BY x.LinkRef, x.slot"""),
-    ("bounds", """SELECT m.LinkRef, m.slot, m.n, m.median, d.mad,
-                         m.median - 3.0 * d.mad AS low, m.median + 3.0 * d.mad AS upr
-                  FROM med m JOIN mad d USING (LinkRef, slot)"""),
-    ("cell", f"""SELECT b.LinkRef, b.slot, b.n, b.median, b.mad, b.low, b.upr,
-                       count(CASE WHEN x.v > b.low AND x.v < b.upr THEN 1 END) AS n_inliers,
-                       {sql_fixed_mean("CASE WHEN x.v > b.low AND x.v < b.upr THEN x.v END")} AS mean
-                FROM bounds b JOIN x USING (LinkRef, slot)
-                GROUP BY b.LinkRef, b.slot, b.n, b.median, b.mad, b.low, b.upr"""),
-    ("scale", """SELECT x.LinkRef, count(*) AS n_inliers, stddev_samp(x.v) AS scale
-                 FROM x JOIN bounds b USING (LinkRef, slot)
-                 WHERE x.v > b.low AND x.v < b.upr GROUP BY x.LinkRef"""),
-    ("links", "SELECT DISTINCT LinkRef FROM x"),
-    ("spine", "SELECT l.LinkRef, CAST(s AS INTEGER) AS slot FROM links l, generate_series(0, 671) g(s)"),
-    ("cells", """SELECT sp.LinkRef, sp.slot, c.mean, c.low, c.upr
-                 FROM spine sp LEFT JOIN cell c USING (LinkRef, slot)"""),
-]
 
 
-def _interp_sql(col: str) -> str:
-    w_up = "PARTITION BY LinkRef ORDER BY slot ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW"
-    w_on = "PARTITION BY LinkRef ORDER BY slot ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING"
+def _interp_sql(col: str, order: str = "slot") -> str:
+    w_up = f"PARTITION BY LinkRef ORDER BY {order} ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW"
+    w_on = f"PARTITION BY LinkRef ORDER BY {order} ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING"
     pv = f"last_value({col} IGNORE NULLS) OVER ({w_up})"
-    pi = f"last_value(CASE WHEN {col} IS NOT NULL THEN slot END IGNORE NULLS) OVER ({w_up})"
+    pi = f"last_value(CASE WHEN {col} IS NOT NULL THEN {order} END IGNORE NULLS) OVER ({w_up})"
     nv = f"first_value({col} IGNORE NULLS) OVER ({w_on})"
-    ni = f"first_value(CASE WHEN {col} IS NOT NULL THEN slot END IGNORE NULLS) OVER ({w_on})"
-    interp = (f"{pv} + (({nv}) - ({pv})) * CAST(slot - ({pi}) AS DOUBLE) "
+    ni = f"first_value(CASE WHEN {col} IS NOT NULL THEN {order} END IGNORE NULLS) OVER ({w_on})"
+    interp = (f"{pv} + (({nv}) - ({pv})) * CAST({order} - ({pi}) AS DOUBLE) "
               f"/ NULLIF(CAST(({ni}) - ({pi}) AS DOUBLE), 0)")
     return f"coalesce({col}, {interp}, {pv}, {nv})"
 
 
-FILLED_SQL = f"""
+def profile_ctes(source: str = "obs", p: str = "") -> list[tuple[str, str]]:
+    """DuckDB CTEs of the robust profile fitted on ``source``, names prefixed by ``p``.
+
+    ``{p}cell`` observed cells, ``{p}lscale`` per-link scale, ``{p}prof`` filled profile.
+    """
+    return [
+        (f"{p}x", f"SELECT LinkRef, {SLOT_SQL} AS slot, LinkTravelTime AS v FROM {source} "
+                  "WHERE LinkTravelTime IS NOT NULL"),
+        (f"{p}med", f"SELECT LinkRef, slot, count(*) AS n, median(v) AS median FROM {p}x GROUP BY LinkRef, slot"),
+        (f"{p}mad", f"""SELECT x.LinkRef, x.slot, median(abs(x.v - m.median)) * 1.4826 AS mad
+               FROM {p}x x JOIN {p}med m USING (LinkRef, slot) GROUP BY x.LinkRef, x.slot"""),
+        (f"{p}bounds", f"""SELECT m.LinkRef, m.slot, m.n, m.median, d.mad,
+                         m.median - 3.0 * d.mad AS low, m.median + 3.0 * d.mad AS upr
+                  FROM {p}med m JOIN {p}mad d USING (LinkRef, slot)"""),
+        (f"{p}cell", f"""SELECT b.LinkRef, b.slot, b.n, b.median, b.mad, b.low, b.upr,
+                       count(CASE WHEN x.v > b.low AND x.v < b.upr THEN 1 END) AS n_inliers,
+                       {sql_fixed_mean("CASE WHEN x.v > b.low AND x.v < b.upr THEN x.v END")} AS mean
+                FROM {p}bounds b JOIN {p}x x USING (LinkRef, slot)
+                GROUP BY b.LinkRef, b.slot, b.n, b.median, b.mad, b.low, b.upr"""),
+        (f"{p}lscale", f"""SELECT x.LinkRef, count(*) AS n_inliers, stddev_samp(x.v) AS scale
+                 FROM {p}x x JOIN {p}bounds b USING (LinkRef, slot)
+                 WHERE x.v > b.low AND x.v < b.upr GROUP BY x.LinkRef"""),
+        (f"{p}links", f"SELECT DISTINCT LinkRef FROM {p}x"),
+        (f"{p}spine", f"SELECT l.LinkRef, CAST(s AS INTEGER) AS slot FROM {p}links l, generate_series(0, 671) g(s)"),
+        (f"{p}cells", f"""SELECT sp.LinkRef, sp.slot, c.mean, c.low, c.upr
+                 FROM {p}spine sp LEFT JOIN {p}cell c USING (LinkRef, slot)"""),
+        (f"{p}prof", f"""SELECT LinkRef, slot, {_interp_sql('mean')} AS mean, {_interp_sql('low')} AS low,
+                   {_interp_sql('upr')} AS upr FROM {p}cells"""),
+    ]
+
+
+FILLED_SQL = """
     SELECT LinkRef, slot, TIMESTAMP '1970-01-01' + to_seconds(slot * 900) AS DowTimeRef,
-           {_interp_sql('mean')} AS mean, {_interp_sql('low')} AS low, {_interp_sql('upr')} AS upr
-    FROM cells"""
+           mean, low, upr FROM prof"""
 
 
-def profile_sql(select: str, extra=()) -> str:
-    return with_views(select, "obs", extra=PROFILE_CTES + list(extra))
+def profile_sql(select: str, pre=(), post=(), views=("obs",), source: str = "obs",
+                prefix: str = "") -> str:
+    """SQL with adapter views, ``pre`` CTEs, the profile CTEs on ``source``, ``post`` CTEs."""
+    return with_views(select, *views, extra=list(pre) + profile_ctes(source, prefix) + list(post))
 
 
 def obs(spark, sf_dir):
@@ -106,7 +116,7 @@ def q_seasonal_profile_filled(spark, sf_dir):
     return p.slots.select("LinkRef", "slot", "DowTimeRef", "mean", "low", "upr")
 
 
-@query("link_scale", profile_sql("SELECT LinkRef, n_inliers, round(scale, 4) AS scale FROM scale"))
+@query("link_scale", profile_sql("SELECT LinkRef, n_inliers, round(scale, 4) AS scale FROM lscale"))
 def q_link_scale(spark, sf_dir):
     p = pr.fit_profile(obs(spark, sf_dir))
     return p.scales.select("LinkRef", "n_inliers", r4("scale"))
