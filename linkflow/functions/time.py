@@ -116,7 +116,7 @@ def reference_timestamp(dow, ts, year=2007, freq="15min") -> Column:
 
 def minutes_between(start, end) -> Column:
     """Elapsed minutes (fractional) from ``start`` to ``end``."""
-    return F.timestampdiff("MICROSECOND", _c(start), _c(end)) / F.lit(60_000_000.0)
+    return F.timestamp_diff("MICROSECOND", _c(start), _c(end)).cast("double") / F.lit(60_000_000.0)
 
 
 def lead_time_bucket(log_time, departure) -> Column:
