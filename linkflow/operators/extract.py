@@ -86,7 +86,9 @@ def extract_link_travel_time(journey: DataFrame, pattern: DataFrame, point: Data
                              order: bool = False) -> DataFrame:
     """The nine-column link observation table (see module docstring)."""
     rows = journey_link_rows(journey, pattern, point, section, pattern_ids, date_from, date_to)
-    rows = join_small(rows, link_order(rows), ["LineDirectionCode", "LineDirectionLegacyOrder"])
+    # the link order has at most one row per section: the section dimension bounds it
+    rows = join_small(rows, link_order(rows), ["LineDirectionCode", "LineDirectionLegacyOrder"],
+                      bound_by=section)
     flagged = journey_flags(point_flags(rows))
     tt = F.col("RawTravelTime")
     out = flagged.where(F.col("SequenceNumber") > 1).select(

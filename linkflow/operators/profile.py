@@ -21,11 +21,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.fixed import fixed_mean
 from ..functions.time import SECONDS_PER_WEEK, freq_seconds, slot_of_week, slot_timestamp
+from ..session import materialize as materialize_table
 from .fill import interpolate
-from .joins import join_small
-from .robust import MAD_SCALE, mad_bounds, median_mad, strictly_inside
+from .robust import MAD_SCALE, robust_cells
 
 VALUE = "LinkTravelTime"
 
@@ -45,16 +44,7 @@ def slot_statistics(obs: DataFrame, freq="15min", k: float = 3.0,
                     mad_scale: float = MAD_SCALE) -> DataFrame:
     """Observed (link, slot) cells: n, median, mad, low, upr, n_inliers, mean, var."""
     x = with_time_keys(obs, freq).where(F.col(VALUE).isNotNull()).select("LinkRef", "slot", VALUE)
-    keys = ["LinkRef", "slot"]
-    bounds = mad_bounds(median_mad(x, keys, VALUE, mad_scale), k)
-    inl = strictly_inside(VALUE)
-    joined = join_small(x, bounds.select(*keys, "low", "upr"), keys)
-    moments = joined.groupBy(*keys).agg(
-        F.count(F.when(inl, F.lit(1))).alias("n_inliers"),
-        fixed_mean(F.when(inl, F.col(VALUE))).alias("mean"),
-        F.var_samp(F.when(inl, F.col(VALUE))).alias("_var"),
-    )
-    return bounds.join(moments, keys)
+    return robust_cells(x, ["LinkRef", "slot"], VALUE, k, mad_scale)
 
 
 def link_scale(slot_stats: DataFrame) -> DataFrame:
@@ -65,7 +55,7 @@ def link_scale(slot_stats: DataFrame) -> DataFrame:
         (F.sum(F.col("mean") * F.col("n_inliers")) / F.sum("n_inliers")).alias("_mu"))
     m2 = (s.join(per_link, "LinkRef")
           .groupBy("LinkRef", "_n_link")
-          .agg((F.sum(F.coalesce(F.col("_var") * (F.col("n_inliers") - 1), F.lit(0.0)))
+          .agg((F.sum(F.coalesce(F.col("var") * (F.col("n_inliers") - 1), F.lit(0.0)))
                 + F.sum(F.col("n_inliers") * (F.col("mean") - F.col("_mu")) ** 2)).alias("_m2")))
     n = F.col("_n_link")
     return m2.select("LinkRef", n.alias("n_inliers"),
@@ -101,8 +91,16 @@ class Profile:
 
 
 def fit_profile(obs: DataFrame, freq="15min", k: float = 3.0,
-                mad_scale: float = MAD_SCALE) -> Profile:
-    """Fit the seasonal profile (``fit_scale`` of the original pipeline)."""
+                mad_scale: float = MAD_SCALE, materialize: bool = True) -> Profile:
+    """Fit the seasonal profile (``fit_scale`` of the original pipeline).
+
+    The fitted cell statistics are a model: with ``materialize`` they are computed
+    once and written as a table in the shared checkpoint folder (lineage cut,
+    executor loss safe), so every later use -- lookups, outlier bands, size checks
+    -- reads the small result (links x slots rows) instead of re-running the fit.
+    """
     stats = slot_statistics(obs, freq, k, mad_scale)
-    links = obs.where(F.col(VALUE).isNotNull()).select("LinkRef").distinct()
+    if materialize:
+        stats = materialize_table(stats, "profile-cells")
+    links = stats.select("LinkRef").distinct()
     return Profile(fill_profile(stats, links, freq), link_scale(stats), stats, freq)

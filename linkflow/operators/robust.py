@@ -16,7 +16,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .joins import join_small
+from ..functions.fixed import SCALE, to_fixed
 
 MAD_SCALE = 1.4826  # consistency constant of the MAD for normal data
 
@@ -41,7 +41,7 @@ def median_mad(df: DataFrame, keys: Sequence[str], value: str,
     vc = value_counts(df, keys, value)
     med = vc.groupBy(*keys).agg(F.sum("_n").alias("n"),
                                 F.percentile(value, 0.5, F.col("_n")).alias("median"))
-    dev = (join_small(vc, med.select(*keys, "median"), keys)
+    dev = (vc.join(med.select(*keys, "median"), keys)
            .groupBy(*keys, F.abs(F.col(value) - F.col("median")).alias("_dev"))
            .agg(F.sum("_n").alias("_n")))
     mad = dev.groupBy(*keys).agg(
@@ -49,6 +49,44 @@ def median_mad(df: DataFrame, keys: Sequence[str], value: str,
     return med.join(mad, keys)
 
 
+def robust_cells(df: DataFrame, keys: Sequence[str], value: str, k: float = 3.0,
+                 mad_scale: float = MAD_SCALE) -> DataFrame:
+    """Per group: ``n, median, mad, low, upr, n_inliers, mean, var`` of the inliers.
+
+    The raw rows are read once, into the value-count table; everything else runs on
+    that compressed table (joins between per-group tables are left to AQE, which
+    broadcasts from measured sizes). Inliers are ``low < x < upr``; their mean is an
+    exact fixed-point sum of value x count; their variance comes from moments
+    shifted by the group median (numerically stable).
+    """
+    keys = list(keys)
+    vc = value_counts(df, keys, value)
+    med = vc.groupBy(*keys).agg(F.sum("_n").alias("n"),
+                                F.percentile(value, 0.5, F.col("_n")).alias("median"))
+    vm = vc.join(med.select(*keys, "median"), keys)
+    dev = (vm.groupBy(*keys, F.abs(F.col(value) - F.col("median")).alias("_dev"))
+           .agg(F.sum("_n").alias("_n")))
+    mad = dev.groupBy(*keys).agg(
+        (F.percentile("_dev", 0.5, F.col("_n")) * F.lit(mad_scale)).alias("mad"))
+    bounds = mad_bounds(med.join(mad, keys), k)
+    x = F.col(value)
+    inl = vm.join(bounds.select(*keys, "low", "upr"), keys).where(strictly_inside(value))
+    d = x - F.col("median")
+    moments = inl.groupBy(*keys).agg(
+        F.sum("_n").alias("n_inliers"),
+        F.sum(to_fixed(x) * F.col("_n")).alias("_fx"),
+        F.sum(d * F.col("_n")).alias("_s1"),
+        F.sum(d * d * F.col("_n")).alias("_s2"))
+    out = bounds.join(moments, keys, "left")
+    n_in = F.coalesce(F.col("n_inliers"), F.lit(0))
+    return out.select(
+        *keys, "n", "median", "mad", "low", "upr", n_in.alias("n_inliers"),
+        (F.col("_fx").cast("double") / F.lit(float(SCALE)) / F.col("n_inliers").cast("double"))
+        .alias("mean"),
+        F.when(n_in > 1, (F.col("_s2") - F.col("_s1") * F.col("_s1") / F.col("n_inliers"))
+               / (F.col("n_inliers") - 1)).alias("var"))
+
+
 def mad_bounds(stats: DataFrame, k: float = 3.0, floor: float | None = None) -> DataFrame:
     """Adds ``low = median - k*mad`` (optionally floored) and ``upr = median + k*mad``."""
     low = F.col("median") - F.lit(float(k)) * F.col("mad")

@@ -2,8 +2,8 @@
 
 Row-fraction splits need the row at a global position in (time, tie) order. No
 single-partition window is used: the key columns are range-sorted over all
-partitions and checkpointed to the shared folder (so later jobs see the same
-partitions even after an executor loss); per-partition counts give each
+partitions and written once to the shared checkpoint folder (so later jobs see the
+same sorted files even after an executor loss); per-partition counts give each
 partition's offset; the boundary row is then read from the one partition holding
 it by its position inside the partition (``monotonically_increasing_id`` of the
 materialised data). The split itself is a key-range predicate on the original rows.
@@ -16,7 +16,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..session import cut_lineage
+from ..session import materialize
 
 
 def _key_less(cols: Sequence[str], bound: Sequence) -> Column:
@@ -32,7 +32,7 @@ def _key_less(cols: Sequence[str], bound: Sequence) -> Column:
 def boundary_keys(df: DataFrame, order: Sequence[str], positions: Sequence[int]) -> list:
     """Key tuple of the row at each 0-based position in ``order`` (None past the end)."""
     order = list(order)
-    ordered = cut_lineage(df.select(*order).orderBy(*order))
+    ordered = materialize(df.select(*order).orderBy(*order), "ordered-keys")
     counts = {r["pid"]: r["n"] for r in
               ordered.groupBy(F.spark_partition_id().alias("pid")).agg(F.count(F.lit(1)).alias("n"))
               .collect()}

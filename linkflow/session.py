@@ -74,6 +74,19 @@ def cut_lineage(df: DataFrame, eager: bool = True) -> DataFrame:
     return df.checkpoint(eager=eager)
 
 
+def materialize(df: DataFrame, name: str = "table") -> DataFrame:
+    """Write ``df`` once as a parquet table in the shared checkpoint folder and read it back.
+
+    One job computes the data (a reliable ``checkpoint()`` of an uncached plan would
+    compute it twice); the returned DataFrame has no lineage to its inputs, survives
+    executor loss, and carries exact size statistics for the planner.
+    """
+    spark = df.sparkSession
+    path = scratch_table_path(spark, name)
+    df.write.mode("overwrite").parquet(path)
+    return spark.read.parquet(path)
+
+
 def scratch_table_path(spark: SparkSession, name: str) -> str:
     """A unique path under the shared checkpoint folder for an intermediate table."""
     base = ensure_checkpoint_dir(spark)
