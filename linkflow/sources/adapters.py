@@ -57,7 +57,8 @@ def link_dimension(events: DataFrame) -> DataFrame:
                         .alias("LineDirectionLinkOrder"))
 
 
-def link_observations(events: DataFrame) -> DataFrame:
+def link_observations(events: DataFrame, links: DataFrame | None = None) -> DataFrame:
+    """Observation rows; ``links`` is the link dimension (a static one for a stream)."""
     obs = events.select(
         F.col("event_id").alias("JourneyLinkRef"),
         F.col("user_id").alias("JourneyRef"),
@@ -68,7 +69,7 @@ def link_observations(events: DataFrame) -> DataFrame:
         iso_dow("ts").alias("DayOfWeek"),
         F.when(F.col("event_id") % 20 != 0, F.col("value")).alias("LinkTravelTime"),
     )
-    obs = join_small(obs, link_dimension(events), "LinkRef")
+    obs = join_small(obs, links if links is not None else link_dimension(events), "LinkRef")
     return obs.select("JourneyLinkRef", "JourneyRef", "DateTime", "LineDirectionCode",
                       "LineDirectionLinkOrder", "LinkRef", "LinkName", "DayOfWeek",
                       "LinkTravelTime")
