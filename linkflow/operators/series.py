@@ -29,7 +29,7 @@ from .resample import union_spine
 
 
 def transform(obs: DataFrame, profile: Profile, freq="15min") -> DataFrame:
-    """``(LinkRef, bin_ts, z, mean, scale, weight, x)`` on the union spine."""
+    """``(LinkRef, bin_ts, z, dev, mean, scale, weight, x)`` on the union spine."""
     keyed = with_time_keys(obs, freq).select("LinkRef", "slot", F.col("DateTimeRef").alias("bin_ts"), VALUE)
     looked_up = join_small(keyed, profile.slots.select("LinkRef", "slot",
                                                        F.col("mean").alias("_pmean")),
@@ -41,12 +41,15 @@ def transform(obs: DataFrame, profile: Profile, freq="15min") -> DataFrame:
     spine = union_spine(bins, "LinkRef", freq)
     cells = spine.join(bins, ["LinkRef", "bin_ts"], "left")
     cells = join_small(cells, profile.scales.select("LinkRef", "scale"), "LinkRef", "left")
-    cells = cells.withColumn("_z", F.try_divide(F.col("x") - F.col("m"), F.col("scale")))
+    cells = (cells.withColumn("_z", F.try_divide(F.col("x") - F.col("m"), F.col("scale")))
+             .withColumn("_d", F.when(F.col("scale").isNotNull(), F.col("x") - F.col("m"))))
     part, order = ["LinkRef"], "bin_ts"
     m_pad = pad("m", part, order)
     return cells.select(
         "LinkRef", "bin_ts",
         F.coalesce(pad("_z", part, order), F.lit(0.0)).alias("z"),
+        # the same fill on the unscaled deviation: z * scale == dev, without rounding
+        F.coalesce(pad("_d", part, order), F.lit(0.0)).alias("dev"),
         F.coalesce(m_pad, bfill("m", part, order)).alias("mean"),
         F.col("scale"),
         F.coalesce(F.col("w"), F.lit(0)).alias("weight"),
@@ -55,7 +58,15 @@ def transform(obs: DataFrame, profile: Profile, freq="15min") -> DataFrame:
 
 
 def inverse(series: DataFrame, z: str = "z", out: str = "seconds") -> DataFrame:
-    """``z * scale + mean`` back in seconds (observed bins give back their mean)."""
+    """``z * scale + mean`` back in seconds (observed bins give back their mean).
+
+    For the transform's own z this is computed as ``dev + mean`` (the scale cancels),
+    which is exact; missing when the link has no scale. Any other z column (a
+    forecast) is scaled back explicitly.
+    """
+    if z == "z" and "dev" in series.columns:
+        return series.withColumn(out, F.when(F.col("scale").isNotNull(),
+                                             F.col("dev") + F.col("mean")))
     return series.withColumn(out, F.col(z) * F.col("scale") + F.col("mean"))
 
 

@@ -68,7 +68,8 @@ def resample_filled_ctes(src: str, ts: str, value: str, out: str) -> list[tuple[
 def forecast_ctes() -> list[tuple[str, str]]:
     return (SPLIT_CTES
             + profile_ctes("test", "te_") + transform_ctes("test", "te_", "tz")
-            + [("truth", "SELECT LinkRef, bin_ts, z * scale + mean AS seconds FROM tz")]
+            + [("truth", "SELECT LinkRef, bin_ts, CASE WHEN scale IS NOT NULL THEN dev + mean END "
+                         "AS seconds FROM tz")]
             + profile_ctes("train", "tr_") + transform_ctes("test", "tr_", "hz")
             + [("ha", "SELECT LinkRef, bin_ts, mean AS seconds FROM hz"),
                ("fl", f"SELECT *, {BUCKET_SQL} AS Prediction FROM forecast_log")]

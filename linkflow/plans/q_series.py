@@ -86,12 +86,14 @@ def transform_ctes(src: str, p: str, out: str) -> list[tuple[str, str]]:
         (f"{out}_cov", f"""SELECT DISTINCT unnest(generate_series(f, l, INTERVAL '15 minutes')) AS bin_ts
             FROM {out}_sp"""),
         (f"{out}_c", f"""SELECT s.LinkRef, c.bin_ts, b.x, b.m, b.w, sc.scale,
-                (b.x - b.m) / NULLIF(sc.scale, 0) AS z0
+                (b.x - b.m) / NULLIF(sc.scale, 0) AS z0,
+                CASE WHEN sc.scale IS NOT NULL THEN b.x - b.m END AS d0
             FROM {out}_sp s CROSS JOIN {out}_cov c
             LEFT JOIN {out}_b b ON b.LinkRef = s.LinkRef AND b.bin_ts = c.bin_ts
             LEFT JOIN {p}lscale sc ON sc.LinkRef = s.LinkRef"""),
         (out, f"""SELECT LinkRef, bin_ts,
                 coalesce(last_value(z0 IGNORE NULLS) OVER wu, 0.0) AS z,
+                coalesce(last_value(d0 IGNORE NULLS) OVER wu, 0.0) AS dev,
                 coalesce(last_value(m IGNORE NULLS) OVER wu, first_value(m IGNORE NULLS) OVER wo) AS mean,
                 scale, coalesce(w, 0) AS weight, x
             FROM {out}_c
@@ -112,13 +114,13 @@ def q_zscore_series(spark, sf_dir):
 
 
 @query("inverse_series", zseries_sql("""
-    SELECT LinkRef, bin_ts, round(z * scale + mean, 4) AS seconds FROM zs"""))
+    SELECT LinkRef, bin_ts, round(CASE WHEN scale IS NOT NULL THEN dev + mean END, 4) AS seconds FROM zs"""))
 def q_inverse_series(spark, sf_dir):
     return se.inverse(zseries(spark, sf_dir)).select("LinkRef", "bin_ts", r4("seconds"))
 
 
 @query("wide_series", zseries_sql("""
-    PIVOT (SELECT bin_ts, LinkRef, round(z * scale + mean, 4) AS s FROM zs)
+    PIVOT (SELECT bin_ts, LinkRef, round(CASE WHEN scale IS NOT NULL THEN dev + mean END, 4) AS s FROM zs)
     ON LinkRef USING first(s) GROUP BY bin_ts"""))
 def q_wide_series(spark, sf_dir):
     from ..sources.sinks import to_wide
