@@ -88,3 +88,27 @@ def q_lag_regression(spark, sf_dir):
     """Rows-only: one linear model per horizon on 32 lags, in-sample predictions."""
     rolled = wn.roll(zseries(spark, sf_dir), LAGS, PREDS)
     return models.lag_regression(rolled, PREDS, max_iter=20)
+
+
+@query("scoreboard_by_fold")
+def q_scoreboard_by_fold(spark, sf_dir):
+    """Rows-only: expanding folds (0.80 + 0.05 i, 4 folds); per fold and horizon the
+    historical-average forecast vs truth on weight-summed line totals, bins with a
+    positive truth total only, in minutes."""
+    from ..functions.metrics import error_metrics
+    from ..operators import series as se
+    from ..operators import splits as sp
+    o = Tables(spark, sf_dir).obs().where("LinkTravelTime is not null")
+    out = None
+    for fold, train, test in sp.expanding_folds(o, 0.80, 0.05, 4):
+        p = pr.fit_profile(train)
+        hz = wn.explode_horizons(wn.roll(se.transform(test, p), LAGS, PREDS))
+        true = F.when(F.col("scale").isNotNull(), F.col("z") * F.col("scale") + F.col("mean"))
+        tot = hz.groupBy("bin_ts", "horizon").agg(
+            F.sum(true * F.col("weight")).alias("true_total"),
+            F.sum(F.col("mean") * F.col("weight")).alias("naive_total"))
+        scored = tot.where(F.col("true_total") > 0).groupBy("horizon").agg(
+            *error_metrics(F.col("true_total") / 60.0, F.col("naive_total") / 60.0))
+        scored = scored.withColumn("fold", F.lit(fold))
+        out = scored if out is None else out.unionByName(scored)
+    return out.select("fold", "horizon", "rmse", "mae", "mape", "n_pairs")
