@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 from linkflow.llm.mixing import SEED, SPLIT, TEMPERATURE
+from linkflow.llm.search import B, EVERY, K1, TOP_K
 from linkflow.llm.secrets import KINDS, SCOPE
+from linkflow.llm.substrings import WINDOW
 from linkflow.llm.urls import BLOCK_GLOBS, HOST_RULES
 
 
@@ -100,3 +102,34 @@ SELECT page_id, host, path,
     WHEN {' OR '.join(_glob_sql(g) for g in BLOCK_GLOBS)} THEN 'block' ELSE 'allow' END AS verdict
 FROM c
 """
+
+_WORDS = r"list_filter(string_split_regex(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda w: w <> '')"
+
+SEARCH_SQL = f"""
+WITH d AS (SELECT row_number() OVER () AS row, doc_id, {_WORDS} AS ws FROM documents),
+n AS (SELECT count(*) AS n, avg(len(ws)) AS mean FROM d),
+t AS (SELECT row, w, count(*) AS tf FROM (SELECT row, unnest(ws) AS w FROM d) GROUP BY row, w),
+f AS (SELECT w, count(*) AS df FROM t GROUP BY w),
+q AS (SELECT d.doc_id AS query_id, w, tf AS qtf FROM d JOIN t USING (row) WHERE d.doc_id % {EVERY} = 0),
+s AS (
+  SELECT query_id, t.row, round(sum(qtf * ln(1 + (n - df + 0.5) / (df + 0.5)) * tf * {K1 + 1}
+    / (tf + {K1} * (1 - {B} + {B} * len(d.ws) / mean))), 6) AS score
+  FROM q JOIN f USING (w) JOIN t USING (w) JOIN d USING (row), n GROUP BY query_id, t.row),
+r AS (
+  SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS rank, doc_id, score
+  FROM s JOIN d USING (row))
+SELECT query_id, rank, doc_id, score FROM r WHERE rank <= {TOP_K}
+"""
+
+SUBSTRINGS_SQL = f"""
+WITH d AS (SELECT doc_id, {_WORDS} AS ws FROM documents),
+s AS (SELECT doc_id, i, array_to_string(ws[i:i + {WINDOW - 1}], ' ') AS win
+  FROM (SELECT doc_id, ws, unnest(range(1, len(ws) - {WINDOW - 2})) AS i FROM d)),
+o AS (SELECT doc_id, i, row_number() OVER (PARTITION BY win ORDER BY doc_id, i) AS place FROM s),
+gone AS (SELECT DISTINCT doc_id, unnest(range(i, i + {WINDOW})) AS pos FROM o WHERE place > 1),
+g AS (SELECT doc_id, count(*) AS n FROM gone GROUP BY doc_id),
+w AS (SELECT doc_id, unnest(ws) AS w, unnest(range(1, len(ws) + 1)) AS pos FROM d),
+k AS (SELECT w.doc_id, string_agg(w, ' ' ORDER BY pos) AS kept FROM w ANTI JOIN gone ON w.doc_id = gone.doc_id AND w.pos = gone.pos GROUP BY w.doc_id)
+SELECT doc_id, len(ws) AS n_words, coalesce(n, 0) AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256
+FROM d LEFT JOIN g USING (doc_id) LEFT JOIN k USING (doc_id)
+"""

@@ -11,8 +11,10 @@ from linkflow.llm.fingerprints import edited_likeness
 from linkflow.llm.language import label_documents
 from linkflow.llm.mixing import poisson_mix
 from linkflow.llm.neighbours import jaccard_classes
-from linkflow.llm.oracles import MIXING_SQL, SECRETS_SQL, URLS_SQL
+from linkflow.llm.oracles import MIXING_SQL, SEARCH_SQL, SECRETS_SQL, SUBSTRINGS_SQL, URLS_SQL
+from linkflow.llm.search import top_documents
 from linkflow.llm.secrets import secret_spans
+from linkflow.llm.substrings import deduplicated
 from linkflow.llm.urls import judge_urls
 from linkflow.llm.warc import derive, response_records
 
@@ -37,6 +39,10 @@ def op4_warc_derivatives(spark: SparkSession, sf_dir: str) -> DataFrame:
     return derive(response_records(table(spark, sf_dir, "pages")))
 
 
+def op5_bm25_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return top_documents(table(spark, sf_dir, "documents"))
+
+
 def op6_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return poisson_mix(table(spark, sf_dir, "documents")).select("doc_id", "source", "mix_copy", "mix_key", "text")
 
@@ -45,6 +51,10 @@ def op7_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_spans(table(spark, sf_dir, "documents"))
 
 
+def op8_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return deduplicated(table(spark, sf_dir, "documents"))
+
+
 def op9_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judge_urls(table(spark, sf_dir, "pages"))
 
@@ -55,9 +65,10 @@ def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {f.__name__: f for f in (
-        op1_language_id, op2_fingerprints, op3_jaccard_join, op4_warc_derivatives, op6_source_mixing,
-        op7_secret_scans, op9_url_filters, op10_bpe)}
+        op1_language_id, op2_fingerprints, op3_jaccard_join, op4_warc_derivatives, op5_bm25_top_k,
+        op6_source_mixing, op7_secret_scans, op8_substring_dedup, op9_url_filters, op10_bpe)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op6_source_mixing": MIXING_SQL, "op7_secret_scans": SECRETS_SQL, "op9_url_filters": URLS_SQL}
+    return {"op5_bm25_top_k": SEARCH_SQL, "op6_source_mixing": MIXING_SQL, "op7_secret_scans": SECRETS_SQL,
+            "op8_substring_dedup": SUBSTRINGS_SQL, "op9_url_filters": URLS_SQL}
