@@ -40,7 +40,10 @@ from linkflow.session import materialize
 TOP_K = 10
 K1, B = 1.2, 0.75
 EVERY = 100                    # rows whose id is divisible by this are the queries
-BLOCK = 32                     # documents of a block
+BLOCK = 64                     # documents of a block
+DENSE_SHARE = 0.03             # share of a shard's documents that makes a term's row dense
+DENSE_CELLS = 8_000_000        # of dense rows in a shard, 64 MB
+QUERY_BATCH = 32               # queries of one matrix product
 FIRST_BLOCKS = 16              # evaluated before the first threshold
 SHARD_WORDS = 12_000_000       # words of the documents of one shard, about
 BITMAP_BITS = 1 << 26          # 8 MB
@@ -135,70 +138,109 @@ def _postings(rows: DataFrame, bitmap) -> DataFrame:
 
 
 class ShardIndex:
-    """Inverted index of one shard: postings by term and document, with block maxima."""
+    """Inverted index of one shard: postings by term and document, with block maxima.
+
+    Documents get neighbouring places if they share their most frequent term and are of
+    similar length, which keeps block maxima close to the impacts under them. Rows of the
+    terms with most postings are kept dense, at most ``DENSE_CELLS`` in all: their part of
+    the scores of a batch of queries is one matrix product, and its exact maximum in a block
+    takes the place of those terms' block maxima. The lists given are emptied.
+    """
 
     def __init__(self, ids: list[int], lengths: list[int], terms: list[bytes], counts: list[bytes], mean_length: float):
-        order = np.argsort(np.array(ids, np.int64), kind="stable")
+        n = len(ids)
+        lead = np.array([self._lead(t, c) for t, c in zip(terms, counts)], np.uint64)
+        order = np.lexsort((np.array(ids, np.int64), np.array(lengths, np.int64), lead))
         self.ids = np.array(ids, np.int64)[order]
         norm = K1 * (1 - B + B * np.array(lengths, np.float64)[order] / max(mean_length, 1e-9))
         size = np.array([len(terms[i]) // 8 for i in order], np.int64)
-        term = np.frombuffer(b"".join(terms[i] for i in order), np.uint64)
-        tf = np.frombuffer(b"".join(counts[i] for i in order), np.uint32)
-        doc = np.repeat(np.arange(len(order), dtype=np.int32), size)
+        term = np.frombuffer(b"".join([terms[i] for i in order]), np.uint64)
+        terms.clear()
+        tf = np.frombuffer(b"".join([counts[i] for i in order]), np.uint32)
+        counts.clear()
         by = np.argsort(term, kind="stable")
-        term, self.doc, tf = term[by], doc[by], tf[by].astype(np.float64)
-        self.impact = tf * (K1 + 1) / (tf + norm[self.doc])
+        doc = np.repeat(np.arange(n, dtype=np.int32), size)[by]
+        term, tf = term[by], tf[by]
+        del by
+        impact = tf * (K1 + 1) / (tf + norm[doc])
+        del tf
+        first = np.flatnonzero(np.concatenate([[True], term[1:] != term[:-1]])) if len(term) else np.zeros(0, np.int64)
+        self.terms, df = term[first], np.diff(np.append(first, len(term)))
+        self.blocks = -(-n // BLOCK)
+        common = np.sort(np.argsort(-df, kind="stable")[:DENSE_CELLS // max(1, n)])
+        common = common[df[common] >= n * DENSE_SHARE]
+        self.dense_at = np.full(len(df), -1, np.int64)
+        self.dense_at[common] = np.arange(len(common))
+        self.dense = np.zeros((len(common), self.blocks * BLOCK))
+        for row, t in enumerate(common):
+            at = slice(first[t], first[t] + df[t])
+            self.dense[row, doc[at]] = impact[at]
+        rare = np.repeat(self.dense_at < 0, df)
+        term, self.doc, self.impact = term[rare], doc[rare], impact[rare]
+        del doc, impact, rare
         block = self.doc // BLOCK
         new = np.ones(len(term), bool)
         new[1:] = (term[1:] != term[:-1]) | (block[1:] != block[:-1])
-        self.begin = np.flatnonzero(new)                     # one entry per term and block
-        self.end = np.append(self.begin[1:], len(term))
-        self.block = block[self.begin]
-        self.top = np.maximum.reduceat(self.impact, self.begin) if len(term) else np.zeros(0)
-        first = np.ones(len(self.begin), bool)
-        first[1:] = term[self.begin][1:] != term[self.begin][:-1]
-        self.entry = np.append(np.flatnonzero(first), len(self.begin))
-        self.terms = term[self.begin[self.entry[:-1]]] if len(term) else term
-        self.blocks = -(-len(self.ids) // BLOCK)
-
-    def best(self, terms: np.ndarray, weights: np.ndarray, k: int):
-        """(row numbers, scores) of the k best documents and all that tie with the last of them."""
-        none = np.zeros(0, np.int64), np.zeros(0)
-        if not len(self.terms) or not len(terms):
-            return none
-        at = np.minimum(np.searchsorted(self.terms, terms), len(self.terms) - 1)
-        here = self.terms[at] == terms
-        at, weights = at[here], weights[here]
-        if not len(at):
-            return none
+        begin = np.flatnonzero(new)                           # one entry per term and block
+        self.block = block[begin]
+        self.top = np.nextafter(np.maximum.reduceat(self.impact, begin).astype(np.float32), np.float32(np.inf)) if len(term) else np.zeros(0, np.float32)
+        per_term = np.bincount(np.searchsorted(self.terms, term[begin]), minlength=len(df))
+        self.entry = np.concatenate([[0], np.cumsum(per_term)])
+        self.begin = np.append(begin, len(term)).astype(np.int32)
+
+    @staticmethod
+    def _lead(terms: bytes, counts: bytes) -> int:
+        """The most frequent term of a document (0 if none)."""
+        tf = np.frombuffer(counts, np.uint32)
+        return int(np.frombuffer(terms, np.uint64)[tf.argmax()]) if len(tf) else 0
+
+    def best(self, queries: list[tuple[np.ndarray, np.ndarray]], k: int):
+        """For each query (terms, weights): (row numbers, scores) of its k best documents and all ties with the last."""
+        if not len(self.ids) or not len(self.terms):
+            return [(np.zeros(0, np.int64), np.zeros(0)) for _ in queries]
+        weights = np.zeros((len(queries), len(self.dense)))
+        rest = []
+        for q, (terms, w) in enumerate(queries):
+            at = np.minimum(np.searchsorted(self.terms, terms), len(self.terms) - 1)
+            here = self.terms[at] == terms
+            at, w = at[here], w[here]
+            row = self.dense_at[at]
+            weights[q, row[row >= 0]] = w[row >= 0]
+            rest.append((at[row < 0], w[row < 0]))
+        return [self._best(part, *r, k) for part, r in zip(weights @ self.dense, rest)]
+
+    def _best(self, part: np.ndarray, at: np.ndarray, weights: np.ndarray, k: int):
+        """Block-max WAND for one query: ``part`` has the dense terms' share of every score."""
         size = self.entry[at + 1] - self.entry[at]
         entry = np.arange(size.sum()) + np.repeat(self.entry[at] - np.cumsum(size) + size, size)
         weight = np.repeat(weights, size)
         block = self.block[entry]
-        bound = np.bincount(block, weight * self.top[entry], self.blocks)
+        bound = np.bincount(block, weight * self.top[entry], self.blocks) + part.reshape(-1, BLOCK).max(1)
         order = np.argsort(-bound, kind="stable")
         order = order[:int((bound > 0).sum())]
-        rows, scores, low = *none, -np.inf
+        rows, scores, low = np.zeros(0, np.int64), np.zeros(0), -np.inf
         done, step = 0, FIRST_BLOCKS
         while done < len(order) and bound[order[done]] >= low - 2e-6:
             chosen = np.zeros(self.blocks, bool)
-            part = order[done:done + step]
-            chosen[part[bound[part] >= low - 2e-6]] = True
-            r, s = self._scores(entry, weight, chosen[block])
+            now = order[done:done + step]
+            chosen[now[bound[now] >= low - 2e-6]] = True
+            r, s = self._scores(part, entry, weight, chosen[block], chosen)
             rows, scores = np.concatenate([rows, r]), np.concatenate([scores, s])
             if len(scores) >= k:
                 low = np.partition(scores, len(scores) - k)[len(scores) - k]
                 keep = scores >= low
                 rows, scores = rows[keep], scores[keep]
-            done, step = done + step, step * 2
+            done, step = done + step, step * 4
         return rows, scores
 
-    def _scores(self, entry: np.ndarray, weight: np.ndarray, chosen: np.ndarray):
-        """Exact scores of the documents under the chosen entries; terms add up in their order."""
+    def _scores(self, part: np.ndarray, entry: np.ndarray, weight: np.ndarray, chosen: np.ndarray, blocks: np.ndarray):
+        """Exact scores of the documents of the chosen blocks; terms add up in their order."""
         entry, weight = entry[chosen], weight[chosen]
-        size = self.end[entry] - self.begin[entry]
+        size = self.begin[entry + 1] - self.begin[entry]
         at = np.arange(size.sum()) + np.repeat(self.begin[entry] - np.cumsum(size) + size, size)
-        scores = np.bincount(self.doc[at], np.repeat(weight, size) * self.impact[at], len(self.ids))
+        scores = np.bincount(self.doc[at], np.repeat(weight, size) * self.impact[at], len(part))
+        scores += part
+        scores[~np.repeat(blocks, BLOCK)] = 0
         rows = np.flatnonzero(scores)
         return rows, np.round(scores[rows], 6)
 
@@ -206,26 +248,41 @@ class ShardIndex:
 def _searched(dealt: DataFrame, mean_length: float, k: int) -> DataFrame:
     """(q, qtag, k, score): the best of each shard for each query."""
     def run(batches):
-        shard, index, held = None, None, [[], [], [], []]
+        shard, index, held, asked = None, None, [[], [], [], []], []
+
+        def answers(out):
+            found = index.best([(t, w) for _, _, t, w in asked], k)
+            for (q, tag, _, _), (rows, scores) in zip(asked, found):
+                cut = np.lexsort((index.ids[rows], -scores))[:k]
+                for o, v in zip(out, ([q] * len(cut), [tag] * len(cut), index.ids[rows[cut]].tolist(), scores[cut].tolist())):
+                    o += v
+            asked.clear()
+
+        def batch(out):
+            return pa.RecordBatch.from_arrays([pa.array(out[0], pa.int64()), pa.array(out[1], pa.int64()), pa.array(out[2], pa.int64()),
+                                               pa.array(out[3], pa.float64())], names=["q", "qtag", "k", "score"])
+
         for b in batches:
             out = [[], [], [], []]
-            for at, kind, key, tag, dl, terms, vals in zip(*(c.to_pylist() for c in b.columns)):
-                if at != shard:
-                    shard, index, held = at, None, [[], [], [], []]
+            for i in range(b.num_rows):
+                at, kind, key, tag, dl, terms, vals = (c[i].as_py() for c in b.columns)
+                if at != shard or len(asked) == QUERY_BATCH:
+                    if asked:
+                        answers(out)
+                    if at != shard:
+                        shard, index, held = at, None, [[], [], [], []]
                 if kind == 0:
                     for h, v in zip(held, (key, dl, terms, vals)):
                         h.append(v)
                     continue
                 if index is None:
-                    index, held = ShardIndex(*held, mean_length), [[], [], [], []]
-                rows, scores = index.best(np.frombuffer(terms, np.uint64), np.frombuffer(vals, np.float64), k)
-                cut = np.lexsort((index.ids[rows], -scores))[:k]
-                out[0] += [key] * len(cut)
-                out[1] += [tag] * len(cut)
-                out[2] += index.ids[rows[cut]].tolist()
-                out[3] += scores[cut].tolist()
-            yield pa.RecordBatch.from_arrays([pa.array(out[0], pa.int64()), pa.array(out[1], pa.int64()), pa.array(out[2], pa.int64()),
-                                              pa.array(out[3], pa.float64())], names=["q", "qtag", "k", "score"])
+                    index = ShardIndex(*held, mean_length)
+                asked.append((key, tag, np.frombuffer(terms, np.uint64), np.frombuffer(vals, np.float64)))
+            yield batch(out)
+        out = [[], [], [], []]
+        if asked:
+            answers(out)
+        yield batch(out)
 
     return dealt.mapInArrow(run, "q long, qtag long, k long, score double")
 
@@ -272,7 +329,7 @@ def top_documents(docs: DataFrame, queries: DataFrame | None = None, k: int = TO
     parts = _postings(rows, bitmap).select(of_shard.alias("shard"), F.lit(0).alias("kind"), "k", "tag", "dl", "terms", "vals")
     asks = _packed_queries(weighted).select(F.explode(F.sequence(F.lit(0), F.lit(shards - 1))).alias("shard"), F.lit(1).alias("kind"),
                                             "k", "tag", "dl", "terms", "vals")
-    dealt = parts.unionByName(asks).repartition(shards, "shard").sortWithinPartitions("shard", "kind", "k")
+    dealt = parts.unionByName(asks).repartitionById(shards, F.col("shard")).sortWithinPartitions("shard", "kind", "k")
     found = _searched(dealt, words / n if n else 0.0, k)
     place = Window.partitionBy("q", "qtag").orderBy(F.desc("score"), "k")
     return (found.withColumn("rank", F.row_number().over(place)).where(F.col("rank") <= k)
