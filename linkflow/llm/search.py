@@ -16,10 +16,10 @@ Terms are words as they stand (runs of bytes other than space and \\x09-\\x0D).
 rounded to 6 places; ties go to the smaller doc_id. Documents that share no term with the
 query are not listed.
 
-Postings travel only for terms that may be in a query: a bitmap of fixed size over the hashes
-of all query terms drops most others before the shuffle (hash clashes keep some, which the
-queries then never ask for). It is the one thing sent to all tasks, ``BITMAP_BITS`` long
-whatever the data.
+Document frequencies are counted for terms that may be in a query: a bitmap of fixed size
+over the hashes of all query terms drops most others before they are shuffled (clashes keep
+some, which the queries never ask for). It is the one thing sent to all tasks,
+``BITMAP_BITS`` long whatever the data.
 
 Defined cases: null and blank texts have no terms: as queries they give no rows, as documents
 they count in N and the mean length. A null doc_id is no query; as a document it sorts last.
@@ -119,20 +119,17 @@ def _corpus_counts(rows: DataFrame, bitmap) -> DataFrame:
     return rows.select("text").mapInArrow(run, "kind int, term long, n long").groupBy("kind", "term").agg(F.sum("n").alias("n"))
 
 
-def _postings(rows: DataFrame, bitmap) -> DataFrame:
-    """(k, tag, dl, terms, counts): each document's wanted terms in order, packed, and its length."""
+def _postings(rows: DataFrame) -> DataFrame:
+    """(k, tag, dl, terms, vals): each document's terms in order and their counts, packed, and its length."""
     def run(batches):
-        bits = np.frombuffer(bitmap.value, np.uint8)
         for b in batches:
             for i, size, row, term, count in term_counts(b.column(2)):
-                keep = _wanted(term, bits)
-                row, term, count = row[keep], term[keep], count[keep].astype(np.uint32)
                 ends = np.searchsorted(row, np.arange(len(size) + 1))
                 pack = lambda a, w: pa.Array.from_buffers(pa.binary(), len(size), [
                     None, pa.py_buffer((ends * w).astype(np.int32)), pa.py_buffer(np.ascontiguousarray(a))])
                 yield pa.RecordBatch.from_arrays([
                     b.column(0).slice(i, len(size)), b.column(1).slice(i, len(size)), pa.array(size.astype(np.int64)),
-                    pack(term, 8), pack(count, 4)], names=["k", "tag", "dl", "terms", "vals"])
+                    pack(term, 8), pack(count.astype(np.uint32), 4)], names=["k", "tag", "dl", "terms", "vals"])
 
     return rows.select("k", "tag", "text").mapInArrow(run, "k long, tag long, dl long, terms binary, vals binary")
 
@@ -326,7 +323,7 @@ def top_documents(docs: DataFrame, queries: DataFrame | None = None, k: int = TO
     weighted = terms.join(counts.where("kind = 0").select("term", "n"), "term").select("k", "tag", "term", (F.col("qtf") * idf).alias("weight"))
     shards = max(1, -(-words // SHARD_WORDS))
     of_shard = F.pmod(F.xxhash64("k"), F.lit(shards)).cast("int")
-    parts = _postings(rows, bitmap).select(of_shard.alias("shard"), F.lit(0).alias("kind"), "k", "tag", "dl", "terms", "vals")
+    parts = _postings(rows).select(of_shard.alias("shard"), F.lit(0).alias("kind"), "k", "tag", "dl", "terms", "vals")
     asks = _packed_queries(weighted).select(F.explode(F.sequence(F.lit(0), F.lit(shards - 1))).alias("shard"), F.lit(1).alias("kind"),
                                             "k", "tag", "dl", "terms", "vals")
     dealt = parts.unionByName(asks).repartitionById(shards, F.col("shard")).sortWithinPartitions("shard", "kind", "k")
