@@ -1,12 +1,11 @@
 """Dataset splits: by date, by row fraction in time order, expanding-window folds.
 
-Row-fraction splits need the row at a global position in (time, tie) order. No
-single-partition window is used: the key columns are range-sorted over all
-partitions and written once to the shared checkpoint folder (so later jobs see the
-same sorted files even after an executor loss); per-partition counts give each
-partition's offset; the boundary row is then read from the one partition holding
-it by its position inside the partition (``monotonically_increasing_id`` of the
-materialised data). The split itself is a key-range predicate on the original rows.
+Row-fraction splits need the row at a global position in (time, tie) order. Rows are counted
+per hour; the running sum over that small table names the hour that holds a position, and
+counts per minute and second inside that hour narrow it to one second, whose rows alone are
+sorted. No global sort, no copy of the data, no assumption about files or partitions. The
+split itself is a key-range predicate on the original rows. A NULL time (or tie) sorts last,
+so every row is in exactly one part.
 """
 
 from __future__ import annotations
@@ -16,50 +15,61 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..session import materialize
+
+UNITS = ("hour", "minute", "second")
 
 
 def _key_less(cols: Sequence[str], bound: Sequence) -> Column:
-    """Lexicographic ``(cols) < (bound)``."""
+    """Lexicographic ``(cols) < (bound)``, NULL being larger than any value."""
     cond = None
     for i in range(len(cols) - 1, -1, -1):
-        c, b = F.col(cols[i]), F.lit(bound[i])
-        here = c < b if cond is None else (c < b) | ((c == b) & cond)
-        cond = here
+        c, b = F.col(cols[i]), bound[i]
+        if b is None:                     # only a value is below NULL
+            less, same = c.isNotNull(), c.isNull()
+        else:
+            less, same = F.coalesce(c < F.lit(b), F.lit(False)), F.coalesce(c == F.lit(b), F.lit(False))
+        cond = less if cond is None else less | (same & cond)
     return cond
 
 
-def boundary_keys(df: DataFrame, order: Sequence[str], positions: Sequence[int]) -> list:
-    """Key tuple of the row at each 0-based position in ``order`` (None past the end)."""
+def time_counts(df: DataFrame, time: str, unit: str = "hour") -> list[tuple]:
+    """[(start of the hour, rows)] in time order, NULL last; as many entries as hours covered."""
+    rows = (df.groupBy(F.date_trunc(unit, F.col(time)).alias("at")).agg(F.count(F.lit(1)).alias("n"))
+            .orderBy(F.asc_nulls_last("at")).collect())
+    return [(r["at"], r["n"]) for r in rows]
+
+
+def _holding(counts: list[tuple], position: int):
+    """(bucket, position inside it) of a global position."""
+    for at, n in counts:
+        if position < n:
+            return at, position
+        position -= n
+    raise IndexError(position)
+
+
+def boundary_keys(df: DataFrame, order: Sequence[str], positions: Sequence[int], counts: list[tuple] | None = None) -> list:
+    """Key tuple of the row at each 0-based position in ``order`` (None past the end).
+
+    The first column of ``order`` is the time.
+    """
     order = list(order)
-    ordered = materialize(df.select(*order).orderBy(*order), "ordered-keys")
-    counts = {r["pid"]: r["n"] for r in
-              ordered.groupBy(F.spark_partition_id().alias("pid")).agg(F.count(F.lit(1)).alias("n"))
-              .collect()}
-    offsets, acc = {}, 0
-    for pid in sorted(counts):
-        offsets[pid] = acc
-        acc += counts[pid]
-    wanted = {}
-    for p in positions:
-        if p < 0 or p >= acc:
-            continue
-        pid = max(q for q in offsets if offsets[q] <= p and counts[q] > 0)
-        wanted[p] = (pid << 33) + (p - offsets[pid])
+    counts = time_counts(df, order[0]) if counts is None else counts
+    total = sum(n for _, n in counts)
     found = {}
-    if wanted:
-        ids = sorted(set(wanted.values()))
-        rows = (ordered.withColumn("_id", F.monotonically_increasing_id())
-                .where(F.col("_id").isin(ids)).collect())
-        by_id = {r["_id"]: tuple(r[c] for c in order) for r in rows}
-        found = {p: by_id[i] for p, i in wanted.items()}
+    for p in sorted({p for p in positions if 0 <= p < total}):
+        rows, finer, left = df.select(*order), counts, p
+        for level, unit in enumerate(UNITS):
+            at, left = _holding(finer, left)
+            rows = rows.where(F.date_trunc(unit, F.col(order[0])).eqNullSafe(F.lit(at).cast(df.schema[order[0]].dataType)))
+            if at is None or level == len(UNITS) - 1:
+                break
+            finer = time_counts(rows, order[0], UNITS[level + 1])
+        key = rows.orderBy(*[F.asc_nulls_last(c) for c in order]).offset(left).limit(1).collect()[0]
+        found[p] = tuple(key[c] for c in order)
     return [found.get(p) for p in positions]
 
 
-def count_rows(df: DataFrame) -> int:
-    return df.count()
-
-
 def before(df: DataFrame, order: Sequence[str], key) -> DataFrame:
     return df if key is None else df.where(_key_less(order, key))
 
@@ -81,8 +91,9 @@ def fraction_positions(n: int, fractions: Sequence[float]) -> list[int]:
 def row_fraction_split(df: DataFrame, fraction: float = 0.95,
                        order: Sequence[str] = ("DateTime", "JourneyLinkRef")):
     """(train, test): the first ``int(fraction * n)`` rows in time order, and the rest."""
-    n = count_rows(df)
-    (key,) = boundary_keys(df, order, fraction_positions(n, [fraction]))
+    counts = time_counts(df, order[0])
+    n = sum(c for _, c in counts)
+    (key,) = boundary_keys(df, order, fraction_positions(n, [fraction]), counts)
     return before(df, order, key), at_or_after(df, order, key)
 
 
@@ -97,10 +108,11 @@ def expanding_fold_bounds(n: int, bootstrap: float, step: float, n_folds: int):
 def expanding_folds(df: DataFrame, bootstrap: float = 0.80, step: float = 0.05,
                     n_folds: int = 4, order: Sequence[str] = ("DateTime", "JourneyLinkRef")):
     """Yield ``(fold, train, test)`` DataFrames of the expanding-window evaluation."""
-    n = count_rows(df)
+    counts = time_counts(df, order[0])
+    n = sum(c for _, c in counts)
     bounds = expanding_fold_bounds(n, bootstrap, step, n_folds)
     positions = sorted({p for _, a, b in bounds for p in (a, b)})
-    keys = dict(zip(positions, boundary_keys(df, order, positions)))
+    keys = dict(zip(positions, boundary_keys(df, order, positions, counts)))
     for fold, a, b in bounds:
         train = before(df, order, keys[a]) if a < n else df
         test = between_keys(df, order, keys[a], keys[b]) if a < n else df.where(F.lit(False))
@@ -111,10 +123,11 @@ def tag_folds(df: DataFrame, bootstrap: float = 0.80, step: float = 0.05, n_fold
               order: Sequence[str] = ("DateTime", "JourneyLinkRef")) -> DataFrame:
     """Every row with its ``segment``: -1 before the first test window, i for test
     window i, ``n_folds`` after the last. Fold i trains on segments < i and tests on i."""
-    n = count_rows(df)
+    counts = time_counts(df, order[0])
+    n = sum(c for _, c in counts)
     bounds = expanding_fold_bounds(n, bootstrap, step, n_folds)
     positions = [bounds[0][1]] + [b for _, _, b in bounds]
-    keys = boundary_keys(df, order, positions)
+    keys = boundary_keys(df, order, positions, counts)
     seg = F.lit(n_folds)
     for i in range(len(keys) - 1, -1, -1):
         # a boundary at or past the end (no key) lies after every row
