@@ -12,7 +12,6 @@
 from __future__ import annotations
 
 import datetime as dt
-import os
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -40,14 +39,22 @@ def day_paths(pattern: str, date_from: str, date_to: str) -> list[str]:
 
 
 def _read_days(spark, pattern_or_dir, schema, date_from, date_to, sep=","):
-    if date_from is not None and "%" in pattern_or_dir:
-        paths = [p for p in day_paths(pattern_or_dir, date_from, date_to or date_from)
-                 if os.path.exists(p) or "://" in p]
-        return read_delimited(spark, paths, schema, sep, header=False)
+    """Rows of the days from ``date_from`` to ``date_to``, both included; either end may be open.
+
+    A pattern needs both ends or ``date_from`` alone (one day); a day without a file is an
+    error, raised by Spark on whatever store the path is in. Of a folder, the partition
+    column ``log_date`` is filtered where there is one, the time of the row otherwise.
+    """
+    if "%" in pattern_or_dir:
+        if date_from is None:
+            raise ValueError("a pattern of day files needs date_from")
+        return read_delimited(spark, day_paths(pattern_or_dir, date_from, date_to or date_from), schema, sep, header=False)
     df = read_delimited(spark, pattern_or_dir, schema, sep, header=False)
-    if "log_date" in df.columns and date_from is not None:  # partitioned folder: pruned
-        df = df.where(F.col("log_date").between(date_from, date_to or date_from))
-    return df
+    day = F.col("log_date").cast("date") if "log_date" in df.columns else F.to_date("LogTime")
+    if date_from is not None:
+        df = df.where(day >= F.lit(date_from).cast("date"))
+    last = date_to or date_from
+    return df if last is None else df.where(day <= F.lit(last).cast("date"))
 
 
 def read_forecast_log(spark: SparkSession, pattern_or_dir: str, date_from: str | None = None,

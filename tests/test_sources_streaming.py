@@ -57,3 +57,21 @@ def test_streaming_bins_match_batch(spark):
     j = got.join(batch, ["LinkRef", "bin_ts"])
     assert got.count() > 0 and j.count() == got.count()
     assert j.where(F.abs(F.col("mean") - F.col("LinkTravelTime")) > 1e-9).count() == 0
+
+
+def test_missing_day_file_is_an_error(spark, tmp_path):
+    from pyspark.errors import AnalysisException
+
+    from linkflow.sources.readers import read_external_log
+    (tmp_path / "log_20240101.csv").write_text("2024-01-01 08:00:00,A,1.0,2.0\n")
+    pattern = str(tmp_path / "log_%Y%m%d.csv")
+    assert read_external_log(spark, pattern, "2024-01-01").count() == 1
+    with pytest.raises(AnalysisException):
+        read_external_log(spark, pattern, "2024-01-01", "2024-01-02").count()
+
+
+def test_date_range_of_a_plain_folder(spark, tmp_path):
+    from linkflow.sources.readers import read_external_log
+    (tmp_path / "a.csv").write_text("2024-01-01 08:00:00,A,1.0,2.0\n2024-01-02 08:00:00,A,1.0,2.0\n2024-01-03 23:59:59,B,1.0,2.0\n")
+    count = lambda a, b: read_external_log(spark, str(tmp_path), a, b).count()
+    assert [count("2024-01-01", None), count("2024-01-02", "2024-01-03"), count(None, "2024-01-02"), count(None, None)] == [1, 2, 2, 3]
