@@ -235,8 +235,7 @@ class ShardIndex:
         entry, weight = entry[chosen], weight[chosen]
         size = self.begin[entry + 1] - self.begin[entry]
         at = np.arange(size.sum()) + np.repeat(self.begin[entry] - np.cumsum(size) + size, size)
-        scores = np.bincount(self.doc[at], np.repeat(weight, size) * self.impact[at], len(part))
-        scores += part
+        scores = part + np.bincount(self.doc[at], np.repeat(weight, size) * self.impact[at], len(part))
         scores[~np.repeat(blocks, BLOCK)] = 0
         rows = np.flatnonzero(scores)
         return rows, np.round(scores[rows], 6)
