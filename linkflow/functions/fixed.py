@@ -3,9 +3,9 @@
 Floating-point sums depend on the order rows are added, which on a cluster changes
 with partitioning and task timing: the same query can give results that differ in
 the last bits from run to run (and from any other engine). Travel times carry at
-most microsecond resolution, so values are summed as whole micro-units in a 64-bit
-integer -- exact, order independent, and as fast as a double sum -- and divided
-once at the end. Range: |sum| < 9.2e12 in value units per group.
+most microsecond resolution, so values are summed as whole micro-units in a decimal
+(19 digits a value, 29 a sum) -- exact and order independent -- and divided once at
+the end.
 """
 
 from __future__ import annotations
@@ -21,8 +21,8 @@ def _c(col) -> Column:
 
 
 def to_fixed(col) -> Column:
-    """Value in whole micro-units (long), rounded half up."""
-    return F.floor(_c(col) * F.lit(float(SCALE)) + F.lit(0.5))
+    """Value in whole micro-units, rounded half up."""
+    return F.floor(_c(col) * F.lit(float(SCALE)) + F.lit(0.5)).cast("decimal(19,0)")
 
 
 def fixed_sum(col) -> Column:

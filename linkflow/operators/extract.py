@@ -10,12 +10,11 @@ Rows of a journey are ordered by ``JourneyPointRef``. For each stop point:
   non-positive travel times are voided too;
 * the first stop feeds the windows but is dropped from the result.
 
-Plan shape: the two dimensions (pattern, section) are broadcast after a size check;
-journeys join their points on ``JourneyRef`` and every window partitions on that
-same key, so one shuffle of the points serves the join and all windows. The link
-order (dense rank of the legacy order per line direction) is computed on the
-distinct (direction, legacy order) pairs, a table bounded by the section dimension,
-and joined back.
+Plan shape: journeys join their points on ``JourneyRef`` and every window partitions on
+that same key, so one shuffle of the points serves the join and all windows. The rows
+are written once; the link order (dense rank of the legacy order per line direction)
+is ranked over the distinct (direction, legacy order) pairs of that table, at most as
+many as sections, and joined back.
 """
 
 from __future__ import annotations
@@ -27,6 +26,7 @@ from pyspark.sql import functions as F
 
 from ..functions.text import concat_null_as_empty
 from ..functions.time import operating_dow, seconds_between
+from ..session import materialize
 from .joins import join_small
 
 
@@ -86,17 +86,14 @@ def extract_link_travel_time(journey: DataFrame, pattern: DataFrame, point: Data
                              order: bool = False) -> DataFrame:
     """The nine-column link observation table (see module docstring)."""
     rows = journey_link_rows(journey, pattern, point, section, pattern_ids, date_from, date_to)
-    # the link order has at most one row per section: the section dimension bounds it
-    rows = join_small(rows, link_order(rows), ["LineDirectionCode", "LineDirectionLegacyOrder"],
-                      bound_by=section)
     flagged = journey_flags(point_flags(rows))
     tt = F.col("RawTravelTime")
-    out = flagged.where(F.col("SequenceNumber") > 1).select(
+    stops = flagged.select(
+        "SequenceNumber", "LineDirectionLegacyOrder",
         F.col("JourneyPointRef").alias("JourneyLinkRef"),
         "JourneyRef",
         F.coalesce("ObservedDepartureDateTime", "PlannedDepartureDateTime").alias("DateTime"),
         "LineDirectionCode",
-        "LineDirectionLinkOrder",
         concat_null_as_empty(F.col("StopPointSectionFromNumber"), ":",
                              F.col("StopPointSectionToNumber")).alias("LinkRef"),
         concat_null_as_empty(F.col("StopPointSectionFromName"), " - ",
@@ -105,4 +102,22 @@ def extract_link_travel_time(journey: DataFrame, pattern: DataFrame, point: Data
         F.when((tt > 0) & (F.col("HasInconsistentObservation") == 0), tt)
         .cast("double").alias("LinkTravelTime"),
     )
+    stops = materialize(stops, "journey-stops")
+    ranks = materialize(link_order(stops), "link-order")
+    out = join_small(stops.where(F.col("SequenceNumber") > 1), ranks,
+                     ["LineDirectionCode", "LineDirectionLegacyOrder"])
+    out = out.select("JourneyLinkRef", "JourneyRef", "DateTime", "LineDirectionCode", "LineDirectionLinkOrder",
+                     "LinkRef", "LinkName", "DayOfWeek", "LinkTravelTime")
     return out.orderBy("JourneyLinkRef") if order else out
+
+
+def link_subset(obs: DataFrame, direction: int | None = None, order_from: int | None = None,
+                order_to: int | None = None, links: Iterable[str] | None = None) -> DataFrame:
+    """Observations of one line direction, a range of link orders (both ends in) and/or named links."""
+    if direction is not None:
+        obs = obs.where(F.col("LineDirectionCode") == direction)
+    if order_from is not None:
+        obs = obs.where(F.col("LineDirectionLinkOrder") >= order_from)
+    if order_to is not None:
+        obs = obs.where(F.col("LineDirectionLinkOrder") <= order_to)
+    return obs if links is None else obs.where(F.col("LinkRef").isin(list(links)))

@@ -1,48 +1,16 @@
-"""Join helpers with a checked broadcast.
+"""Join of a large side with a side that is usually small.
 
-A side is broadcast only after its row count is proven to be under a bound; above
-the bound the join stays a shuffle join (sort-merge or shuffled hash, picked by
-Catalyst/AQE, with AQE splitting skewed partitions).
-
-The check must not cost a second evaluation of an expensive plan. So the bound is
-checked on the cheapest table that bounds the side: the side itself when it is a
-scanned dimension or a materialised (checkpointed) result, or a dimension that
-bounds a derived side (``bound_by``: e.g. the link order of the journey rows has at
-most as many rows as the section dimension).
+No hint is given: Spark compares the known bytes of the small side (a scanned dimension or a
+table written by ``materialize``) with ``spark.sql.autoBroadcastJoinThreshold`` and broadcasts
+it below that; above it both sides are shuffled on the keys, and AQE re-plans from measured
+sizes and splits skewed partitions.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
-
-# Row bound under which a dimension-like side is broadcast. 2M narrow rows is a few
-# tens of MB per executor, well under the default broadcast limits.
-DEFAULT_BROADCAST_ROWS = 2_000_000
-
-
-def is_bounded(df: DataFrame, max_rows: int = DEFAULT_BROADCAST_ROWS) -> bool:
-    """True when ``df`` has at most ``max_rows`` rows (stops counting past the bound)."""
-    return df.limit(max_rows + 1).count() <= max_rows
-
-
-def maybe_broadcast(df: DataFrame, max_rows: int = DEFAULT_BROADCAST_ROWS,
-                    bound_by: DataFrame | None = None) -> DataFrame:
-    """Mark ``df`` for broadcast when its size is checked to be small, else return it.
-
-    ``bound_by``: a cheaper DataFrame with at least as many rows as ``df`` can have;
-    the check runs on it instead of on ``df``.
-    """
-    probe = df if bound_by is None else bound_by
-    return F.broadcast(df) if is_bounded(probe, max_rows) else df
-
 
-def join_small(big: DataFrame, small: DataFrame, on, how: str = "inner",
-               max_rows: int = DEFAULT_BROADCAST_ROWS,
-               bound_by: DataFrame | None = None) -> DataFrame:
-    """Join ``big`` with a side that is usually small (dimension, profile, scales).
 
-    ``small`` is broadcast after a size check (on ``bound_by`` when given); otherwise
-    both sides shuffle on the keys. ``how`` is from the point of view of ``big``.
-    """
-    return big.join(maybe_broadcast(small, max_rows, bound_by), on=on, how=how)
+def join_small(big: DataFrame, small: DataFrame, on, how: str = "inner") -> DataFrame:
+    """Join ``big`` with a dimension, profile or scale table; ``how`` as seen from ``big``."""
+    return big.join(small, on=on, how=how)

@@ -25,17 +25,19 @@ def link_mad_bounds(obs: DataFrame, k: float = 4.0, floor: float = 0.0,
     return mad_bounds(median_mad(x, ["LinkRef"], VALUE, mad_scale), k, floor)
 
 
-def flag_outliers(obs: DataFrame, profile_slots: DataFrame, freq="15min",
-                  check_missing: bool = False) -> DataFrame:
-    """Adds ``low``, ``upr`` and ``inlier`` from the filled profile of (link, slot)."""
+def flag_outliers(obs: DataFrame, profile_slots: DataFrame, freq="15min") -> DataFrame:
+    """Adds ``low``, ``upr`` and ``inlier`` from the filled profile of (link, slot).
+
+    A row whose (link, slot) the profile lacks fails the job.
+    """
     keyed = obs if "slot" in obs.columns else with_time_keys(obs, freq)
-    bands = profile_slots.select("LinkRef", "slot", "low", "upr")
+    bands = profile_slots.select("LinkRef", "slot", "low", "upr", F.lit(True).alias("_known"))
     joined = join_small(keyed, bands, ["LinkRef", "slot"], "left")
-    if check_missing:
-        n_missing = joined.where(F.col("low").isNull() & F.col("upr").isNull()).limit(1).count()
-        if n_missing:
-            raise KeyError("observations with a (LinkRef, slot) missing from the profile")
-    return joined.withColumn("inlier", F.coalesce(strictly_inside(VALUE), F.lit(False)))
+    unknown = F.raise_error(F.concat(F.lit("no band for link "), F.coalesce(F.col("LinkRef").cast("string"), F.lit("NULL")),
+                                     F.lit(" slot "), F.coalesce(F.col("slot").cast("string"), F.lit("NULL"))))
+    inlier = F.when(F.col("_known").isNull(), unknown.cast("boolean")).otherwise(
+        F.coalesce(strictly_inside(VALUE), F.lit(False)))
+    return joined.withColumn("inlier", inlier).drop("_known")
 
 
 def remove_outliers(obs: DataFrame, profile_slots: DataFrame, freq="15min") -> DataFrame:

@@ -74,7 +74,7 @@ def robust_cells(df: DataFrame, keys: Sequence[str], value: str, k: float = 3.0,
     d = x - F.col("median")
     moments = inl.groupBy(*keys).agg(
         F.sum("_n").alias("n_inliers"),
-        F.sum(to_fixed(x) * F.col("_n")).alias("_fx"),
+        F.sum(to_fixed(x) * F.col("_n").cast("decimal(19,0)")).alias("_fx"),
         F.sum(d * F.col("_n")).alias("_s1"),
         F.sum(d * d * F.col("_n")).alias("_s2"))
     out = bounds.join(moments, keys, "left")

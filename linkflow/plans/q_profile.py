@@ -90,7 +90,7 @@ def q_time_keys(spark, sf_dir):
            {sql_fixed_mean("LinkTravelTime")} AS mean, round(stddev_samp(LinkTravelTime), 4) AS std
     FROM obs GROUP BY LineDirectionLinkOrder, LinkRef, LinkName""", "obs"))
 def q_link_stats(spark, sf_dir):
-    o = obs(spark, sf_dir)
+    o = Tables(spark, sf_dir).ordered_obs()
     return o.groupBy("LineDirectionLinkOrder", "LinkRef", "LinkName").agg(
         F.count("LinkTravelTime").alias("n"),
         fixed_mean("LinkTravelTime").alias("mean"), r4(F.stddev_samp("LinkTravelTime"), "std"))

@@ -119,13 +119,16 @@ def q_inverse_series(spark, sf_dir):
     return se.inverse(zseries(spark, sf_dir)).select("LinkRef", "bin_ts", r4("seconds"))
 
 
-@query("wide_series", zseries_sql("""
-    PIVOT (SELECT bin_ts, LinkRef, round(CASE WHEN scale IS NOT NULL THEN dev + mean END, 4) AS s FROM zs)
-    ON LinkRef USING first(s) GROUP BY bin_ts"""))
+EVENT_LINKS = ("click", "error", "purchase", "signup", "view")   # columns of the wide series
+
+
+@query("wide_series", zseries_sql("SELECT bin_ts, " + ", ".join(
+    f"max(CASE WHEN LinkRef = '{link}' AND scale IS NOT NULL THEN round(dev + mean, 4) END) AS \"{link}\""
+    for link in EVENT_LINKS) + " FROM zs GROUP BY bin_ts"))
 def q_wide_series(spark, sf_dir):
     from ..sources.sinks import to_wide
     long = se.inverse(zseries(spark, sf_dir)).select("LinkRef", "bin_ts", r4("seconds"))
-    return to_wide(long, "bin_ts", "LinkRef", "seconds")
+    return to_wide(long, "bin_ts", "LinkRef", "seconds", EVENT_LINKS)
 
 
 # --------------------------------------------------------------------- windows

@@ -13,7 +13,8 @@ Mapping (all rows of the source tables are used):
 * ``journey_point`` <- lineitem: one point per line, numbered per order; observed
   arrival = ship date (missing for some returned parts), departure = arrival +
   quantity minutes; line number 4 is a non-stop point.
-* ``journey_pattern`` / ``journey_pattern_section`` <- nation (16 sections each).
+* ``journey_pattern`` / ``journey_pattern_section`` <- nation, with as many sections each as the
+  longest order has lines.
 * ``forecast_log`` and ``external_log`` <- events.
 """
 
@@ -24,8 +25,7 @@ from pyspark.sql import functions as F
 
 from ..functions.time import iso_dow
 from ..operators.joins import join_small
-
-SECTIONS_PER_PATTERN = 16
+from ..session import materialize
 
 TABLES = ["region", "nation", "customer", "supplier", "part", "orders", "lineitem",
           "events", "documents", "embeddings", "pages", "benchmark", "labels",
@@ -58,7 +58,7 @@ def link_dimension(events: DataFrame) -> DataFrame:
 
 
 def link_observations(events: DataFrame, links: DataFrame | None = None) -> DataFrame:
-    """Observation rows; ``links`` is the link dimension (a static one for a stream)."""
+    """Observation rows; with ``links`` (the link dimension) also the order along the line."""
     obs = events.select(
         F.col("event_id").alias("JourneyLinkRef"),
         F.col("user_id").alias("JourneyRef"),
@@ -69,7 +69,9 @@ def link_observations(events: DataFrame, links: DataFrame | None = None) -> Data
         iso_dow("ts").alias("DayOfWeek"),
         F.when(F.col("event_id") % 20 != 0, F.col("value")).alias("LinkTravelTime"),
     )
-    obs = join_small(obs, links if links is not None else link_dimension(events), "LinkRef")
+    if links is None:
+        return obs
+    obs = join_small(obs, links, "LinkRef")
     return obs.select("JourneyLinkRef", "JourneyRef", "DateTime", "LineDirectionCode",
                       "LineDirectionLinkOrder", "LinkRef", "LinkName", "DayOfWeek",
                       "LinkTravelTime")
@@ -112,9 +114,10 @@ def journey_pattern(nation: DataFrame) -> DataFrame:
                          F.lit(1).alias("IsCurrent"))
 
 
-def journey_pattern_section(nation: DataFrame) -> DataFrame:
-    s = nation.select("n_nationkey",
-                      F.explode(F.sequence(F.lit(1), F.lit(SECTIONS_PER_PATTERN))).alias("s"))
+def journey_pattern_section(nation: DataFrame, lineitem: DataFrame) -> DataFrame:
+    lines = lineitem.groupBy("l_orderkey").agg(F.count(F.lit(1)).alias("n"))
+    longest = lines.agg(F.max("n").cast("int")).scalar()
+    s = nation.select("n_nationkey", F.explode(F.sequence(F.lit(1), longest)).alias("s"))
     frm = (F.col("n_nationkey") * 100 + F.col("s") - 1).cast("string")
     to = (F.col("n_nationkey") * 100 + F.col("s")).cast("string")
     return s.select(
@@ -164,6 +167,11 @@ class Tables:
     def obs(self) -> DataFrame:
         return link_observations(self.raw("events"))
 
+    def ordered_obs(self) -> DataFrame:
+        """Observations with their link order (the link dimension is written first)."""
+        events = self.raw("events")
+        return link_observations(events, materialize(link_dimension(events), "links"))
+
     def journey(self) -> DataFrame:
         return journey(self.raw("orders"), self.raw("customer"))
 
@@ -174,7 +182,7 @@ class Tables:
         return journey_pattern(self.raw("nation"))
 
     def section(self) -> DataFrame:
-        return journey_pattern_section(self.raw("nation"))
+        return journey_pattern_section(self.raw("nation"), self.raw("lineitem"))
 
     def forecast_log(self) -> DataFrame:
         return forecast_log(self.raw("events"))
@@ -221,7 +229,7 @@ DUCKDB_VIEWS: dict[str, str] = {
         SELECT CAST(n_nationkey AS BIGINT) AS JourneyPatternId,
                CAST(n_regionkey AS INTEGER) AS LineDirectionCode, 1 AS IsCurrent
         FROM nation""",
-    "journey_pattern_section": f"""
+    "journey_pattern_section": """
         SELECT CAST(n_nationkey AS BIGINT) AS JourneyPatternId, CAST(s AS INTEGER) AS SequenceNumber,
                CAST(s * 10 + n_nationkey % 3 AS INTEGER) AS LineDirectionLegacyOrder,
                CAST(n_nationkey * 100 + s - 1 AS VARCHAR) AS StopPointSectionFromNumber,
@@ -230,7 +238,8 @@ DUCKDB_VIEWS: dict[str, str] = {
                  AS StopPointSectionFromName,
                'Stop ' || CAST(n_nationkey * 100 + s AS VARCHAR) AS StopPointSectionToName,
                1 AS IsCurrent
-        FROM nation, generate_series(1, {SECTIONS_PER_PATTERN}) g(s)""",
+        FROM (SELECT n_nationkey, unnest(generate_series(1, longest)) AS s
+              FROM nation, (SELECT max(seq) AS longest FROM jp_src)) numbered""",
     "forecast_log": """
         SELECT ts AS LogTime, user_id AS JourneyRef, event_id AS JourneyLinkRef,
                CAST(user_id AS VARCHAR) AS VehicleRef, event_type AS LinkRef,
@@ -246,7 +255,7 @@ DUCKDB_VIEWS: dict[str, str] = {
         FROM events""",
 }
 
-_DEPS = {"obs": ["obs_links"], "journey_point": ["jp_src"]}
+_DEPS = {"obs": ["obs_links"], "journey_point": ["jp_src"], "journey_pattern_section": ["jp_src"]}
 
 
 def with_views(sql: str, *views: str, extra: list[tuple[str, str]] | None = None) -> str:
