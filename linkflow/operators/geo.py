@@ -1,13 +1,21 @@
 """Route-link geometry: key, join, dissolve, end-to-end merge, GeoJSON features.
 
 Geometry travels as WKT text (coordinates already in the target reference system).
-Parsing and output use built-in expressions; only the chaining of the few segments
-of one link into a single line is Python, per link group (``applyInPandas``), since a
-link has a handful of segments.
+Parsing and output use built-in expressions; only the merge of the few segments
+of one link is Python, per link group (``applyInPandas``), since a link has a
+handful of segments.
+
+Lines are joined wherever exactly two line ends meet; every part that is left is kept.
+The result does not depend on row order: equal segments (in either direction) count once,
+segments are taken in coordinate order, and a merged line runs the way most of its segments
+do (on a tie, the way that sorts first). Segments that are NULL, empty or of another kind
+add nothing; a link with no line has kind NULL and no parts.
 """
 
 from __future__ import annotations
 
+from collections import defaultdict
+
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -15,18 +23,22 @@ from pyspark.sql import functions as F
 from ..functions.text import link_key, wkt_kind
 from .joins import join_small
 
-COORDS = "array<struct<x:double,y:double>>"
+PARTS = "array<array<struct<x:double,y:double>>>"
 
 
-def linestring_coords(wkt) -> Column:
-    """'LINESTRING (x y, x y, ...)' -> array<struct<x, y>> (NULL for other kinds)."""
+def line_parts(wkt) -> Column:
+    """LINESTRING or MULTILINESTRING text -> array of lines of points (NULL for other kinds)."""
     c = F.col(wkt) if isinstance(wkt, str) else wkt
-    body = F.regexp_extract(c, r"(?i)^\s*LINESTRING\s*\((.*)\)\s*$", 1)
-    pts = F.split(F.trim(body), r"\s*,\s*")
-    coords = F.transform(pts, lambda p: F.struct(
-        F.split(F.trim(p), r"\s+")[0].cast("double").alias("x"),
-        F.split(F.trim(p), r"\s+")[1].cast("double").alias("y")))
-    return F.when(wkt_kind(c) == "LINESTRING", coords)
+    single = F.regexp_extract(c, r"(?is)^\s*LINESTRING\s*\((.*)\)\s*$", 1)
+    several = F.regexp_extract(c, r"(?is)^\s*MULTILINESTRING\s*\(\s*\((.*)\)\s*\)\s*$", 1)
+    body = F.when(wkt_kind(c) == "LINESTRING", single).when(wkt_kind(c) == "MULTILINESTRING", several)
+
+    def point(text):
+        xy = F.split(F.trim(text), r"\s+")
+        return F.struct(F.get(xy, 0).try_cast("double").alias("x"), F.get(xy, 1).try_cast("double").alias("y"))
+
+    lines = F.transform(F.split(body, r"\)\s*,\s*\("), lambda line: F.transform(F.split(line, ","), point))
+    return F.filter(lines, lambda line: F.forall(line, lambda p: p["x"].isNotNull() & p["y"].isNotNull()))
 
 
 def segments_with_links(segments: DataFrame, link_dim: DataFrame) -> DataFrame:
@@ -35,53 +47,71 @@ def segments_with_links(segments: DataFrame, link_dim: DataFrame) -> DataFrame:
     return join_small(keyed, link_dim, "PointLinkRef")
 
 
-def _chain(pdf: pd.DataFrame) -> pd.DataFrame:
-    """Chain the segments of one link end to end (reversing a segment when needed)."""
-    segs = [list(map(tuple, ((p["x"], p["y"]) for p in c))) for c in pdf["coords"] if c is not None]
-    line: list = []
-    remaining = segs[:]
-    if remaining:
-        line = list(remaining.pop(0))
-    merged = True
-    while remaining and merged:
-        merged = False
-        for i, s in enumerate(remaining):
-            if s[0] == line[-1]:
-                line += s[1:]
-            elif s[-1] == line[-1]:
-                line += list(reversed(s))[1:]
-            elif s[-1] == line[0]:
-                line = s[:-1] + line
-            elif s[0] == line[0]:
-                line = list(reversed(s))[:-1] + line
-            else:
-                continue
-            remaining.pop(i)
-            merged = True
-            break
-    kind = "LineString" if not remaining else "MultiLineString"
-    parts = [line] + remaining if remaining else [line]
+def merged_lines(lines: list[list[tuple]]) -> list[list[tuple]]:
+    """Lines joined at every point where exactly two line ends meet (see the module's docstring)."""
+    lines = sorted({min(tuple(line), tuple(reversed(line))): tuple(line) for line in sorted(lines, reverse=True)}.values())
+    ends = defaultdict(list)
+    for i, line in enumerate(lines):
+        ends[line[0]].append(i)
+        ends[line[-1]].append(i)
+    used: set[int] = set()
+
+    def follow(i: int, start: tuple) -> list[tuple]:
+        path, along = [start], 0
+        while i is not None:
+            used.add(i)
+            forward = lines[i][0] == path[-1]
+            along += 1 if forward else -1
+            path += (lines[i] if forward else lines[i][::-1])[1:]
+            meeting = ends[path[-1]]
+            i = next((j for j in meeting if j not in used), None) if len(meeting) == 2 else None
+        return path[::-1] if along < 0 or (along == 0 and path[::-1] < path) else path
+
+    tips = sorted(p for p, met in ends.items() if len(met) != 2)
+    found = [follow(i, p) for p in tips for i in ends[p] if i not in used]
+    found += [follow(i, lines[i][0]) for i in range(len(lines)) if i not in used]   # closed rings
+    return sorted(found)
+
+
+def _merge_group(pdf: pd.DataFrame) -> pd.DataFrame:
+    lines = [[(p["x"], p["y"]) for p in line] for parts in pdf["lines"] if parts is not None for line in parts]
+    parts = merged_lines(lines)
+    kind = None if not parts else "LineString" if len(parts) == 1 else "MultiLineString"
     return pd.DataFrame({"LinkRef": [pdf["LinkRef"].iloc[0]], "kind": [kind],
-                         "n_segments": [len(segs)],
-                         "coords": [[{"x": x, "y": y} for x, y in parts[0]]],
-                         "n_parts": [len(parts)]})
+                         "n_segments": [len(lines)], "n_parts": [len(parts)],
+                         "parts": [[[{"x": x, "y": y} for x, y in part] for part in parts]]})
 
 
 def merge_link_geometry(segments: DataFrame, link_dim: DataFrame) -> DataFrame:
-    """Dissolve segments by stop link and merge them into one line per link."""
+    """Dissolve segments by stop link and merge them: (LinkRef, kind, n_segments, n_parts, parts)."""
     joined = segments_with_links(segments, link_dim).select(
-        F.col("StopPointLinkRef").alias("LinkRef"), linestring_coords("wkt").alias("coords"))
+        F.col("StopPointLinkRef").alias("LinkRef"), line_parts("wkt").alias("lines"))
     return joined.groupBy("LinkRef").applyInPandas(
-        _chain, f"LinkRef string, kind string, n_segments long, coords {COORDS}, n_parts long")
+        _merge_group, f"LinkRef string, kind string, n_segments long, n_parts long, parts {PARTS}")
+
+
+def geometry_wkt(parts="parts") -> Column:
+    """Parts as LINESTRING or MULTILINESTRING text (NULL without parts)."""
+    texts = F.transform(parts, lambda line: F.concat(F.lit("("), F.array_join(F.transform(
+        line, lambda p: F.concat_ws(" ", p["x"].cast("string"), p["y"].cast("string"))), ", "), F.lit(")")))
+    return (F.when(F.size(parts) == 1, F.concat(F.lit("LINESTRING "), texts[0]))
+            .when(F.size(parts) > 1, F.concat(F.lit("MULTILINESTRING ("), F.array_join(texts, ", "), F.lit(")"))))
+
+
+def _feature(kind: str, coordinates: Column, properties: Column) -> Column:
+    return F.to_json(F.struct(
+        F.lit("Feature").alias("type"),
+        F.struct(F.lit(kind).alias("type"), coordinates.alias("coordinates")).alias("geometry"),
+        properties.alias("properties")))
 
 
 def geojson_features(merged: DataFrame) -> DataFrame:
-    """One GeoJSON Feature (JSON text) per link, column ``feature``."""
-    coords = F.transform("coords", lambda p: F.array(p["x"], p["y"]))
-    geometry = F.struct(F.lit("LineString").alias("type"), coords.alias("coordinates"))
-    feature = F.struct(F.lit("Feature").alias("type"), geometry.alias("geometry"),
-                       F.struct(F.col("LinkRef")).alias("properties"))
-    return merged.select("LinkRef", F.to_json(feature).alias("feature"))
+    """One GeoJSON Feature (JSON text) per link, column ``feature`` (NULL for a link without a line)."""
+    lines = F.transform("parts", lambda line: F.transform(line, lambda p: F.array(p["x"], p["y"])))
+    named = F.struct(F.col("LinkRef"))
+    return merged.select("LinkRef", F.when(F.col("kind") == "LineString", _feature("LineString", F.get(lines, 0), named))
+                         .when(F.col("kind") == "MultiLineString", _feature("MultiLineString", lines, named))
+                         .alias("feature"))
 
 
 def point_features(points: DataFrame, wkt_col: str = "Geography") -> DataFrame:
@@ -89,7 +119,4 @@ def point_features(points: DataFrame, wkt_col: str = "Geography") -> DataFrame:
     from ..functions.text import wkt_point_xy
     xy = wkt_point_xy(wkt_col)
     props = [c for c in points.columns if c != wkt_col]
-    geometry = F.struct(F.lit("Point").alias("type"), F.array(xy["x"], xy["y"]).alias("coordinates"))
-    feature = F.struct(F.lit("Feature").alias("type"), geometry.alias("geometry"),
-                       F.struct(*props).alias("properties"))
-    return points.select(F.to_json(feature).alias("feature"))
+    return points.select(_feature("Point", F.array(xy["x"], xy["y"]), F.struct(*props)).alias("feature"))

@@ -8,8 +8,8 @@ mean is.
 (ts, tie) order per key. The recursion is split into time chunks so no task holds a
 key's whole history:
 
-1. per (key, chunk), in pandas: the recursion started from 0 (``local``) and the
-   position inside the chunk;
+1. per (key, chunk), over sorted batches: the recursion started from 0 (``local``) and
+   the position inside the chunk;
 2. per key, over its small chunk table: the state at each chunk end,
    ``Y_c = (1-a)^{n_c} Y_{c-1} + local_last_c`` with ``Y_{-1} = x_0``;
 3. per row: ``y = (1-a)^{k} Y_{c-1} + local`` (k = position in chunk, from 1).
@@ -34,17 +34,25 @@ def rolling_mean(df: DataFrame, value: str, key: str, order: str, window: int =
 
 
 def _local_recursion(alpha: float):
-    def fn(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["_ts", "_tie"], kind="mergesort")
-        x = pdf["_x"].to_numpy(dtype=float)
-        local = np.empty_like(x)
-        acc = 0.0
-        for i, v in enumerate(x):  # sequential by definition; one chunk only
-            acc = (1.0 - alpha) * acc + alpha * v
-            local[i] = acc
-        return pd.DataFrame({"_key": pdf["_key"].to_numpy(), "_chunk": pdf["_chunk"].to_numpy(),
-                             "_tie": pdf["_tie"].to_numpy(), "_k": np.arange(1, len(x) + 1),
-                             "_local": local})
+    def fn(frames):
+        last, acc, k = None, 0.0, 0    # of the chunk that the previous batch ended in
+        for pdf in frames:
+            if pdf.empty:
+                continue
+            group = pdf.groupby(["_key", "_chunk"], sort=False).ngroup().to_numpy()
+            starts = [0, *(np.flatnonzero(np.diff(group)) + 1), len(pdf)]
+            x = pdf["_x"].to_numpy(dtype=float)
+            local, pos = np.empty(len(pdf)), np.empty(len(pdf), dtype=np.int64)
+            for at, end in zip(starts, starts[1:]):
+                here = (pdf["_key"].iat[at], pdf["_chunk"].iat[at])
+                if here != last:
+                    last, acc, k = here, 0.0, 0
+                run = pd.Series(np.concatenate([[acc], x[at:end]])).ewm(alpha=alpha, adjust=False).mean()
+                local[at:end] = run.to_numpy()[1:]
+                pos[at:end] = np.arange(k + 1, k + 1 + end - at)
+                acc, k = local[end - 1], k + end - at
+            yield pd.DataFrame({"_key": pdf["_key"], "_chunk": pdf["_chunk"], "_tie": pdf["_tie"],
+                                "_k": pos, "_local": local})
     return fn
 
 
@@ -64,13 +72,18 @@ def _chunk_states(alpha: float):
 def ewm(df: DataFrame, value: str, key: str = "LinkRef", ts: str = "DateTime",
         tie: str = "JourneyLinkRef", span: float = 12.0, chunk="1h",
         out: str = "ewm") -> DataFrame:
-    """Recursive (``adjust=False``) exponentially weighted mean per key; NULL values skipped."""
+    """Recursive (``adjust=False``) exponentially weighted mean per key.
+
+    Rows without key, time or value have no place in the recursion and are left out. ``tie``
+    must be unique. Sorted chunks stream through a task batch by batch, so memory does not
+    depend on how many rows a chunk has; the table of states has one row per key and chunk.
+    """
     alpha = 2.0 / (span + 1.0)
-    src = df.where(F.col(value).isNotNull())
+    src = df.dropna(subset=[key, ts, value])
     base = src.select(F.col(key).cast("string").alias("_key"), floor_time(ts, chunk).alias("_chunk"),
                       F.col(ts).alias("_ts"), F.col(tie).cast("long").alias("_tie"),
                       F.col(value).cast("double").alias("_x"))
-    local = base.groupBy("_key", "_chunk").applyInPandas(
+    local = base.repartition("_key", "_chunk").sortWithinPartitions("_key", "_chunk", "_ts", "_tie").mapInPandas(
         _local_recursion(alpha),
         "_key string, _chunk timestamp_ntz, _tie long, _k long, _local double")
     first_x = base.groupBy("_key").agg(F.min_by("_x", F.struct("_ts", "_tie")).alias("_x0"))

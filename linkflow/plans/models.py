@@ -1,48 +1,112 @@
 """Linear forecasters trained on Spark (re-aimed from single-machine networks).
 
-* ``sar_one_lag``: per link, least squares of z(t) on z(t-1) (``regr_slope`` /
-  ``regr_intercept``), then the one-step error series and a second stage that adds
-  the lagged error as a regressor (two-stage least squares replaces the original
-  one-sample-at-a-time fitting).
-* ``lag_regression``: one ``pyspark.ml`` linear regression per horizon on the lag
-  vector of each (link, bin) window; training is distributed (tree aggregation).
+* ``least_squares``: ordinary least squares per key from the normal equations. The sums of
+  products are one grouped aggregation; one row of sums per key is solved in numpy.
+* ``sar_fit``: per link, z(t) on its last ``lags`` values; then a refit with the previous
+  one-step error of that first model as one more regressor (0 where there is none before).
+  Two least-squares fits stand for the original one-sample-at-a-time training.
+* ``lag_regression``: one ``pyspark.ml`` linear regression per horizon on the lag vector of
+  each (link, bin) window, by normal equations; fitted on one set of windows, applied to another.
 """
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
+import numpy as np
 from pyspark.ml.functions import array_to_vector
-from pyspark.ml.regression import LinearRegression
+from pyspark.ml.regression import LinearRegression, LinearRegressionModel
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import materialize
+
+
+def _solved(frames):
+    for pdf in frames:
+        pdf["coef"] = [np.linalg.lstsq(np.array(sums, float).reshape(len(right), -1), np.array(right, float), rcond=None)[0]
+                       for sums, right in zip(pdf["_xx"], pdf["_xy"])]
+        yield pdf.drop(columns=["_xx", "_xy"])
+
+
+def least_squares(rows: DataFrame, key: str, y: str, xs: Sequence[str]) -> DataFrame:
+    """``(key, n, coef)``: intercept and one coefficient per regressor, over rows without NULLs."""
+    whole = rows.dropna(subset=[y, *xs])
+    design = [F.lit(1.0)] + [F.col(x) for x in xs]
+    sums = whole.groupBy(key).agg(
+        F.count(F.lit(1)).alias("n"),
+        F.array(*[F.sum(a * b) for a in design for b in design]).alias("_xx"),
+        F.array(*[F.sum(a * F.col(y)) for a in design]).alias("_xy"))
+    return sums.mapInPandas(_solved, f"{key} {rows.schema[key].dataType.simpleString()}, n long, coef array<double>")
+
+
+def _predicted(xs: Sequence[str]):
+    total = F.col("coef")[0]
+    for i, x in enumerate(xs):
+        total = total + F.col("coef")[i + 1] * F.col(x)
+    return total
+
+
+def sar_fit(series: DataFrame, lags: int = 3, key: str = "LinkRef", order: str = "bin_ts"):
+    """(coefficients of the refit, its one-step errors).
+
+    Coefficients: ``(key, n, intercept, lag_1 .. lag_n, lag_error)``. Errors: ``(key, order, y,
+    pred, error, weight)`` for every position with all lags.
+    """
+    w = Window.partitionBy(key).orderBy(order)
+    xs = [f"lag_{i}" for i in range(1, lags + 1)]
+    rows = series.select(key, order, F.col("z").alias("y"), "weight",
+                         *[F.lag("z", i).over(w).alias(x) for i, x in enumerate(xs, 1)]).dropna(subset=["y", *xs])
+    rows = materialize(rows, "sar-rows")
+    first = materialize(least_squares(rows, key, "y", xs).select(key, "coef"), "sar-first")
+    errors = rows.join(first, key).withColumn("_e", F.col("y") - _predicted(xs)).drop("coef")
+    again = materialize(errors.withColumn("lag_error", F.coalesce(F.lag("_e").over(w), F.lit(0.0))), "sar-again")
+    both = [*xs, "lag_error"]
+    second = materialize(least_squares(again, key, "y", both), "sar-second")
+    coefficients = second.select(key, "n", F.col("coef")[0].alias("intercept"),
+                                 *[F.col("coef")[i].alias(x) for i, x in enumerate(both, 1)])
+    steps = (again.join(second.select(key, "coef"), key).withColumn("pred", _predicted(both))
+             .select(key, order, "y", "pred", (F.col("y") - F.col("pred")).alias("error"), "weight"))
+    return coefficients, steps
+
+
+def weighted_rmse(steps: DataFrame, order: str = "bin_ts") -> DataFrame:
+    """``(rmse_sar, rmse_ha, n)``: root mean square over bins of the weighted total error, a 60th.
+
+    The historical average forecasts a normalised value of 0, so its error is y itself.
+    """
+    totals = steps.groupBy(order).agg(F.sum(F.col("weight") * F.col("error") / 60.0).alias("e"),
+                                      F.sum(F.col("weight") * F.col("y") / 60.0).alias("h"))
+    return totals.agg(F.sqrt(F.avg(F.col("e") * F.col("e"))).alias("rmse_sar"),
+                      F.sqrt(F.avg(F.col("h") * F.col("h"))).alias("rmse_ha"), F.count(F.lit(1)).alias("n"))
+
 
 def sar_one_lag(series: DataFrame, key: str = "LinkRef", order: str = "bin_ts") -> DataFrame:
-    """``(key, n, slope, intercept, err_coef, err_intercept)`` of the two-stage fit."""
+    """``(key, n, slope, intercept)`` of z(t) on z(t-1)."""
     w = Window.partitionBy(key).orderBy(order)
-    lagged = series.select(key, order, F.col("z").alias("y"), F.lag("z").over(w).alias("x"))
-    first = lagged.groupBy(key).agg(F.regr_count("y", "x").alias("n"),
-                                    F.regr_slope("y", "x").alias("slope"),
-                                    F.regr_intercept("y", "x").alias("intercept"))
-    err = (lagged.join(first, key)
-           .withColumn("e", F.col("y") - (F.col("slope") * F.col("x") + F.col("intercept")))
-           .withColumn("e_lag", F.lag("e").over(w)))
-    # second stage: residual on the lagged residual (the error term of the model)
-    second = err.groupBy(key).agg(F.regr_slope("e", "e_lag").alias("err_coef"),
-                                  F.regr_intercept("e", "e_lag").alias("err_intercept"))
-    return first.join(second, key)
-
-
-def lag_regression(rolled: DataFrame, preds: int, max_iter: int = 50,
-                   reg_param: float = 0.0) -> DataFrame:
-    """Fit and apply one linear model per horizon; ``(LinkRef, bin_ts, horizon, z_true, z_pred)``."""
-    data = rolled.select("LinkRef", "bin_ts", array_to_vector("X").alias("features"), "Y")
-    out = None
-    for h in range(preds):
-        part = data.withColumn("label", F.col("Y")[h])
-        model = LinearRegression(featuresCol="features", labelCol="label", maxIter=max_iter,
-                                 regParam=reg_param, solver="l-bfgs").fit(part)
-        scored = model.transform(part).select(
-            "LinkRef", "bin_ts", F.lit(h + 1).alias("horizon"),
-            F.col("label").alias("z_true"), F.col("prediction").alias("z_pred"))
-        out = scored if out is None else out.unionByName(scored)
-    return out
+    lagged = series.select(key, F.col("z").alias("y"), F.lag("z").over(w).alias("x"))
+    return lagged.groupBy(key).agg(F.regr_count("y", "x").alias("n"), F.regr_slope("y", "x").alias("slope"),
+                                   F.regr_intercept("y", "x").alias("intercept"))
+
+
+def fit_lag_regression(rolled: DataFrame, preds: int, reg_param: float = 0.0) -> list[LinearRegressionModel]:
+    """One model per horizon; the windows are written once and read once per horizon."""
+    data = materialize(rolled.select(array_to_vector("X").alias("features"), "Y"), "lag-windows")
+    return [LinearRegression(featuresCol="features", labelCol="label", regParam=reg_param, solver="normal")
+            .fit(data.select("features", F.col("Y")[h].alias("label"))) for h in range(preds)]
+
+
+def apply_lag_regression(models: Sequence[LinearRegressionModel], rolled: DataFrame) -> DataFrame:
+    """``(LinkRef, bin_ts, horizon, z_true, z_pred, mean, scale, weight)`` in one pass over the windows."""
+    def at(h):
+        linear = F.aggregate(F.zip_with("X", F.array(*[F.lit(float(c)) for c in models[h].coefficients]), lambda x, c: x * c),
+                             F.lit(float(models[h].intercept)), lambda total, part: total + part)
+        return F.struct(F.lit(h + 1).alias("horizon"), F.col("Y")[h].alias("z_true"), linear.alias("z_pred"),
+                        F.col("Y_mean")[h].alias("mean"), F.col("Y_scale")[h].alias("scale"), F.col("Y_weight")[h].alias("weight"))
+    return (rolled.select("LinkRef", "bin_ts", F.explode(F.array(*[at(h) for h in range(len(models))])).alias("_s"))
+            .select("LinkRef", "bin_ts", "_s.*"))
+
+
+def lag_regression(train: DataFrame, test: DataFrame, preds: int, reg_param: float = 0.0) -> DataFrame:
+    """Models fitted on ``train`` windows and applied to ``test`` windows."""
+    return apply_lag_regression(fit_lag_regression(train, preds, reg_param), test)

@@ -1,8 +1,8 @@
-"""Registered queries: route-link geometry (rows-only checks).
+"""Registered queries: route-link geometry.
 
-The segment layer is derived from the pattern sections of the nation table: each
-section (stop A -> stop B) is drawn as two segments A -> A' -> B, every other one
-stored in reverse direction, so the dissolve and the end-to-end merge are exercised.
+The segment layer is drawn from ``lineitem``: a link for every pair of supplier and line
+number, with two segments that meet in a middle point. By line number modulo 4 the segments
+leave a gap, the second one is stored backwards, or both come in one multi-line text.
 """
 
 from __future__ import annotations
@@ -15,32 +15,64 @@ from .registry import query
 
 
 def segment_layer(spark, sf_dir):
-    sec = Tables(spark, sf_dir).section()
-    a, b = F.col("StopPointSectionFromNumber"), F.col("StopPointSectionToNumber")
-    m = F.concat(a, F.lit("m"))
-    x0 = F.col("JourneyPatternId") + (F.col("SequenceNumber") - 1) / 10.0
-    x1 = F.col("JourneyPatternId") + F.col("SequenceNumber") / 10.0
-    y = F.col("SequenceNumber") % 2 * 0.5
-    pt = lambda x, yy: F.concat_ws(" ", x.cast("string"), yy.cast("string"))
-    first = F.concat(F.lit("LINESTRING ("), pt(x0, F.lit(0.0)), F.lit(", "), pt(x0 + 0.05, y), F.lit(")"))
-    second_fwd = F.concat(F.lit("LINESTRING ("), pt(x0 + 0.05, y), F.lit(", "), pt(x1, F.lit(0.0)), F.lit(")"))
-    second_rev = F.concat(F.lit("LINESTRING ("), pt(x1, F.lit(0.0)), F.lit(", "), pt(x0 + 0.05, y), F.lit(")"))
-    second = F.when(F.col("SequenceNumber") % 2 == 1, second_rev).otherwise(second_fwd)
-    segs = sec.select(F.explode(F.array(
-        F.struct(a.alias("TripPointF"), m.alias("TripPointT"), first.alias("wkt")),
-        F.struct(m.alias("TripPointF"), b.alias("TripPointT"), second.alias("wkt")))).alias("s"))
-    segments = segs.select("s.*")
-    link_dim = sec.select(F.explode(F.array(F.concat(a, F.lit(":"), m), F.concat(m, F.lit(":"), b)))
-                          .alias("PointLinkRef"), F.concat(a, F.lit(":"), b).alias("StopPointLinkRef"))
+    """(segments, link dimension); points of link (s, l) are (s, l), (s + 0.25, l + 0.5), (s + 0.5, l)."""
+    pairs = Tables(spark, sf_dir).raw("lineitem").select(
+        F.col("l_suppkey").cast("double").alias("x"), F.col("l_linenumber").cast("double").alias("y"),
+        F.concat_ws("-", "l_suppkey", "l_linenumber").alias("name"),
+        (F.col("l_linenumber") % 4).alias("shape")).distinct()
+
+    def point(dx, dy):
+        return F.concat_ws(" ", (F.col("x") + dx).cast("string"), (F.col("y") + dy).cast("string"))
+
+    def line(*points):
+        return F.concat(F.lit("("), F.concat_ws(", ", *points), F.lit(")"))
+
+    first = line(point(0, 0), point(0.25, 0.5))
+    second = F.when(F.col("shape") == 0, line(point(0.375, 0.5), point(0.5, 0))).otherwise(
+        line(point(0.25, 0.5), point(0.5, 0)))
+    backwards = line(point(0.5, 0), point(0.25, 0.5))
+    multi = F.concat(F.lit("MULTILINESTRING ("), second, F.lit(", "), first, F.lit(")"))
+    one = F.when(F.col("shape") == 2, multi).otherwise(F.concat(F.lit("LINESTRING "), first))
+    two = F.when(F.col("shape") == 1, F.concat(F.lit("LINESTRING "), backwards)).when(
+        F.col("shape") != 2, F.concat(F.lit("LINESTRING "), second))
+    ends = [F.concat(F.col("name"), F.lit(mark)) for mark in ("a", "m", "z")]
+    segments = pairs.select(F.explode(F.array(
+        F.struct(ends[0].alias("TripPointF"), ends[1].alias("TripPointT"), one.alias("wkt")),
+        F.struct(ends[1].alias("TripPointF"), ends[2].alias("TripPointT"), two.alias("wkt")))).alias("s")).select("s.*")
+    link_dim = pairs.select(
+        F.explode(F.array(F.concat_ws(":", *ends[:2]), F.concat_ws(":", *ends[1:]))).alias("PointLinkRef"),
+        F.concat_ws(":", ends[0], ends[2]).alias("StopPointLinkRef"))
     return segments, link_dim
 
 
-@query("link_geometry_merge")
+# What the merge must give for that layer, written out from its points.
+_EXPECTED = """
+    WITH place AS (
+        SELECT DISTINCT CAST(l_suppkey AS DOUBLE) AS x, CAST(l_linenumber AS DOUBLE) AS y,
+               l_linenumber % 4 = 0 AS gap, l_suppkey || '-' || l_linenumber AS name FROM lineitem),
+    drawn AS (
+        SELECT name || 'a:' || name || 'z' AS LinkRef, gap, [x, y] AS p, [x + 0.25, y + 0.5] AS q,
+               [x + 0.375, y + 0.5] AS q2, [x + 0.5, y] AS r FROM place)"""
+
+
+@query("link_geometry_merge", _EXPECTED + """
+    SELECT LinkRef, CASE WHEN gap THEN 'MultiLineString' ELSE 'LineString' END AS kind,
+           CAST(2 AS BIGINT) AS n_segments, CAST(CASE WHEN gap THEN 2 ELSE 1 END AS BIGINT) AS n_parts,
+           CASE WHEN gap
+                THEN format('MULTILINESTRING (({} {}, {} {}), ({} {}, {} {}))', p[1], p[2], q[1], q[2], q2[1], q2[2], r[1], r[2])
+                ELSE format('LINESTRING ({} {}, {} {}, {} {})', p[1], p[2], q[1], q[2], r[1], r[2]) END AS wkt
+    FROM drawn""")
 def q_link_geometry_merge(spark, sf_dir):
-    segments, link_dim = segment_layer(spark, sf_dir)
-    return geo.merge_link_geometry(segments, link_dim)
+    merged = geo.merge_link_geometry(*segment_layer(spark, sf_dir))
+    return merged.select("LinkRef", "kind", "n_segments", "n_parts", geo.geometry_wkt().alias("wkt"))
 
 
-@query("link_geojson")
+@query("link_geojson", _EXPECTED + """
+    SELECT LinkRef, '{"type":"Feature","geometry":{"type":"' ||
+           CASE WHEN gap
+                THEN format('MultiLineString","coordinates":[[[{},{}],[{},{}]],[[{},{}],[{},{}]]]', p[1], p[2], q[1], q[2], q2[1], q2[2], r[1], r[2])
+                ELSE format('LineString","coordinates":[[{},{}],[{},{}],[{},{}]]', p[1], p[2], q[1], q[2], r[1], r[2]) END
+           || '},"properties":{"LinkRef":"' || LinkRef || '"}}' AS feature
+    FROM drawn""")
 def q_link_geojson(spark, sf_dir):
-    return geo.geojson_features(q_link_geometry_merge(spark, sf_dir))
+    return geo.geojson_features(geo.merge_link_geometry(*segment_layer(spark, sf_dir)))

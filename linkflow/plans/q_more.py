@@ -2,17 +2,21 @@
 
 from __future__ import annotations
 
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.fixed import sql_fixed_mean
+from ..functions.metrics import error_metrics
 from ..operators import headway as hw
 from ..operators import profile as pr
+from ..operators import series as se
 from ..operators import smoothing as sm
+from ..operators import splits as sp
 from ..operators import windows as wn
 from ..sources.adapters import Tables, with_views
 from . import models
-from .q_profile import _interp_sql, profile_sql
-from .q_series import LAGS, PREDS, zseries, zseries_sql
+from .q_profile import _interp_sql, profile_ctes, profile_sql
+from .q_series import LAGS, PREDS, transform_ctes, zseries, zseries_sql
 from .registry import query, r4
 
 _HEADWAY_CTE = ("hw", """SELECT *, CAST(date_diff('microsecond', DateTime,
@@ -59,12 +63,20 @@ def q_rolling_smooth(spark, sf_dir):
                                                        bfill("sm", ["LinkRef"], "slot")), "mean_smooth"))
 
 
-@query("ewm")
+# Each value's share in the mean falls by 11/13 a step: beyond 300 steps it is under 1e-21.
+@query("ewm", with_views("""
+    , seen AS (SELECT JourneyLinkRef, LinkRef, DateTime, LinkTravelTime,
+                      row_number() OVER (PARTITION BY LinkRef ORDER BY DateTime, JourneyLinkRef) - 1 AS t
+               FROM obs WHERE LinkTravelTime IS NOT NULL)
+    SELECT now.JourneyLinkRef, now.LinkRef, now.DateTime, now.LinkTravelTime,
+           round(sum(past.LinkTravelTime * power(11.0 / 13.0, now.t - past.t)
+                     * CASE WHEN past.t = 0 THEN 1.0 ELSE 2.0 / 13.0 END), 4) AS ewm
+    FROM seen now JOIN seen past ON past.LinkRef = now.LinkRef AND past.t BETWEEN now.t - 300 AND now.t
+    GROUP BY ALL""", "obs"))
 def q_ewm(spark, sf_dir):
-    """Rows-only check; tested against pandas ``ewm(span=12, adjust=False)`` on fixtures."""
     o = Tables(spark, sf_dir).obs()
     return sm.ewm(o, "LinkTravelTime", span=12.0).select(
-        "JourneyLinkRef", "LinkRef", "DateTime", "LinkTravelTime", "ewm")
+        "JourneyLinkRef", "LinkRef", "DateTime", "LinkTravelTime", r4("ewm"))
 
 
 @query("sar_one_lag", zseries_sql("""
@@ -77,38 +89,147 @@ def q_sar_one_lag(spark, sf_dir):
     return s.select("LinkRef", "n", r4("slope"), r4("intercept"))
 
 
-@query("sar_two_stage")
+# Least squares by orthogonal regressors: q1 .. q3 are the lags freed from the earlier ones,
+# q4 the previous error freed from all lags; a fitted value is the mean plus slope * q of each.
+def _slope(y: str, x: str) -> str:
+    return f"regr_slope({y}, {x}) OVER (PARTITION BY LinkRef)"
+
+
+def _mean(y: str) -> str:
+    return f"avg({y}) OVER (PARTITION BY LinkRef)"
+
+
+def _freed(y: str, *qs: str) -> str:
+    return f"{y} - {_mean(y)}" + "".join(f" - {_slope(y, q)} * {q}" for q in qs)
+
+
+_SAR_CTES = [
+    ("lagged", """SELECT * FROM (
+        SELECT LinkRef, bin_ts, weight, z AS y, lag(z, 1) OVER w AS x1, lag(z, 2) OVER w AS x2, lag(z, 3) OVER w AS x3
+        FROM zs WINDOW w AS (PARTITION BY LinkRef ORDER BY bin_ts)) WHERE x3 IS NOT NULL"""),
+    ("o1", f"SELECT *, {_freed('x1')} AS q1 FROM lagged"),
+    ("o2", f"SELECT *, {_freed('x2', 'q1')} AS q2 FROM o1"),
+    ("o3", f"SELECT *, {_freed('x3', 'q1', 'q2')} AS q3 FROM o2"),
+    ("e1", f"SELECT *, {_freed('y', 'q1', 'q2', 'q3')} AS e FROM o3"),
+    ("e2", "SELECT *, coalesce(lag(e) OVER (PARTITION BY LinkRef ORDER BY bin_ts), 0.0) AS x4 FROM e1"),
+    ("o4", f"SELECT *, {_freed('x4', 'q1', 'q2', 'q3')} AS q4 FROM e2"),
+    ("steps", f"SELECT *, {_freed('y', 'q1', 'q2', 'q3', 'q4')} AS error FROM o4"),
+]
+
+
+@query("sar_two_stage", zseries_sql("""
+    , s AS (SELECT LinkRef, count(*) AS n, regr_slope(y, q4) AS b4, regr_slope(y, q3) AS y3, regr_slope(x4, q3) AS x43,
+                   regr_slope(y, q2) AS y2, regr_slope(x3, q2) AS x32, regr_slope(x4, q2) AS x42,
+                   regr_slope(y, q1) AS y1, regr_slope(x2, q1) AS x21, regr_slope(x3, q1) AS x31, regr_slope(x4, q1) AS x41,
+                   avg(y) AS my, avg(x1) AS m1, avg(x2) AS m2, avg(x3) AS m3, avg(x4) AS m4
+            FROM steps GROUP BY LinkRef),
+    s3 AS (SELECT *, y3 - b4 * x43 AS b3 FROM s),
+    s2 AS (SELECT *, y2 - b3 * x32 - b4 * x42 AS b2 FROM s3),
+    s1 AS (SELECT *, y1 - b2 * x21 - b3 * x31 - b4 * x41 AS b1 FROM s2)
+    SELECT LinkRef, n, round(my - b1 * m1 - b2 * m2 - b3 * m3 - b4 * m4, 4) AS intercept, round(b1, 4) AS lag_1,
+           round(b2, 4) AS lag_2, round(b3, 4) AS lag_3, round(b4, 4) AS lag_error FROM s1""", post=_SAR_CTES))
 def q_sar_two_stage(spark, sf_dir):
-    """Rows-only: the error-term stage of the autoregression."""
-    return models.sar_one_lag(zseries(spark, sf_dir))
+    fitted, _ = models.sar_fit(zseries(spark, sf_dir))
+    return fitted.select("LinkRef", "n", *[r4(c) for c in ("intercept", "lag_1", "lag_2", "lag_3", "lag_error")])
 
 
-@query("lag_regression")
-def q_lag_regression(spark, sf_dir):
-    """Rows-only: one linear model per horizon on 32 lags, in-sample predictions."""
-    rolled = wn.roll(zseries(spark, sf_dir), LAGS, PREDS)
-    return models.lag_regression(rolled, PREDS, max_iter=20)
+@query("sar_error_series", zseries_sql("""
+    SELECT LinkRef, bin_ts, round(y, 4) AS y, round(error, 4) AS error, weight FROM steps""", post=_SAR_CTES))
+def q_sar_error_series(spark, sf_dir):
+    _, steps = models.sar_fit(zseries(spark, sf_dir))
+    return steps.select("LinkRef", "bin_ts", r4("y"), r4("error"), "weight")
 
 
-@query("scoreboard_by_fold")
-def q_scoreboard_by_fold(spark, sf_dir):
-    """Rows-only: expanding folds (0.80 + 0.05 i, 4 folds); per fold and horizon the
-    historical-average forecast vs truth on weight-summed line totals, bins with a
-    positive truth total only, in minutes."""
-    from ..functions.metrics import error_metrics
-    from ..operators import series as se
-    from ..operators import splits as sp
+@query("weighted_rmse", zseries_sql("""
+    SELECT round(sqrt(avg(e * e)), 4) AS rmse_sar, round(sqrt(avg(h * h)), 4) AS rmse_ha, count(*) AS n
+    FROM (SELECT bin_ts, sum(weight * error / 60.0) AS e, sum(weight * y / 60.0) AS h FROM steps GROUP BY bin_ts)""",
+    post=_SAR_CTES))
+def q_weighted_rmse(spark, sf_dir):
+    _, steps = models.sar_fit(zseries(spark, sf_dir))
+    return models.weighted_rmse(steps).select(r4("rmse_sar"), r4("rmse_ha"), "n")
+
+
+FOLDS, BOOTSTRAP, STEP = 4, 0.80, 0.05
+
+
+def _fold_series(spark, sf_dir):
+    """(fold, series of its train rows, series of its test rows), scaled by the train profile."""
     o = Tables(spark, sf_dir).obs().where("LinkTravelTime is not null")
-    out = None
-    for fold, train, test in sp.expanding_folds(o, 0.80, 0.05, 4):
+    for fold, train, test in sp.expanding_folds(o, BOOTSTRAP, STEP, FOLDS):
         p = pr.fit_profile(train)
-        hz = wn.explode_horizons(wn.roll(se.transform(test, p), LAGS, PREDS))
-        true = F.when(F.col("scale").isNotNull(), F.col("z") * F.col("scale") + F.col("mean"))
-        tot = hz.groupBy("bin_ts", "horizon").agg(
-            F.sum(true * F.col("weight")).alias("true_total"),
-            F.sum(F.col("mean") * F.col("weight")).alias("naive_total"))
-        scored = tot.where(F.col("true_total") > 0).groupBy("horizon").agg(
-            *error_metrics(F.col("true_total") / 60.0, F.col("naive_total") / 60.0))
-        scored = scored.withColumn("fold", F.lit(fold))
-        out = scored if out is None else out.unionByName(scored)
-    return out.select("fold", "horizon", "rmse", "mae", "mape", "n_pairs")
+        yield fold, se.transform(train, p), se.transform(test, p)
+
+
+def _fold_forecasts(spark, sf_dir) -> DataFrame:
+    """Per fold: models fitted on the train windows, applied to the test windows, in seconds."""
+    out = None
+    for fold, train, test in _fold_series(spark, sf_dir):
+        scored = models.lag_regression(wn.roll(train, LAGS, PREDS), wn.roll(test, LAGS, PREDS), PREDS)
+        part = scored.select(F.lit(fold).alias("fold"), "LinkRef", "bin_ts", "horizon", "weight", "z_true", "z_pred",
+                             (F.col("z_true") * F.col("scale") + F.col("mean")).alias("truth"),
+                             (F.col("z_pred") * F.col("scale") + F.col("mean")).alias("model"),
+                             F.col("mean").alias("baseline"))
+        out = part if out is None else out.unionByName(part)
+    return out
+
+
+def _fold_totals(rows: DataFrame, *columns: str) -> DataFrame:
+    """Weight-summed line totals in minutes, bins with a positive true total only."""
+    return (rows.groupBy("fold", "horizon", "bin_ts")
+            .agg(*[(F.sum(F.col(c) * F.col("weight")) / 60.0).alias(c) for c in columns])
+            .where(F.col("truth") > 0))
+
+
+@query("lag_regression")
+def q_lag_regression(spark, sf_dir):
+    """Out-of-sample forecast of every fold (no SQL form; tested against numpy least squares)."""
+    return _fold_forecasts(spark, sf_dir)
+
+
+def _fold_board_sql() -> str:
+    ctes, parts = [], []
+    for i in range(FOLDS):
+        cut = [f"CAST(floor((CAST({BOOTSTRAP} AS DOUBLE) + {k} * CAST({STEP} AS DOUBLE)) * n) AS BIGINT)" for k in (i, i + 1)]
+        ctes += [(f"train{i}", f"SELECT * FROM numbered WHERE rn < {cut[0]}"),
+                 (f"test{i}", f"SELECT * FROM numbered WHERE rn >= {cut[0]} AND rn < {cut[1]}"),
+                 *profile_ctes(f"train{i}", f"f{i}_"), *transform_ctes(f"test{i}", f"f{i}_", f"z{i}"),
+                 (f"pos{i}", f"""SELECT *, row_number() OVER (PARTITION BY LinkRef ORDER BY bin_ts) - 1 AS t,
+                                        count(*) OVER (PARTITION BY LinkRef) AS n_bins FROM z{i}""")]
+        parts.append(f"""
+            SELECT {i} AS fold, k AS horizon, a.bin_ts, sum((b.z * b.scale + b.mean) * b.weight) / 60 AS truth,
+                   sum(b.mean * b.weight) / 60 AS baseline
+            FROM pos{i} a, generate_series(1, {PREDS}) g(k), pos{i} b
+            WHERE a.t >= {LAGS} AND a.t < a.n_bins - {PREDS} AND b.LinkRef = a.LinkRef AND b.t = a.t + k - 1
+            GROUP BY k, a.bin_ts""")
+    numbered = ("numbered", """SELECT *, row_number() OVER (ORDER BY DateTime, JourneyLinkRef) - 1 AS rn,
+                                      count(*) OVER () AS n FROM obs WHERE LinkTravelTime IS NOT NULL""")
+    return with_views(f"""
+        SELECT CAST(fold AS INTEGER) AS fold, CAST(horizon AS INTEGER) AS horizon,
+               round(sqrt(avg((truth - baseline) ** 2)), 4) AS rmse, round(avg(abs(truth - baseline)), 4) AS mae,
+               round(avg(abs(truth - baseline) / truth) * 100, 4) AS mape, count(*) AS n_pairs
+        FROM ({" UNION ALL ".join(parts)}) WHERE truth > 0 GROUP BY fold, horizon""", "obs", extra=[numbered, *ctes])
+
+
+@query("scoreboard_by_fold", _fold_board_sql())
+def q_scoreboard_by_fold(spark, sf_dir):
+    """Historical average against truth per expanding fold and horizon."""
+    out = None
+    for fold, _, test in _fold_series(spark, sf_dir):
+        hz = wn.explode_horizons(wn.roll(test, LAGS, PREDS))
+        part = hz.select(F.lit(fold).alias("fold"), "horizon", "bin_ts", "weight", F.col("mean").alias("baseline"),
+                         (F.col("z") * F.col("scale") + F.col("mean")).alias("truth"))
+        out = part if out is None else out.unionByName(part)
+    board = _fold_totals(out, "truth", "baseline").groupBy("fold", "horizon").agg(*error_metrics("truth", "baseline"))
+    return board.select("fold", "horizon", r4("rmse"), r4("mae"), r4("mape"), "n_pairs")
+
+
+@query("scoreboard_model_by_fold")
+def q_scoreboard_model_by_fold(spark, sf_dir):
+    """Baseline, lag model and their difference per fold and horizon (the model has no SQL form)."""
+    totals = _fold_totals(_fold_forecasts(spark, sf_dir), "truth", "baseline", "model")
+    board = totals.groupBy("fold", "horizon").agg(*error_metrics("truth", "baseline", "baseline_"),
+                                                  *error_metrics("truth", "model", "model_"))
+    kept = ("rmse", "mae", "mape")
+    return board.select("fold", "horizon", *[f"{side}_{m}" for side in ("baseline", "model") for m in kept],
+                        *[(F.col(f"model_{m}") - F.col(f"baseline_{m}")).alias(f"difference_{m}") for m in kept],
+                        F.col("model_n_pairs").alias("n_pairs"))
