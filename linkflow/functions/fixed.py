@@ -30,6 +30,11 @@ def fixed_sum(col) -> Column:
     return F.sum(to_fixed(col)).cast("double") / F.lit(float(SCALE))
 
 
+def mean_of_total(total: Column, n: Column) -> Column:
+    """Mean from a sum of ``to_fixed`` values and a count; NULL when nothing was counted."""
+    return total.cast("double") / F.lit(float(SCALE)) / F.nullif(n, F.lit(0)).cast("double")
+
+
 def fixed_mean(col) -> Column:
     """Exact-sum mean of the non-missing values; NULL when there are none."""
     return fixed_sum(col) / F.count(_c(col)).cast("double")

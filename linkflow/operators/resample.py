@@ -5,21 +5,22 @@ between the first and the last observation of a link exists (empty bins are
 missing values). Several links are aligned on the *union* of their bin ranges.
 
 The heavy part -- observations to bins -- is a grouped aggregation (map-side
-combined, so a hot link is spread over all map tasks). The spine is built from the
-per-link (first, last) bins only, never from the observations.
+combined, so a hot link is spread over all map tasks). Bins are written once: spine
+and cells read that small table, never the observations again.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.fixed import fixed_mean
+from ..functions.fixed import fixed_mean, mean_of_total, to_fixed
 from ..functions.time import floor_time, freq_seconds
+from ..session import materialize
 from .fill import interpolate
-from .joins import join_small
 
 
 def _interval(freq) -> F.Column:
@@ -66,7 +67,7 @@ def link_spine(bins: DataFrame, key: str, freq="15min") -> DataFrame:
 def resample_mean_count(df: DataFrame, key: str = "LinkRef", ts: str = "DateTime",
                         value: str = "LinkTravelTime", freq="15min") -> DataFrame:
     """Per key, every bin of its own range: mean (missing when empty) and count (0)."""
-    bins = bin_aggregate(df, key, ts, value, freq)
+    bins = materialize(bin_aggregate(df, key, ts, value, freq), "bins")
     spine = link_spine(bins, key, freq)
     return (spine.join(bins, [key, "bin_ts"], "left")
             .select(key, "bin_ts", value, F.coalesce("n", F.lit(0)).alias("n")))
@@ -75,7 +76,13 @@ def resample_mean_count(df: DataFrame, key: str = "LinkRef", ts: str = "DateTime
 def resample_filled(df: DataFrame, key: str, ts: str, value: str, freq="15min",
                     union: bool = True, then_bfill: bool = True) -> DataFrame:
     """Per-key bin means aligned on the union spine, then interpolate -> pad -> bfill."""
-    bins = bin_aggregate(df, key, ts, value, freq)
+    bins = materialize(bin_aggregate(df, key, ts, value, freq), "bins")
+    return filled_bins(bins, key, value, freq, union, then_bfill)
+
+
+def filled_bins(bins: DataFrame, key: str, value: str, freq="15min", union: bool = True,
+                then_bfill: bool = True) -> DataFrame:
+    """The series of already binned means: spine, interpolate -> pad -> bfill."""
     spine = union_spine(bins, key, freq) if union else link_spine(bins, key, freq)
     cells = spine.join(bins.select(key, "bin_ts", value), [key, "bin_ts"], "left")
     return fill_by_position(cells, key, value, then_bfill=then_bfill)
@@ -94,16 +101,19 @@ def fill_by_position(cells: DataFrame, key: str, value: str, order: str = "bin_t
 def multi_resolution(df: DataFrame, key: str, ts: str, value: str,
                      freqs: Sequence = ("5min", "15min", "30min"),
                      then_bfill: bool = False) -> DataFrame:
-    """The same series at several bin widths, interpolated; column ``freq`` tags each."""
+    """The same series at several bin widths, interpolated; column ``freq`` tags each.
+
+    Sums and counts are taken once at the greatest common width and rolled up.
+    """
+    finest = f"{math.gcd(*[freq_seconds(f) for f in freqs])}s"
+    base = df.groupBy(key, floor_time(ts, finest).alias("bin_ts")).agg(
+        F.sum(to_fixed(value)).alias("_total"), F.count(value).alias("_n"))
+    base = materialize(base, "finest-bins")
     out = None
     for f in freqs:
-        part = resample_filled(df, key, ts, value, f, union=False,
-                               then_bfill=then_bfill).withColumn(
+        bins = base.groupBy(key, floor_time("bin_ts", f).alias("bin_ts")).agg(
+            mean_of_total(F.sum("_total"), F.sum("_n")).alias(value))
+        part = filled_bins(bins, key, value, f, union=False, then_bfill=then_bfill).withColumn(
             "freq", F.lit(str(f)))
         out = part if out is None else out.unionByName(part)
     return out
-
-
-def attach(df: DataFrame, small: DataFrame, on) -> DataFrame:
-    """Left-join a small per-key table (scales, profiles) after a size check."""
-    return join_small(df, small, on, "left")

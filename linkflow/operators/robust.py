@@ -17,6 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.fixed import SCALE, to_fixed
+from ..session import materialize
 
 MAD_SCALE = 1.4826  # consistency constant of the MAD for normal data
 
@@ -38,7 +39,7 @@ def median_mad(df: DataFrame, keys: Sequence[str], value: str,
                mad_scale: float = MAD_SCALE) -> DataFrame:
     """``(keys..., n, median, mad)`` with ``mad = mad_scale * median(|x - median|)``."""
     keys = list(keys)
-    vc = value_counts(df, keys, value)
+    vc = materialize(value_counts(df, keys, value), "value-counts")
     med = vc.groupBy(*keys).agg(F.sum("_n").alias("n"),
                                 F.percentile(value, 0.5, F.col("_n")).alias("median"))
     dev = (vc.join(med.select(*keys, "median"), keys)
@@ -60,7 +61,7 @@ def robust_cells(df: DataFrame, keys: Sequence[str], value: str, k: float = 3.0,
     shifted by the group median (numerically stable).
     """
     keys = list(keys)
-    vc = value_counts(df, keys, value)
+    vc = materialize(value_counts(df, keys, value), "value-counts")
     med = vc.groupBy(*keys).agg(F.sum("_n").alias("n"),
                                 F.percentile(value, 0.5, F.col("_n")).alias("median"))
     vm = vc.join(med.select(*keys, "median"), keys)

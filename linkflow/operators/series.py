@@ -22,6 +22,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.fixed import fixed_mean
+from ..session import materialize
 from .fill import bfill, pad
 from .joins import join_small
 from .profile import VALUE, Profile, with_time_keys
@@ -38,6 +39,7 @@ def transform(obs: DataFrame, profile: Profile, freq="15min") -> DataFrame:
         fixed_mean(VALUE).alias("x"),
         fixed_mean("_pmean").alias("m"),
         F.count(VALUE).alias("w"))
+    bins = materialize(bins, "series-bins")   # read by the spine, the spans and the cells
     spine = union_spine(bins, "LinkRef", freq)
     cells = spine.join(bins, ["LinkRef", "bin_ts"], "left")
     cells = join_small(cells, profile.scales.select("LinkRef", "scale"), "LinkRef", "left")

@@ -18,11 +18,12 @@ from collections.abc import Iterable, Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.fixed import fixed_sum
-from ..functions.time import lead_time_bucket, minutes_between
+from ..functions.fixed import fixed_mean, fixed_sum
+from ..functions.time import floor_time, lead_time_bucket, minutes_between
 from ..operators import profile as pr
 from ..operators import resample as rs
 from ..operators import series as se
+from ..session import materialize
 
 LEAD_BUCKETS = ("15min", "30min", "45min")
 
@@ -55,10 +56,17 @@ def incumbent_series(log: DataFrame, bucket: str = "15min", links: Iterable[str]
 def incumbent_multistep(log: DataFrame, buckets: Sequence[str] = LEAD_BUCKETS,
                         links: Iterable[str] | None = None, freq="15min") -> DataFrame:
     """``(Prediction, bin_ts, total_seconds)``: per bucket, the filled series summed over links."""
+    df = with_lead_bucket(log).where(F.col("Prediction").isin(list(buckets)))
+    if links is not None:
+        df = df.where(F.col("LinkRef").isin(list(links)))
+    value = "EstimatedLinkTravelTime"
+    bins = df.groupBy("Prediction", "LinkRef", floor_time("LogTime", freq).alias("bin_ts")).agg(
+        fixed_mean(value).alias(value))
+    bins = materialize(bins, "forecast-bins")   # one pass over the log for all buckets
     out = None
     for b in buckets:
-        part = line_totals(incumbent_series(log, b, links, freq), "seconds", minutes=False) \
-            .withColumn("Prediction", F.lit(b))
+        series = rs.filled_bins(bins.where(F.col("Prediction") == b).drop("Prediction"), "LinkRef", value, freq)
+        part = line_totals(series, value, minutes=False).withColumn("Prediction", F.lit(b))
         out = part if out is None else out.unionByName(part)
     return out.select("Prediction", "bin_ts", F.col("total").alias("total_seconds"))
 

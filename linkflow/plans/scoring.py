@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from ..functions.metrics import error_metrics
 from ..functions.text import horizon_label
 from ..functions.time import day_name, time_of_day_between
+from ..session import materialize
 from .forecast import line_totals
 
 # Evaluation subsets of the comparison study (name -> predicate on bin_ts and Day).
@@ -36,6 +37,7 @@ def comparison_frame(truth: DataFrame, models: Mapping[str, DataFrame],
     """``(bin_ts, Day, model, truth, pred)`` in minutes, truth bins within ``tod`` only."""
     t = line_totals(truth).select("bin_ts", F.col("total").alias("truth"))
     t = t.where(time_of_day_between("bin_ts", *tod)).withColumn("Day", day_name("bin_ts"))
+    t = materialize(t, "truth-totals")
     out = None
     for name, df in models.items():
         p = line_totals(df).select("bin_ts", F.col("total").alias("pred"))
@@ -58,6 +60,7 @@ def truth_by_horizon(truth: DataFrame, horizons: int = 3, step_min: int = 15) ->
     A shift by time (a join key moved by (h-1) bins), not a window over all bins.
     """
     t = line_totals(truth, minutes=False).select("bin_ts", F.col("total").alias("truth_total"))
+    t = materialize(t, "truth-totals")
     out = None
     for h in range(1, horizons + 1):
         shifted = t.select((F.col("bin_ts") - F.make_dt_interval(F.lit(0), F.lit(0),
