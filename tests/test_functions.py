@@ -46,3 +46,19 @@ def test_metrics_and_text(spark):
     r = s.select(concat_null_as_empty(F.col("a"), ":", F.col("b")).alias("c"),
                  horizon_label("h").alias("l"), wkt_point_xy("w").alias("p")).first()
     assert r["c"] == ":b" and r["l"] == "t + 3 (45 min)" and (r["p"]["x"], r["p"]["y"]) == (1.5, -2.0)
+
+
+def test_local_session_without_checkpoint_folder(tmp_path):
+    """A local session whose settings name no checkpoint folder gets one of its own."""
+    import os
+    import subprocess
+    import sys
+    root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    code = ("from linkflow.session import get_session, materialize\n"
+            "s = get_session('local[1]', 1, extra={'spark.ui.enabled': 'false'})\n"
+            "assert s.sparkContext.getConf().get('spark.checkpoint.dir', None) is None\n"
+            "assert materialize(s.range(3)).count() == 3\n")
+    env = dict(os.environ, SPARK_CONF_DIR=str(tmp_path), PYTHONPATH=root)
+    done = subprocess.run([sys.executable, "-c", code], env=env, cwd=tmp_path, capture_output=True, text=True,
+                          timeout=120)
+    assert done.returncode == 0, done.stderr[-2000:]
