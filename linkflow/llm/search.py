@@ -134,6 +134,55 @@ def _postings(rows: DataFrame) -> DataFrame:
     return rows.select("k", "tag", "text").mapInArrow(run, "k long, tag long, dl long, terms binary, vals binary")
 
 
+def _documents(b: pa.RecordBatch, i: int, j: int):
+    """(ids, lengths, terms per document, terms, counts) of rows ``i`` to ``j`` of a batch, copied out of it."""
+    (terms, off), (counts, count_off) = text_buffers(b.column(5)), text_buffers(b.column(6))
+    return (b.column(2).to_numpy()[i:j].copy(), b.column(4).to_numpy()[i:j].copy(), np.diff(off[i:j + 1]) // 8,
+            terms[off[i]:off[j]].view(np.uint64).copy(), counts[count_off[i]:count_off[j]].view(np.uint32).copy())
+
+
+_NO_DOCUMENTS = tuple(np.zeros(0, t) for t in (np.int64, np.int64, np.int64, np.uint64, np.uint32))
+
+
+def _lead(size: np.ndarray, terms: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    """The most frequent term of each document, the first if there are several (0 if it has none)."""
+    lead = np.zeros(len(size), np.uint64)
+    some = np.flatnonzero(size)
+    if len(some):
+        start = (np.cumsum(size) - size)[some]
+        most = np.flatnonzero(counts == np.repeat(np.maximum.reduceat(counts, start), size[some]))
+        lead[some] = terms[most[np.searchsorted(most, start)]]
+    return lead
+
+
+def _by_term(parts: list, place: np.ndarray, norm: np.ndarray):
+    """(terms, documents per term, place, impact) of the parts' postings, sorted by term and place.
+
+    One sixteenth of the terms is sorted at a time, so sorting takes little room beside the result.
+    """
+    postings = sum(len(p[3]) for p in parts)
+    sorted_place, impact = np.empty(postings, np.int32), np.empty(postings)
+    terms, df, done = [], [], 0
+    for sixteenth in range(16):
+        t, f, d, before = [], [], [], 0
+        for _, _, size, term, count in parts:
+            at = np.flatnonzero(term.view(np.uint8)[7::8] >> 4 == sixteenth)   # the highest bits of each little-endian term
+            t.append(term[at])
+            f.append(count[at])
+            d.append(place[before + np.searchsorted(np.cumsum(size), at, side="right")])
+            before += len(size)
+        t, f, d = np.concatenate(t), np.concatenate(f), np.concatenate(d)
+        order = np.lexsort((d, t))
+        t, f, d = t[order], f[order], d[order]
+        sorted_place[done:done + len(d)] = d
+        impact[done:done + len(d)] = f * (K1 + 1) / (f + norm[d])
+        done += len(d)
+        first = np.flatnonzero(np.append(True, t[1:] != t[:-1])[:len(t)])
+        terms.append(t[first])
+        df.append(np.diff(np.append(first, len(t))))
+    return np.concatenate(terms), np.concatenate(df), sorted_place, impact
+
+
 class ShardIndex:
     """Inverted index of one shard: postings by term and document, with block maxima.
 
@@ -141,55 +190,44 @@ class ShardIndex:
     similar length, which keeps block maxima close to the impacts under them. Rows of the
     terms with most postings are kept dense, at most ``DENSE_CELLS`` in all: their part of
     the scores of a batch of queries is one matrix product, and its exact maximum in a block
-    takes the place of those terms' block maxima. The lists given are emptied.
+    takes the place of those terms' block maxima. The list of parts given is emptied.
     """
 
-    def __init__(self, ids: list[int], lengths: list[int], terms: list[bytes], counts: list[bytes], mean_length: float):
+    def __init__(self, parts: list, mean_length: float):
+        ids, lengths, size = (np.concatenate([p[i] for p in parts]) for i in range(3))
         n = len(ids)
-        lead = np.array([self._lead(t, c) for t, c in zip(terms, counts)], np.uint64)
-        order = np.lexsort((np.array(ids, np.int64), np.array(lengths, np.int64), lead))
-        self.ids = np.array(ids, np.int64)[order]
-        norm = K1 * (1 - B + B * np.array(lengths, np.float64)[order] / max(mean_length, 1e-9))
-        size = np.array([len(terms[i]) // 8 for i in order], np.int64)
-        term = np.frombuffer(b"".join([terms[i] for i in order]), np.uint64)
-        terms.clear()
-        tf = np.frombuffer(b"".join([counts[i] for i in order]), np.uint32)
-        counts.clear()
-        by = np.argsort(term, kind="stable")
-        doc = np.repeat(np.arange(n, dtype=np.int32), size)[by]
-        term, tf = term[by], tf[by]
-        del by
-        impact = tf * (K1 + 1) / (tf + norm[doc])
-        del tf
-        first = np.flatnonzero(np.concatenate([[True], term[1:] != term[:-1]])) if len(term) else np.zeros(0, np.int64)
-        self.terms, df = term[first], np.diff(np.append(first, len(term)))
+        order = np.lexsort((ids, lengths, np.concatenate([_lead(*p[2:]) for p in parts])))
+        place = np.empty(n, np.int32)
+        place[order] = np.arange(n, dtype=np.int32)
+        self.ids = ids[order]
+        norm = K1 * (1 - B + B * lengths[order].astype(np.float64) / max(mean_length, 1e-9))
+        self.terms, df, self.doc, self.impact = _by_term(parts, place, norm)
+        parts.clear()
         self.blocks = -(-n // BLOCK)
         common = np.sort(np.argsort(-df, kind="stable")[:DENSE_CELLS // max(1, n)])
         common = common[df[common] >= n * DENSE_SHARE]
         self.dense_at = np.full(len(df), -1, np.int64)
         self.dense_at[common] = np.arange(len(common))
         self.dense = np.zeros((len(common), self.blocks * BLOCK))
+        start = np.concatenate([[0], np.cumsum(df)])
         for row, t in enumerate(common):
-            at = slice(first[t], first[t] + df[t])
-            self.dense[row, doc[at]] = impact[at]
+            at = slice(start[t], start[t + 1])
+            self.dense[row, self.doc[at]] = self.impact[at]
         rare = np.repeat(self.dense_at < 0, df)
-        term, self.doc, self.impact = term[rare], doc[rare], impact[rare]
-        del doc, impact, rare
+        self.doc = self.doc[rare]
+        self.impact = self.impact[rare]
+        start = np.concatenate([[0], np.cumsum(np.where(self.dense_at < 0, df, 0))])
         block = self.doc // BLOCK
-        new = np.ones(len(term), bool)
-        new[1:] = (term[1:] != term[:-1]) | (block[1:] != block[:-1])
+        new = np.ones(len(block), bool)
+        new[1:] = block[1:] != block[:-1]
+        new[start[start < len(block)]] = True
         begin = np.flatnonzero(new)                           # one entry per term and block
         self.block = block[begin]
-        self.top = np.nextafter(np.maximum.reduceat(self.impact, begin).astype(np.float32), np.float32(np.inf)) if len(term) else np.zeros(0, np.float32)
-        per_term = np.bincount(np.searchsorted(self.terms, term[begin]), minlength=len(df))
-        self.entry = np.concatenate([[0], np.cumsum(per_term)])
-        self.begin = np.append(begin, len(term)).astype(np.int32)
-
-    @staticmethod
-    def _lead(terms: bytes, counts: bytes) -> int:
-        """The most frequent term of a document (0 if none)."""
-        tf = np.frombuffer(counts, np.uint32)
-        return int(np.frombuffer(terms, np.uint64)[tf.argmax()]) if len(tf) else 0
+        del rare, block, new
+        self.top = np.maximum.reduceat(self.impact, begin, dtype=np.float32) if len(begin) else np.zeros(0, np.float32)
+        np.nextafter(self.top, np.float32(np.inf), out=self.top)
+        self.entry = np.searchsorted(begin, start)
+        self.begin = np.append(begin.astype(np.int32), np.int32(len(self.doc)))
 
     def best(self, queries: list[tuple[np.ndarray, np.ndarray]], k: int):
         """For each query (terms, weights): (row numbers, scores) of its k best documents and all ties with the last."""
@@ -244,7 +282,7 @@ class ShardIndex:
 def _searched(dealt: DataFrame, mean_length: float, k: int) -> DataFrame:
     """(q, qtag, k, score): the best of each shard for each query."""
     def run(batches):
-        shard, index, held, asked = None, None, [[], [], [], []], []
+        shard, index, held, asked = None, None, [_NO_DOCUMENTS], []
 
         def answers(out):
             found = index.best([(t, w) for _, _, t, w in asked], k)
@@ -260,20 +298,25 @@ def _searched(dealt: DataFrame, mean_length: float, k: int) -> DataFrame:
 
         for b in batches:
             out = [[], [], [], []]
-            for i in range(b.num_rows):
-                at, kind, key, tag, dl, terms, vals = (c[i].as_py() for c in b.columns)
-                if at != shard or len(asked) == QUERY_BATCH:
+            of_shard, kind, i = b.column(0).to_numpy(), b.column(1).to_numpy(), 0
+            while i < b.num_rows:
+                if of_shard[i] != shard:
                     if asked:
                         answers(out)
-                    if at != shard:
-                        shard, index, held = at, None, [[], [], [], []]
-                if kind == 0:
-                    for h, v in zip(held, (key, dl, terms, vals)):
-                        h.append(v)
+                    shard, index, held = of_shard[i], None, [_NO_DOCUMENTS]
+                if kind[i] == 0:
+                    end = np.flatnonzero((of_shard[i:] != shard) | (kind[i:] != 0))
+                    end = i + int(end[0]) if len(end) else b.num_rows
+                    held.append(_documents(b, i, end))
+                    i = end
                     continue
                 if index is None:
-                    index = ShardIndex(*held, mean_length)
+                    index = ShardIndex(held, mean_length)
+                key, tag, terms, vals = (b.column(c)[i].as_py() for c in (2, 3, 5, 6))
                 asked.append((key, tag, np.frombuffer(terms, np.uint64), np.frombuffer(vals, np.float64)))
+                if len(asked) == QUERY_BATCH:
+                    answers(out)
+                i += 1
             yield batch(out)
         out = [[], [], [], []]
         if asked:
