@@ -40,10 +40,10 @@ def fixed_mean(col) -> Column:
     return fixed_sum(col) / F.count(_c(col)).cast("double")
 
 
-# The same expressions for SQL text (the DuckDB oracle uses them verbatim).
+# For SQL text: sums in decimals of six places, means of them.
 def sql_fixed_sum(expr: str) -> str:
-    return f"(CAST(sum(CAST(floor(({expr}) * {float(SCALE)} + 0.5) AS BIGINT)) AS DOUBLE) / {float(SCALE)})"
+    return f"CAST(sum(CAST({expr} AS DECIMAL(38, 6))) AS DOUBLE)"
 
 
 def sql_fixed_mean(expr: str) -> str:
-    return f"({sql_fixed_sum(expr)} / CAST(count({expr}) AS DOUBLE))"
+    return f"({sql_fixed_sum(expr)} / count({expr}))"

@@ -12,7 +12,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -40,7 +40,7 @@ def time_counts(df: DataFrame, time: str, unit: str = "hour") -> list[tuple]:
 
 
 def _holding(counts: list[tuple], position: int):
-    """(bucket, position inside it) of a global position."""
+    """(bucket, position inside it) of a position."""
     for at, n in counts:
         if position < n:
             return at, position
@@ -48,26 +48,49 @@ def _holding(counts: list[tuple], position: int):
     raise IndexError(position)
 
 
+def _start(at, unit: str):
+    """``date_trunc`` of a collected time."""
+    return at.replace(microsecond=0, second=0 if unit != "second" else at.second, minute=0 if unit == "hour" else at.minute)
+
+
+def _within(df: DataFrame, time: str, unit: str, starts) -> DataFrame:
+    """Rows of the given buckets (None: no time); a bucket is a range of the time, which a scan can skip by."""
+    kind = df.schema[time].dataType
+    length = F.expr(f"INTERVAL 1 {unit}")
+    cond = F.lit(False)
+    for at in starts:
+        first = F.lit(at).cast(kind)
+        cond = cond | (F.col(time).isNull() if at is None else (F.col(time) >= first) & (F.col(time) < first + length))
+    return df.where(cond)
+
+
 def boundary_keys(df: DataFrame, order: Sequence[str], positions: Sequence[int], counts: list[tuple] | None = None) -> list:
     """Key tuple of the row at each 0-based position in ``order`` (None past the end).
 
-    The first column of ``order`` is the time.
+    The first column of ``order`` is the time. All positions are narrowed together: one pass
+    over the rows for each unit of time, and one that ranks the rows of the seconds found.
     """
     order = list(order)
-    counts = time_counts(df, order[0]) if counts is None else counts
+    time = order[0]
+    counts = time_counts(df, time) if counts is None else counts
     total = sum(n for _, n in counts)
+    wanted = sorted({p for p in positions if 0 <= p < total})
+    if not wanted:
+        return [None for _ in positions]
+    at = {p: _holding(counts, p) for p in wanted}
+    rows = df.select(*order)
+    for unit, finer_unit in zip(UNITS, UNITS[1:]):
+        known = {bucket for bucket, _ in at.values()}
+        finer = time_counts(_within(rows, time, unit, known - {None}), time, finer_unit) if known != {None} else []
+        at = {p: (bucket, left) if bucket is None else _holding([c for c in finer if _start(c[0], unit) == bucket], left)
+              for p, (bucket, left) in at.items()}
+    second = F.date_trunc(UNITS[-1], F.col(time))
+    place = F.row_number().over(Window.partitionBy(second).orderBy(*[F.asc_nulls_last(c) for c in order])) - 1
+    ranked = _within(rows, time, UNITS[-1], {bucket for bucket, _ in at.values()}).select("*", second.alias("_second"), place.alias("_place"))
     found = {}
-    for p in sorted({p for p in positions if 0 <= p < total}):
-        rows, finer, left = df.select(*order), counts, p
-        for level, unit in enumerate(UNITS):
-            at, left = _holding(finer, left)
-            rows = rows.where(F.date_trunc(unit, F.col(order[0])).eqNullSafe(F.lit(at).cast(df.schema[order[0]].dataType)))
-            if at is None or level == len(UNITS) - 1:
-                break
-            finer = time_counts(rows, order[0], UNITS[level + 1])
-        key = rows.orderBy(*[F.asc_nulls_last(c) for c in order]).offset(left).limit(1).collect()[0]
-        found[p] = tuple(key[c] for c in order)
-    return [found.get(p) for p in positions]
+    for r in ranked.where(F.col("_place").isin([left for _, left in at.values()])).collect():   # a position's place in each second
+        found[r["_second"], r["_place"]] = tuple(r[c] for c in order)
+    return [found[at[p]] if p in at else None for p in positions]
 
 
 def before(df: DataFrame, order: Sequence[str], key) -> DataFrame:
