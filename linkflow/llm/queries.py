@@ -14,6 +14,7 @@ from linkflow.llm.merkle import verified_manifest
 from linkflow.llm.mixing import poisson_mix
 from linkflow.llm.neighbours import jaccard_classes
 from linkflow.llm.oracles import MERKLE_SQL, MIXING_SQL, SEARCH_SQL, SECRETS_SQL, SUBSTRINGS_SQL, URLS_SQL
+from linkflow.llm.pitman_yor import score_texts
 from linkflow.llm.search import top_documents
 from linkflow.llm.secrets import secret_spans
 from linkflow.llm.substrings import deduplicated
@@ -65,6 +66,10 @@ def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encode_documents(table(spark, sf_dir, "documents"))
 
 
+def op11_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return score_texts(table(spark, sf_dir, "documents"))
+
+
 def op12_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return verified_manifest(table(spark, sf_dir, "documents"))
 
@@ -77,7 +82,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {f.__name__: f for f in (
         op1_language_id, op2_fingerprints, op3_jaccard_join, op4_warc_derivatives, op5_bm25_top_k,
         op6_source_mixing, op7_secret_scans, op8_substring_dedup, op9_url_filters, op10_bpe,
-        op12_merkle_manifest, op13_conversation_repair)}
+        op11_lm_scoring, op12_merkle_manifest, op13_conversation_repair)}
 
 
 def oracle_sql() -> dict[str, str]:
