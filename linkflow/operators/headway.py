@@ -12,8 +12,9 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.fixed import fixed_mean
-from ..functions.time import floor_time, freq_seconds, time_of_day_between
-from .fill import interpolate
+from ..functions.time import floor_time, time_of_day_between
+from ..session import materialize
+from .resample import filled_bins
 
 
 def next_time(df: DataFrame, key: str = "LinkRef", ts: str = "DateTime",
@@ -42,17 +43,10 @@ def mean_headway(df: DataFrame, freq="5min", tod=("06:00", "22:00"), ts: str = "
                  series_key: str = "series") -> DataFrame:
     """Mean over ``tod`` of the interpolated ``freq`` mean headway of all links, minutes.
 
-    The per-bin series (one for all links) is bounded by the time span.
+    The per-bin series (one for all links) is filled chunk by chunk.
     """
     h = headway(df).withColumn("bin_ts", floor_time(ts, freq))
     bins = h.groupBy("bin_ts").agg(fixed_mean("headway").alias("h")).withColumn(series_key, F.lit(1))
-    step = F.make_dt_interval(F.lit(0), F.lit(0), F.lit(0), F.lit(freq_seconds(freq)))
-    spine = bins.groupBy(series_key).agg(F.min("bin_ts").alias("a"), F.max("bin_ts").alias("b")) \
-        .select(series_key, F.explode(F.sequence("a", "b", step)).alias("bin_ts"))
-    cells = spine.join(bins.drop(series_key), "bin_ts", "left")
-    w = Window.partitionBy(series_key).orderBy("bin_ts")
-    cells = cells.withColumn("_pos", F.row_number().over(w))
-    filled = cells.select("bin_ts", interpolate("h", [series_key], "bin_ts", then_bfill=False,
-                                                position="_pos").alias("h"))
+    filled = filled_bins(materialize(bins, "headway-bins"), series_key, "h", freq, union=False, then_bfill=False)
     return filled.where(time_of_day_between("bin_ts", *tod)).agg(
         (F.avg("h") / F.lit(60.0)).alias("mean_headway_min"))

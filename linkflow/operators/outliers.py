@@ -47,13 +47,22 @@ def remove_outliers(obs: DataFrame, profile_slots: DataFrame, freq="15min") -> D
 
 
 def outlier_report(obs: DataFrame, profile_slots: DataFrame, freq="15min") -> DataFrame:
-    """One row: rows, removed (outside or missing), removed_missing, removed_share (%)."""
-    flagged = flag_outliers(obs, profile_slots, freq)
+    """One row: rows, removed (outside or missing), removed_missing, removed_share (%).
+
+    Rows of equal link, slot and value share their band: they are counted first, and the
+    counts looked up.
+    """
+    keyed = obs if "slot" in obs.columns else with_time_keys(obs, freq)
+    counted = keyed.groupBy("LinkRef", "slot", VALUE).agg(F.count(F.lit(1)).alias("_rows"))
+    flagged = flag_outliers(counted, profile_slots, freq)
+
+    def rows_where(condition):
+        return F.coalesce(F.sum(F.when(condition, F.col("_rows"))), F.lit(0))
+
     return flagged.agg(
-        F.count(F.lit(1)).alias("rows"),
-        F.count(F.when(~F.col("inlier"), F.lit(1))).alias("removed"),
-        F.count(F.when(F.col(VALUE).isNull(), F.lit(1))).alias("removed_missing"),
-    ).withColumn("removed_share", F.col("removed") * 100.0 / F.col("rows"))
+        rows_where(F.lit(True)).alias("rows"), rows_where(~F.col("inlier")).alias("removed"),
+        rows_where(F.col(VALUE).isNull()).alias("removed_missing"),
+    ).withColumn("removed_share", F.try_divide(F.col("removed") * F.lit(100.0), F.col("rows")))
 
 
 def fixed_band(obs: DataFrame, lo: float = 0.0, hi: float = 1000.0, value: str = VALUE) -> DataFrame:

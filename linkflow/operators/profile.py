@@ -62,11 +62,6 @@ def link_scale(slot_stats: DataFrame) -> DataFrame:
                      F.when(n > 1, F.sqrt(F.col("_m2") / (n - 1))).alias("scale"))
 
 
-def link_orders(obs: DataFrame) -> DataFrame:
-    """Display order of links: the smallest link order each link appears with."""
-    return obs.groupBy("LinkRef").agg(F.min("LineDirectionLinkOrder").alias("LineDirectionLinkOrder"))
-
-
 def fill_profile(slot_stats: DataFrame, links: DataFrame, freq="15min") -> DataFrame:
     """Every slot of the week for every link, with mean/low/upr interpolated -> pad -> bfill."""
     n_slots = SECONDS_PER_WEEK // freq_seconds(freq)
@@ -84,10 +79,21 @@ def fill_profile(slot_stats: DataFrame, links: DataFrame, freq="15min") -> DataF
 
 
 class Profile:
-    """A fitted profile: filled (link, slot) table and per-link scales."""
+    """A fitted profile: filled (link, slot) table and per-link scales.
+
+    The filled table is written when it is first asked for: its readers join it with facts, and
+    Spark then knows its bytes and broadcasts it below its own threshold, never above.
+    """
+
+    def __init__(self, filled: DataFrame, scales: DataFrame, stats: DataFrame, freq, written: bool = True):
+        self.scales, self.stats, self.freq = scales, stats, freq
+        self._filled, self._unwritten = filled, written
 
-    def __init__(self, slots: DataFrame, scales: DataFrame, stats: DataFrame, freq):
-        self.slots, self.scales, self.stats, self.freq = slots, scales, stats, freq
+    @property
+    def slots(self) -> DataFrame:
+        if self._unwritten:
+            self._filled, self._unwritten = materialize_table(self._filled, "profile-slots"), False
+        return self._filled
 
 
 def fit_profile(obs: DataFrame, freq="15min", k: float = 3.0,
@@ -103,4 +109,4 @@ def fit_profile(obs: DataFrame, freq="15min", k: float = 3.0,
     if materialize:
         stats = materialize_table(stats, "profile-cells")
     links = stats.select("LinkRef").distinct()
-    return Profile(fill_profile(stats, links, freq), link_scale(stats), stats, freq)
+    return Profile(fill_profile(stats, links, freq), link_scale(stats), stats, freq, materialize)

@@ -7,6 +7,10 @@ missing values). Several links are aligned on the *union* of their bin ranges.
 The heavy part -- observations to bins -- is a grouped aggregation (map-side
 combined, so a hot link is spread over all map tasks). Bins are written once: spine
 and cells read that small table, never the observations again.
+
+A spine is laid out from the islands of its bin ranges (``islands``): overlapping and
+adjoining ranges are merged into one row each, and every bin's position along the spine
+follows from them, so nothing has to be numbered by a window over a link's history.
 """
 
 from __future__ import annotations
@@ -14,61 +18,110 @@ from __future__ import annotations
 import math
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.fixed import fixed_mean, mean_of_total, to_fixed
-from ..functions.time import floor_time, freq_seconds
+from ..functions.time import epoch_seconds, floor_time, freq_seconds
 from ..session import materialize
-from .fill import interpolate
+from .fill import Carried, carried
+
+POSITION = "_pos"
+STARTS = 1024                  # starting bins of one merging window
 
 
-def _interval(freq) -> F.Column:
+def _interval(freq) -> Column:
     return F.make_dt_interval(F.lit(0), F.lit(0), F.lit(0), F.lit(freq_seconds(freq)))
 
 
 def bin_aggregate(df: DataFrame, key: str, ts: str, value: str, freq="15min",
-                  extra_aggs: Sequence[F.Column] = ()) -> DataFrame:
+                  extra_aggs: Sequence[Column] = ()) -> DataFrame:
     """``(key, bin_ts, value mean, count)`` for observed bins only."""
     binned = df.withColumn("bin_ts", floor_time(ts, freq))
     return binned.groupBy(key, "bin_ts").agg(
         fixed_mean(value).alias(value), F.count(value).alias("n"), *extra_aggs)
 
 
-def link_spans(bins: DataFrame, key: str) -> DataFrame:
-    return bins.groupBy(key).agg(F.min("bin_ts").alias("first_bin"),
-                                 F.max("bin_ts").alias("last_bin"))
+def link_spans(bins: DataFrame, *keys: str) -> DataFrame:
+    return bins.groupBy(*keys).agg(F.min("bin_ts").alias("first_bin"), F.max("bin_ts").alias("last_bin"))
+
+
+def _merged(ranges: DataFrame, by: Sequence[str]) -> DataFrame:
+    """(by..., first, last) ranges of bin numbers with those that overlap or adjoin made one."""
+    ordered = Window.partitionBy(*by).orderBy("first")
+    reached = F.max("last").over(ordered.rowsBetween(Window.unboundedPreceding, -1))
+    new = F.when(F.col("first") > reached + 1, 1).otherwise(0)
+    numbered = ranges.withColumn("_new", new).withColumn(
+        "_island", F.sum("_new").over(ordered.rowsBetween(Window.unboundedPreceding, Window.currentRow)))
+    return numbered.groupBy(*by, "_island").agg(F.min("first").alias("first"), F.max("last").alias("last")).drop("_island")
+
+
+def islands(spans: DataFrame, freq="15min", by: Sequence[str] = ()) -> DataFrame:
+    """``(by..., first, last, before)``: the bins that some span covers, one row per run of them.
+
+    first and last are bin numbers (epoch seconds / step), before the bins of earlier islands.
+    Spans of one start are reduced to the longest; starts are merged in windows of at most
+    ``STARTS`` rows first, and what those leave (a row per run) in one window per ``by``.
+    """
+    step = freq_seconds(freq)
+    number = [F.floor(epoch_seconds(c) / step).alias(n) for c, n in (("first_bin", "first"), ("last_bin", "last"))]
+    group = [*by, "_all"]
+    starts = spans.select(*by, F.lit(0).alias("_all"), *number).groupBy(*group, "first").agg(F.max("last").alias("last"))
+    near = _merged(starts.withColumn("_near", F.floor(F.col("first") / STARTS)), [*group, "_near"]).drop("_near")
+    runs = _merged(near, group)
+    earlier = Window.partitionBy(*group).orderBy("first").rowsBetween(Window.unboundedPreceding, -1)
+    return runs.select(*by, "first", "last", F.coalesce(F.sum(F.col("last") - F.col("first") + 1).over(earlier), F.lit(0)).alias("before"))
+
+
+def _layout(spans: DataFrame, freq) -> Column:
+    """All islands as one array; no longer than the row of bins that every key is laid out to."""
+    return islands(spans, freq).agg(F.sort_array(F.collect_list(F.struct("first", "last", "before")))).scalar()
+
+
+def position_in(layout: Column, bin_ts: str, freq) -> Column:
+    """Position of a covered bin along the islands of ``layout``."""
+    number = F.floor(epoch_seconds(bin_ts) / freq_seconds(freq))
+    island = F.element_at(F.filter(layout, lambda i: (i["first"] <= number) & (number <= i["last"])), 1)
+    return island["before"] + number - island["first"]
+
+
+def _bins_of(layout: Column, freq) -> Column:
+    """Every bin start of the islands, in order."""
+    step = freq_seconds(freq)
+    numbers = F.flatten(F.transform(layout, lambda i: F.sequence(i["first"], i["last"])))
+    return F.transform(numbers, lambda n: F.lit("1970-01-01").cast("timestamp_ntz") + F.make_dt_interval(
+        F.lit(0), F.lit(0), F.lit(0), n * F.lit(step)))
 
 
-def union_spine(bins: DataFrame, key: str, freq="15min") -> DataFrame:
-    """Every key x every bin of the union of the per-key bin ranges.
+def union_spine(bins: DataFrame, key: str, freq="15min", keys: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+    """(every key x every bin of the union of the keys' bin ranges, ``bins``), both with ``POSITION``.
 
-    Each key is exploded over the global [first, last] range (two scalar
-    subqueries), then bins that no key's range covers are dropped by a semi join
-    with the covered bins. Size: keys x bins, the dense matrix itself.
+    ``keys``: more columns per key, kept along the spine. Size: keys x bins, the dense matrix
+    itself; only bins that no key's range covers are left out.
     """
     spans = link_spans(bins, key)
-    step = _interval(freq)
-    covered = (spans.select(F.explode(F.sequence("first_bin", "last_bin", step)).alias("bin_ts"))
-               .distinct())
-    g_first = spans.agg(F.min("first_bin")).scalar()
-    g_last = spans.agg(F.max("last_bin")).scalar()
-    grid = spans.select(key, F.explode(F.sequence(g_first, g_last, step)).alias("bin_ts"))
-    return grid.join(covered, "bin_ts", "left_semi")
+    layout = _layout(spans, freq)
+    rows = spans.select(key) if keys is None else spans.select(key).join(keys, key, "left")
+    island_rows = F.col("_layout")
+    spine = rows.withColumn("_layout", layout).select(
+        *rows.columns, F.posexplode(_bins_of(island_rows, freq)).alias(POSITION, "bin_ts"))
+    known = bins.withColumn("_layout", layout).withColumn(POSITION, position_in(island_rows, "bin_ts", freq).cast("int"))
+    return spine, known.drop("_layout")
 
 
-def link_spine(bins: DataFrame, key: str, freq="15min") -> DataFrame:
-    """Every bin from the first to the last observed bin of each key (own range only)."""
+def link_spine(bins: DataFrame, key: str, freq="15min") -> tuple[DataFrame, DataFrame]:
+    """(every bin from the first to the last observed bin of each key, ``bins``), both with ``POSITION``."""
     spans = link_spans(bins, key)
-    return spans.select(key, F.explode(F.sequence("first_bin", "last_bin", _interval(freq)))
-                        .alias("bin_ts"))
+    spine = spans.select(key, F.posexplode(F.sequence("first_bin", "last_bin", _interval(freq))).alias(POSITION, "bin_ts"))
+    number = F.floor((epoch_seconds("bin_ts") - epoch_seconds("first_bin")) / freq_seconds(freq))
+    return spine, bins.join(spans, key).withColumn(POSITION, number.cast("int")).drop("first_bin", "last_bin")
 
 
 def resample_mean_count(df: DataFrame, key: str = "LinkRef", ts: str = "DateTime",
                         value: str = "LinkTravelTime", freq="15min") -> DataFrame:
     """Per key, every bin of its own range: mean (missing when empty) and count (0)."""
     bins = materialize(bin_aggregate(df, key, ts, value, freq), "bins")
-    spine = link_spine(bins, key, freq)
+    spine, _ = link_spine(bins, key, freq)
     return (spine.join(bins, [key, "bin_ts"], "left")
             .select(key, "bin_ts", value, F.coalesce("n", F.lit(0)).alias("n")))
 
@@ -82,20 +135,10 @@ def resample_filled(df: DataFrame, key: str, ts: str, value: str, freq="15min",
 
 def filled_bins(bins: DataFrame, key: str, value: str, freq="15min", union: bool = True,
                 then_bfill: bool = True) -> DataFrame:
-    """The series of already binned means: spine, interpolate -> pad -> bfill."""
-    spine = union_spine(bins, key, freq) if union else link_spine(bins, key, freq)
-    cells = spine.join(bins.select(key, "bin_ts", value), [key, "bin_ts"], "left")
-    return fill_by_position(cells, key, value, then_bfill=then_bfill)
-
-
-def fill_by_position(cells: DataFrame, key: str, value: str, order: str = "bin_ts",
-                     then_bfill: bool = True) -> DataFrame:
-    """Interpolate -> pad -> bfill ``value`` by row position within each key."""
-    w = Window.partitionBy(key).orderBy(order)
-    with_pos = cells.withColumn("_pos", F.row_number().over(w))
-    return with_pos.select(*[c for c in cells.columns if c != value],
-                           interpolate(value, [key], order, then_bfill=then_bfill,
-                                       position="_pos").alias(value))
+    """The series of already binned means: spine, interpolate (by position) -> pad -> bfill."""
+    spine, known = (union_spine if union else link_spine)(bins, key, freq)
+    around = carried(spine, known, [key], POSITION, [value])
+    return around.select(key, "bin_ts", Carried(value, POSITION).interpolate(then_bfill).alias(value))
 
 
 def multi_resolution(df: DataFrame, key: str, ts: str, value: str,

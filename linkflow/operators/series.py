@@ -12,53 +12,67 @@ The links are aligned on the union of their bin ranges. Gap policy: ``z`` pad th
 0; ``m`` and ``scale`` pad then bfill; ``w`` 0. An empty bin therefore carries the
 previous z and the previous bin's m. Output is long: one row per (link, bin).
 
-The observation -> bin step is a combinable aggregation; the fills are windows per
-link over its bins (bounded by the time span, not by the number of observations).
+Observations are summed to (link, bin, slot of the timetable day) before the profile is looked
+up: all rows of such a cell look up the same mean, so its sum, count and rows stand for them
+(``cell_sums``). The observations are read and partially aggregated in place; only cells are
+shuffled, joined and filled (``fill.carried``, chunk by chunk).
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.fixed import fixed_mean
+from ..functions.fixed import mean_of_total, to_fixed
 from ..session import materialize
-from .fill import bfill, pad
+from .fill import Carried, carried
 from .joins import join_small
 from .profile import VALUE, Profile, with_time_keys
-from .resample import union_spine
+from .resample import POSITION, union_spine
 
 
-def transform(obs: DataFrame, profile: Profile, freq="15min") -> DataFrame:
-    """``(LinkRef, bin_ts, z, dev, mean, scale, weight, x)`` on the union spine."""
-    keyed = with_time_keys(obs, freq).select("LinkRef", "slot", F.col("DateTimeRef").alias("bin_ts"), VALUE)
-    looked_up = join_small(keyed, profile.slots.select("LinkRef", "slot",
-                                                       F.col("mean").alias("_pmean")),
-                           ["LinkRef", "slot"], "left")
+def cell_sums(obs: DataFrame, freq="15min", *by: str) -> DataFrame:
+    """``(by..., LinkRef, bin_ts, slot, total, seen, rows)``: additive sums of the observations."""
+    keyed = with_time_keys(obs, freq).select(*by, "LinkRef", "slot", F.col("DateTimeRef").alias("bin_ts"), VALUE)
+    return keyed.groupBy(*by, "LinkRef", "bin_ts", "slot").agg(
+        F.sum(to_fixed(VALUE)).alias("total"), F.count(VALUE).alias("seen"), F.count(F.lit(1)).alias("rows"))
+
+
+def transform_cells(cells: DataFrame, profile: Profile, freq="15min") -> DataFrame:
+    """``transform`` of observations that are ``cell_sums`` already."""
+    means = profile.slots.select("LinkRef", "slot", F.col("mean").alias("_pmean"))
+    looked_up = join_small(cells, means, ["LinkRef", "slot"], "left")
+    found = F.when(F.col("_pmean").isNotNull(), F.col("rows"))
     bins = looked_up.groupBy("LinkRef", "bin_ts").agg(
-        fixed_mean(VALUE).alias("x"),
-        fixed_mean("_pmean").alias("m"),
-        F.count(VALUE).alias("w"))
-    bins = materialize(bins, "series-bins")   # read by the spine, the spans and the cells
-    spine = union_spine(bins, "LinkRef", freq)
-    cells = spine.join(bins, ["LinkRef", "bin_ts"], "left")
-    cells = join_small(cells, profile.scales.select("LinkRef", "scale"), "LinkRef", "left")
-    cells = (cells.withColumn("_z", F.try_divide(F.col("x") - F.col("m"), F.col("scale")))
-             .withColumn("_d", F.when(F.col("scale").isNotNull(), F.col("x") - F.col("m"))))
-    part, order = ["LinkRef"], "bin_ts"
-    m_pad = pad("m", part, order)
-    return cells.select(
+        mean_of_total(F.sum("total"), F.sum("seen")).alias("x"),
+        mean_of_total(F.sum(to_fixed("_pmean") * found.cast("decimal(19,0)")), F.sum(found)).alias("m"),
+        F.sum("seen").alias("w"))
+    bins = materialize(bins, "series-bins")   # read by the spine, the spans and the known values
+    scales = profile.scales.select("LinkRef", "scale")
+    scaled = join_small(bins, scales, "LinkRef", "left")
+    away = F.col("x") - F.col("m")
+    scaled = scaled.withColumn("z", F.try_divide(away, F.col("scale"))).withColumn(
+        "dev", F.when(F.col("scale").isNotNull(), away)).drop("scale")
+    spine, known = union_spine(scaled, "LinkRef", freq, keys=scales)
+    around = carried(spine, known, ["LinkRef"], POSITION, ["z", "dev", "m", "x", "w"])
+    z, dev, m, x, w = (Carried(v, POSITION) for v in ("z", "dev", "m", "x", "w"))
+    return around.select(
         "LinkRef", "bin_ts",
-        F.coalesce(pad("_z", part, order), F.lit(0.0)).alias("z"),
+        F.coalesce(z.pad(), F.lit(0.0)).alias("z"),
         # the same fill on the unscaled deviation: z * scale == dev, without rounding
-        F.coalesce(pad("_d", part, order), F.lit(0.0)).alias("dev"),
-        F.coalesce(m_pad, bfill("m", part, order)).alias("mean"),
+        F.coalesce(dev.pad(), F.lit(0.0)).alias("dev"),
+        F.coalesce(m.pad(), m.bfill()).alias("mean"),
         F.col("scale"),
-        F.coalesce(F.col("w"), F.lit(0)).alias("weight"),
-        F.col("x"),
+        F.coalesce(w.own(), F.lit(0)).alias("weight"),
+        x.own().alias("x"),
     )
 
 
+def transform(obs: DataFrame, profile: Profile, freq="15min") -> DataFrame:
+    """``(LinkRef, bin_ts, z, dev, mean, scale, weight, x)`` on the union spine."""
+    return transform_cells(cell_sums(obs, freq), profile, freq)
+
+
 def inverse(series: DataFrame, z: str = "z", out: str = "seconds") -> DataFrame:
     """``z * scale + mean`` back in seconds (observed bins give back their mean).
 
@@ -70,10 +84,3 @@ def inverse(series: DataFrame, z: str = "z", out: str = "seconds") -> DataFrame:
         return series.withColumn(out, F.when(F.col("scale").isNotNull(),
                                              F.col("dev") + F.col("mean")))
     return series.withColumn(out, F.col(z) * F.col("scale") + F.col("mean"))
-
-
-def link_order_list(obs: DataFrame) -> DataFrame:
-    """Links in display order (smallest link order first) with their 0-based column index."""
-    firsts = obs.groupBy("LinkRef").agg(F.min("LineDirectionLinkOrder").alias("order"))
-    w = Window.partitionBy(F.lit(1)).orderBy("order", "LinkRef")
-    return firsts.withColumn("link_index", F.row_number().over(w) - 1)
