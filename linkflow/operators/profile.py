@@ -18,13 +18,15 @@ per-slot partial moments, so the rows are read once for the slot statistics.
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.time import SECONDS_PER_WEEK, freq_seconds, slot_of_week, slot_timestamp
 from ..session import materialize as materialize_table
 from .fill import interpolate
-from .robust import MAD_SCALE, robust_cells
+from .robust import MAD_SCALE, counted_cells, robust_cells
 
 VALUE = "LinkTravelTime"
 
@@ -47,30 +49,31 @@ def slot_statistics(obs: DataFrame, freq="15min", k: float = 3.0,
     return robust_cells(x, ["LinkRef", "slot"], VALUE, k, mad_scale)
 
 
-def link_scale(slot_stats: DataFrame) -> DataFrame:
+def link_scale(slot_stats: DataFrame, by: Sequence[str] = ()) -> DataFrame:
     """Per-link sample std of the inliers, merged from per-slot (n, mean, var)."""
+    key = [*by, "LinkRef"]
     s = slot_stats.where(F.col("n_inliers") > 0)
-    per_link = s.groupBy("LinkRef").agg(
+    per_link = s.groupBy(*key).agg(
         F.sum("n_inliers").alias("_n_link"),
         (F.sum(F.col("mean") * F.col("n_inliers")) / F.sum("n_inliers")).alias("_mu"))
-    m2 = (s.join(per_link, "LinkRef")
-          .groupBy("LinkRef", "_n_link")
+    m2 = (s.join(per_link, key)
+          .groupBy(*key, "_n_link")
           .agg((F.sum(F.coalesce(F.col("var") * (F.col("n_inliers") - 1), F.lit(0.0)))
                 + F.sum(F.col("n_inliers") * (F.col("mean") - F.col("_mu")) ** 2)).alias("_m2")))
     n = F.col("_n_link")
-    return m2.select("LinkRef", n.alias("n_inliers"),
+    return m2.select(*key, n.alias("n_inliers"),
                      F.when(n > 1, F.sqrt(F.col("_m2") / (n - 1))).alias("scale"))
 
 
-def fill_profile(slot_stats: DataFrame, links: DataFrame, freq="15min") -> DataFrame:
+def fill_profile(slot_stats: DataFrame, links: DataFrame, freq="15min", by: Sequence[str] = ()) -> DataFrame:
     """Every slot of the week for every link, with mean/low/upr interpolated -> pad -> bfill."""
     n_slots = SECONDS_PER_WEEK // freq_seconds(freq)
-    spine = links.select("LinkRef", F.explode(F.sequence(F.lit(0), F.lit(n_slots - 1))).alias("slot"))
-    cells = spine.join(slot_stats.select("LinkRef", "slot", "mean", "low", "upr"),
-                       ["LinkRef", "slot"], "left")
-    part = ["LinkRef"]
+    part = [*by, "LinkRef"]
+    spine = links.select(*part, F.explode(F.sequence(F.lit(0), F.lit(n_slots - 1))).alias("slot"))
+    cells = spine.join(slot_stats.select(*part, "slot", "mean", "low", "upr"),
+                       [*part, "slot"], "left")
     return cells.select(
-        "LinkRef", "slot",
+        *part, "slot",
         slot_timestamp("slot", freq).alias("DowTimeRef"),
         interpolate("mean", part, "slot").alias("mean"),
         interpolate("low", part, "slot").alias("low"),
@@ -105,8 +108,21 @@ def fit_profile(obs: DataFrame, freq="15min", k: float = 3.0,
     executor loss safe), so every later use -- lookups, outlier bands, size checks
     -- reads the small result (links x slots rows) instead of re-running the fit.
     """
-    stats = slot_statistics(obs, freq, k, mad_scale)
+    return _profile(slot_statistics(obs, freq, k, mad_scale), freq, materialize)
+
+
+def fit_counted(counted: DataFrame, freq="15min", k: float = 3.0, mad_scale: float = MAD_SCALE,
+                by: Sequence[str] = ()) -> Profile:
+    """Profiles of value counts ``(by..., LinkRef, slot, VALUE, _n)``: one for every ``by``, fitted together.
+
+    Counts add up, so they are the profile's mergeable state: the counts of several parts of
+    the rows, summed, fit the same profile as the rows of all parts.
+    """
+    return _profile(counted_cells(counted, [*by, "LinkRef", "slot"], VALUE, k, mad_scale), freq, True, by)
+
+
+def _profile(stats: DataFrame, freq, materialize: bool, by: Sequence[str] = ()) -> Profile:
     if materialize:
         stats = materialize_table(stats, "profile-cells")
-    links = stats.select("LinkRef").distinct()
-    return Profile(fill_profile(stats, links, freq), link_scale(stats), stats, freq, materialize)
+    links = stats.select(*by, "LinkRef").distinct()
+    return Profile(fill_profile(stats, links, freq, by), link_scale(stats, by), stats, freq, materialize)

@@ -73,9 +73,16 @@ def islands(spans: DataFrame, freq="15min", by: Sequence[str] = ()) -> DataFrame
     return runs.select(*by, "first", "last", F.coalesce(F.sum(F.col("last") - F.col("first") + 1).over(earlier), F.lit(0)).alias("before"))
 
 
-def _layout(spans: DataFrame, freq) -> Column:
-    """All islands as one array; no longer than the row of bins that every key is laid out to."""
-    return islands(spans, freq).agg(F.sort_array(F.collect_list(F.struct("first", "last", "before")))).scalar()
+def _with_layout(rows: DataFrame, spans: DataFrame, freq, by: Sequence[str]) -> DataFrame:
+    """``rows`` with all islands (of their ``by``) as one array ``_layout``.
+
+    The array is no longer than the row of bins that every key is laid out to.
+    """
+    listed = F.sort_array(F.collect_list(F.struct("first", "last", "before"))).alias("_layout")
+    found = islands(spans, freq, by)
+    if by:
+        return rows.join(found.groupBy(*by).agg(listed), list(by))
+    return rows.withColumn("_layout", found.agg(listed).scalar())
 
 
 def position_in(layout: Column, bin_ts: str, freq) -> Column:
@@ -93,19 +100,20 @@ def _bins_of(layout: Column, freq) -> Column:
         F.lit(0), F.lit(0), F.lit(0), n * F.lit(step)))
 
 
-def union_spine(bins: DataFrame, key: str, freq="15min", keys: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+def union_spine(bins: DataFrame, key: str, freq="15min", keys: DataFrame | None = None,
+                by: Sequence[str] = ()) -> tuple[DataFrame, DataFrame]:
     """(every key x every bin of the union of the keys' bin ranges, ``bins``), both with ``POSITION``.
 
-    ``keys``: more columns per key, kept along the spine. Size: keys x bins, the dense matrix
-    itself; only bins that no key's range covers are left out.
+    ``keys``: more columns per key, kept along the spine. ``by``: columns whose values are sets
+    of keys, each with a union of its own. Size: keys x bins, the dense matrix itself; only
+    bins that no key's range covers are left out.
     """
-    spans = link_spans(bins, key)
-    layout = _layout(spans, freq)
-    rows = spans.select(key) if keys is None else spans.select(key).join(keys, key, "left")
-    island_rows = F.col("_layout")
-    spine = rows.withColumn("_layout", layout).select(
-        *rows.columns, F.posexplode(_bins_of(island_rows, freq)).alias(POSITION, "bin_ts"))
-    known = bins.withColumn("_layout", layout).withColumn(POSITION, position_in(island_rows, "bin_ts", freq).cast("int"))
+    spans = link_spans(bins, *by, key)
+    rows = spans.select(*by, key)
+    rows = rows if keys is None else rows.join(keys, [*by, key], "left")
+    layout = F.col("_layout")
+    spine = _with_layout(rows, spans, freq, by).select(*rows.columns, F.posexplode(_bins_of(layout, freq)).alias(POSITION, "bin_ts"))
+    known = _with_layout(bins, spans, freq, by).withColumn(POSITION, position_in(layout, "bin_ts", freq).cast("int"))
     return spine, known.drop("_layout")
 
 

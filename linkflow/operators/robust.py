@@ -81,9 +81,9 @@ def middle(counted: DataFrame, keys: Sequence[str], value: str, most: int) -> Da
     return totals.select(*keys, "n").join(halves, keys)
 
 
-def _centre(df: DataFrame, keys: list[str], value: str, mad_scale: float):
-    """(values with their group's median and count, medians, MADs), the values written once."""
-    vc = materialize(value_counts(df, keys, value), "value-counts")
+def _centre(vc: DataFrame, keys: list[str], value: str, mad_scale: float):
+    """(values with their group's median and count, medians, MADs) of value counts, written once."""
+    vc = materialize(vc, "value-counts")
     most = widest(vc, keys)      # deviations are at most as many as values
     med = middle(vc, keys, value, most)
     if most > ROOM:
@@ -101,13 +101,19 @@ def median_mad(df: DataFrame, keys: Sequence[str], value: str,
                mad_scale: float = MAD_SCALE) -> DataFrame:
     """``(keys..., n, median, mad)`` with ``mad = mad_scale * median(|x - median|)``."""
     keys = list(keys)
-    _, med, mad = _centre(df, keys, value, mad_scale)
+    _, med, mad = _centre(value_counts(df, keys, value), keys, value, mad_scale)
     return med.join(mad, keys)
 
 
 def robust_cells(df: DataFrame, keys: Sequence[str], value: str, k: float = 3.0,
                  mad_scale: float = MAD_SCALE) -> DataFrame:
-    """Per group: ``n, median, mad, low, upr, n_inliers, mean, var`` of the inliers.
+    """Per group: ``n, median, mad, low, upr, n_inliers, mean, var`` of the inliers (see ``counted_cells``)."""
+    return counted_cells(value_counts(df, keys, value), keys, value, k, mad_scale)
+
+
+def counted_cells(counted: DataFrame, keys: Sequence[str], value: str, k: float = 3.0,
+                  mad_scale: float = MAD_SCALE) -> DataFrame:
+    """``robust_cells`` of rows that are ``value_counts`` already, such as merged ones.
 
     The raw rows are read once, into the value-count table; everything else runs on
     that compressed table (joins between per-group tables are left to AQE, which
@@ -116,7 +122,7 @@ def robust_cells(df: DataFrame, keys: Sequence[str], value: str, k: float = 3.0,
     shifted by the group median (numerically stable).
     """
     keys = list(keys)
-    vm, med, mad = _centre(df, keys, value, mad_scale)
+    vm, med, mad = _centre(counted, keys, value, mad_scale)
     bounds = mad_bounds(med.join(mad, keys), k)
     x = F.col(value)
     inl = vm.join(bounds.select(*keys, "low", "upr"), keys).where(strictly_inside(value))

@@ -20,6 +20,8 @@ shuffled, joined and filled (``fill.carried``, chunk by chunk).
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -38,26 +40,27 @@ def cell_sums(obs: DataFrame, freq="15min", *by: str) -> DataFrame:
         F.sum(to_fixed(VALUE)).alias("total"), F.count(VALUE).alias("seen"), F.count(F.lit(1)).alias("rows"))
 
 
-def transform_cells(cells: DataFrame, profile: Profile, freq="15min") -> DataFrame:
-    """``transform`` of observations that are ``cell_sums`` already."""
-    means = profile.slots.select("LinkRef", "slot", F.col("mean").alias("_pmean"))
-    looked_up = join_small(cells, means, ["LinkRef", "slot"], "left")
+def transform_cells(cells: DataFrame, profile: Profile, freq="15min", by: Sequence[str] = ()) -> DataFrame:
+    """``transform`` of observations that are ``cell_sums`` already; ``by``: one series set for each profile."""
+    link = [*by, "LinkRef"]
+    means = profile.slots.select(*link, "slot", F.col("mean").alias("_pmean"))
+    looked_up = join_small(cells, means, [*link, "slot"], "left")
     found = F.when(F.col("_pmean").isNotNull(), F.col("rows"))
-    bins = looked_up.groupBy("LinkRef", "bin_ts").agg(
+    bins = looked_up.groupBy(*link, "bin_ts").agg(
         mean_of_total(F.sum("total"), F.sum("seen")).alias("x"),
         mean_of_total(F.sum(to_fixed("_pmean") * found.cast("decimal(19,0)")), F.sum(found)).alias("m"),
         F.sum("seen").alias("w"))
     bins = materialize(bins, "series-bins")   # read by the spine, the spans and the known values
-    scales = profile.scales.select("LinkRef", "scale")
-    scaled = join_small(bins, scales, "LinkRef", "left")
+    scales = profile.scales.select(*link, "scale")
+    scaled = join_small(bins, scales, link, "left")
     away = F.col("x") - F.col("m")
     scaled = scaled.withColumn("z", F.try_divide(away, F.col("scale"))).withColumn(
         "dev", F.when(F.col("scale").isNotNull(), away)).drop("scale")
-    spine, known = union_spine(scaled, "LinkRef", freq, keys=scales)
-    around = carried(spine, known, ["LinkRef"], POSITION, ["z", "dev", "m", "x", "w"])
+    spine, known = union_spine(scaled, "LinkRef", freq, keys=scales, by=by)
+    around = carried(spine, known, link, POSITION, ["z", "dev", "m", "x", "w"])
     z, dev, m, x, w = (Carried(v, POSITION) for v in ("z", "dev", "m", "x", "w"))
     return around.select(
-        "LinkRef", "bin_ts",
+        *link, "bin_ts",
         F.coalesce(z.pad(), F.lit(0.0)).alias("z"),
         # the same fill on the unscaled deviation: z * scale == dev, without rounding
         F.coalesce(dev.pad(), F.lit(0.0)).alias("dev"),

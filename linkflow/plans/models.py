@@ -5,8 +5,9 @@
 * ``sar_fit``: per link, z(t) on its last ``lags`` values; then a refit with the previous
   one-step error of that first model as one more regressor (0 where there is none before).
   Two least-squares fits stand for the original one-sample-at-a-time training.
-* ``lag_regression``: one ``pyspark.ml`` linear regression per horizon on the lag vector of
-  each (link, bin) window, by normal equations; fitted on one set of windows, applied to another.
+* ``lag_regression``: least squares of every horizon on the lag vector of each (link, bin)
+  window, fitted on one set of windows and applied to another. One pass sums the products of
+  lags and horizons of every fold; one small system per fold is solved for all horizons.
 """
 
 from __future__ import annotations
@@ -14,8 +15,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 
 import numpy as np
-from pyspark.ml.functions import array_to_vector
-from pyspark.ml.regression import LinearRegression, LinearRegressionModel
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -89,24 +89,82 @@ def sar_one_lag(series: DataFrame, key: str = "LinkRef", order: str = "bin_ts")
                                    F.regr_intercept("y", "x").alias("intercept"))
 
 
-def fit_lag_regression(rolled: DataFrame, preds: int, reg_param: float = 0.0) -> list[LinearRegressionModel]:
-    """One model per horizon; the windows are written once and read once per horizon."""
-    data = materialize(rolled.select(array_to_vector("X").alias("features"), "Y"), "lag-windows")
-    return [LinearRegression(featuresCol="features", labelCol="label", regParam=reg_param, solver="normal")
-            .fit(data.select("features", F.col("Y")[h].alias("label"))) for h in range(preds)]
+def _gram_rows(by: Sequence[str], schema: pa.Schema):
+    """Per partition and ``by``: the sums of products of (1, X, Y) over the windows, flattened."""
+    def run(batches):
+        sums: dict = {}
+        for b in batches:
+            if not b.num_rows:
+                continue
+            x, y = (np.array(b.column(b.schema.names.index(c)).to_pylist(), float) for c in ("X", "Y"))
+            whole = np.column_stack([np.ones(len(x)), x, y])
+            keys = list(zip(*(b.column(b.schema.names.index(c)).to_pylist() for c in by))) if by else [()] * len(x)
+            for key in dict.fromkeys(keys):
+                rows = whole[[k == key for k in keys]]
+                sums[key] = sums.get(key, 0.0) + rows.T @ rows
+        if sums:
+            yield pa.RecordBatch.from_arrays(
+                [pa.array([k[i] for k in sums], schema.field(c).type) for i, c in enumerate(by)]
+                + [pa.array([m.ravel().tolist() for m in sums.values()], pa.list_(pa.float64()))], names=[*by, "sums"])
+
+    return run
+
+
+def product_sums(rolled: DataFrame, by: Sequence[str] = ()) -> DataFrame:
+    """``(by..., position, total)``: sums of products of (1, X, Y), row-major, over all windows of each ``by``.
+
+    Every partition sends one matrix per ``by``; matrices are added position by position. They
+    are all that least squares of every horizon needs, and sums of disjoint windows add up.
+    """
+    by = list(by)
+    fields = [f for f in rolled.schema if f.name in by]
+    schema = ", ".join([f"`{c}` {rolled.schema[c].dataType.simpleString()}" for c in by] + ["sums array<double>"])
+    from pyspark.sql.pandas.types import to_arrow_type
+    arrow = pa.schema([(f.name, to_arrow_type(f.dataType)) for f in fields])
+    parts = rolled.select(*by, "X", "Y").mapInArrow(_gram_rows(by, arrow), schema)
+    return parts.select(*by, F.posexplode("sums").alias("position", "total")).groupBy(*by, "position").agg(F.sum("total").alias("total"))
+
+
+def _solved_horizons(preds: int):
+    def run(frames):
+        for pdf in frames:
+            out = []
+            for flat in pdf["_sums"]:
+                n = int(round(len(flat) ** 0.5))
+                m = np.array(flat, float).reshape(n, n)
+                k = n - preds
+                out.append(np.linalg.lstsq(m[:k, :k], m[:k, k:], rcond=None)[0].T.tolist())
+            pdf["coef"] = out
+            yield pdf.drop(columns=["_sums"])
+
+    return run
+
 
+def lag_coefficients(sums: DataFrame, preds: int, by: Sequence[str] = ()) -> DataFrame:
+    """``(by..., coef)``: intercept and lag coefficients for every horizon, from ``product_sums``."""
+    flat = F.transform(F.sort_array(F.collect_list(F.struct("position", "total"))), lambda c: c["total"]).alias("_sums")
+    schema = ", ".join([f"`{c}` {sums.schema[c].dataType.simpleString()}" for c in by] + ["coef array<array<double>>"])
+    return (sums.groupBy(*by).agg(flat) if by else sums.agg(flat)).where("size(_sums) > 0").mapInPandas(_solved_horizons(preds), schema)
 
-def apply_lag_regression(models: Sequence[LinearRegressionModel], rolled: DataFrame) -> DataFrame:
-    """``(LinkRef, bin_ts, horizon, z_true, z_pred, mean, scale, weight)`` in one pass over the windows."""
-    def at(h):
-        linear = F.aggregate(F.zip_with("X", F.array(*[F.lit(float(c)) for c in models[h].coefficients]), lambda x, c: x * c),
-                             F.lit(float(models[h].intercept)), lambda total, part: total + part)
-        return F.struct(F.lit(h + 1).alias("horizon"), F.col("Y")[h].alias("z_true"), linear.alias("z_pred"),
-                        F.col("Y_mean")[h].alias("mean"), F.col("Y_scale")[h].alias("scale"), F.col("Y_weight")[h].alias("weight"))
-    return (rolled.select("LinkRef", "bin_ts", F.explode(F.array(*[at(h) for h in range(len(models))])).alias("_s"))
-            .select("LinkRef", "bin_ts", "_s.*"))
 
+def apply_lag_regression(coefficients: DataFrame, rolled: DataFrame, by: Sequence[str] = ()) -> DataFrame:
+    """``(by..., LinkRef, bin_ts, horizon, z_true, z_pred, mean, scale, weight)`` in one pass over the windows.
 
-def lag_regression(train: DataFrame, test: DataFrame, preds: int, reg_param: float = 0.0) -> DataFrame:
-    """Models fitted on ``train`` windows and applied to ``test`` windows."""
-    return apply_lag_regression(fit_lag_regression(train, preds, reg_param), test)
+    ``coefficients`` has one row per ``by`` (folds), whatever the number of links and windows.
+    """
+    joined = rolled.join(F.broadcast(coefficients), list(by)) if by else rolled.crossJoin(F.broadcast(coefficients))
+    design = F.concat(F.array(F.lit(1.0)), F.col("X"))
+    out = joined.select(*by, "LinkRef", "bin_ts", design.alias("_x"), F.posexplode(
+        F.arrays_zip("coef", "Y", "Y_mean", "Y_scale", "Y_weight")).alias("_h", "_s"))
+    linear = F.aggregate(F.zip_with("_x", F.col("_s.coef"), lambda x, c: x * c), F.lit(0.0), lambda total, part: total + part)
+    return out.select(*by, "LinkRef", "bin_ts", (F.col("_h") + 1).cast("int").alias("horizon"), F.col("_s.Y").alias("z_true"), linear.alias("z_pred"),
+                      F.col("_s.Y_mean").alias("mean"), F.col("_s.Y_scale").alias("scale"), F.col("_s.Y_weight").alias("weight"))
+
+
+def lag_regression(train: DataFrame, test: DataFrame, preds: int, by: Sequence[str] = ()) -> DataFrame:
+    """Least squares of every horizon on the lags of ``train`` windows, applied to ``test`` windows.
+
+    ``by`` (such as the fold) names columns of both; all its models are fitted in one pass.
+    """
+    fitted = materialize(lag_coefficients(product_sums(train, by), preds, by), "lag-coefficients")
+    return apply_lag_regression(fitted, test, by)

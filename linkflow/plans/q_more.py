@@ -11,13 +11,13 @@ from ..operators import headway as hw
 from ..operators import profile as pr
 from ..operators import series as se
 from ..operators import smoothing as sm
-from ..operators import splits as sp
 from ..operators import windows as wn
 from ..sources.adapters import Tables, with_views
+from . import folds as fd
 from . import models
 from .q_profile import _interp_sql, profile_ctes, profile_sql
 from .q_series import LAGS, PREDS, transform_ctes, zseries, zseries_sql
-from .registry import query, r4
+from .registry import query, r4, round_half_away
 
 _HEADWAY_CTE = ("hw", """SELECT *, CAST(date_diff('microsecond', DateTime,
         lead(DateTime) OVER (PARTITION BY LinkRef ORDER BY DateTime, JourneyLinkRef)) AS DOUBLE) / 1e6
@@ -152,25 +152,18 @@ def q_weighted_rmse(spark, sf_dir):
 FOLDS, BOOTSTRAP, STEP = 4, 0.80, 0.05
 
 
-def _fold_series(spark, sf_dir):
-    """(fold, series of its train rows, series of its test rows), scaled by the train profile."""
-    o = Tables(spark, sf_dir).obs().where("LinkTravelTime is not null")
-    for fold, train, test in sp.expanding_folds(o, BOOTSTRAP, STEP, FOLDS):
-        p = pr.fit_profile(train)
-        yield fold, se.transform(train, p), se.transform(test, p)
+def _fold_state(spark, sf_dir) -> fd.FoldState:
+    return fd.fold_state(Tables(spark, sf_dir).obs().where("LinkTravelTime is not null"), BOOTSTRAP, STEP, FOLDS)
 
 
 def _fold_forecasts(spark, sf_dir) -> DataFrame:
-    """Per fold: models fitted on the train windows, applied to the test windows, in seconds."""
-    out = None
-    for fold, train, test in _fold_series(spark, sf_dir):
-        scored = models.lag_regression(wn.roll(train, LAGS, PREDS), wn.roll(test, LAGS, PREDS), PREDS)
-        part = scored.select(F.lit(fold).alias("fold"), "LinkRef", "bin_ts", "horizon", "weight", "z_true", "z_pred",
-                             (F.col("z_true") * F.col("scale") + F.col("mean")).alias("truth"),
-                             (F.col("z_pred") * F.col("scale") + F.col("mean")).alias("model"),
-                             F.col("mean").alias("baseline"))
-        out = part if out is None else out.unionByName(part)
-    return out
+    """Models fitted on each fold's train windows, applied to its test windows, in seconds."""
+    train, test = fd.fold_windows(_fold_state(spark, sf_dir), LAGS, PREDS)
+    scored = models.lag_regression(train, test, PREDS, fd.FOLD)
+    return scored.select("fold", "LinkRef", "bin_ts", "horizon", "weight", "z_true", "z_pred",
+                         (F.col("z_true") * F.col("scale") + F.col("mean")).alias("truth"),
+                         (F.col("z_pred") * F.col("scale") + F.col("mean")).alias("model"),
+                         F.col("mean").alias("baseline"))
 
 
 def _fold_totals(rows: DataFrame, *columns: str) -> DataFrame:
@@ -180,56 +173,130 @@ def _fold_totals(rows: DataFrame, *columns: str) -> DataFrame:
             .where(F.col("truth") > 0))
 
 
-@query("lag_regression")
-def q_lag_regression(spark, sf_dir):
-    """Out-of-sample forecast of every fold (no SQL form; tested against numpy least squares)."""
-    return _fold_forecasts(spark, sf_dir)
-
-
-def _fold_board_sql() -> str:
-    ctes, parts = [], []
+def _fold_ctes(train_too: bool) -> list[tuple[str, str]]:
+    """DuckDB: {test,train}windows(fold, LinkRef, bin_ts, t, n_bins, z, mean, scale, weight) of every fold."""
+    ctes = [("numbered", """SELECT *, row_number() OVER (ORDER BY DateTime, JourneyLinkRef) - 1 AS rn,
+                                   count(*) OVER () AS n FROM obs WHERE LinkTravelTime IS NOT NULL""")]
+    sides = ["test", "train"] if train_too else ["test"]
     for i in range(FOLDS):
         cut = [f"CAST(floor((CAST({BOOTSTRAP} AS DOUBLE) + {k} * CAST({STEP} AS DOUBLE)) * n) AS BIGINT)" for k in (i, i + 1)]
         ctes += [(f"train{i}", f"SELECT * FROM numbered WHERE rn < {cut[0]}"),
                  (f"test{i}", f"SELECT * FROM numbered WHERE rn >= {cut[0]} AND rn < {cut[1]}"),
-                 *profile_ctes(f"train{i}", f"f{i}_"), *transform_ctes(f"test{i}", f"f{i}_", f"z{i}"),
-                 (f"pos{i}", f"""SELECT *, row_number() OVER (PARTITION BY LinkRef ORDER BY bin_ts) - 1 AS t,
-                                        count(*) OVER (PARTITION BY LinkRef) AS n_bins FROM z{i}""")]
-        parts.append(f"""
-            SELECT {i} AS fold, k AS horizon, a.bin_ts, sum((b.z * b.scale + b.mean) * b.weight) / 60 AS truth,
-                   sum(b.mean * b.weight) / 60 AS baseline
-            FROM pos{i} a, generate_series(1, {PREDS}) g(k), pos{i} b
-            WHERE a.t >= {LAGS} AND a.t < a.n_bins - {PREDS} AND b.LinkRef = a.LinkRef AND b.t = a.t + k - 1
-            GROUP BY k, a.bin_ts""")
-    numbered = ("numbered", """SELECT *, row_number() OVER (ORDER BY DateTime, JourneyLinkRef) - 1 AS rn,
-                                      count(*) OVER () AS n FROM obs WHERE LinkTravelTime IS NOT NULL""")
+                 *profile_ctes(f"train{i}", f"f{i}_")]
+        for side in sides:
+            ctes += transform_ctes(f"{side}{i}", f"f{i}_", f"z{side}{i}")
+    for side in sides:
+        ctes.append((f"{side}windows", " UNION ALL ".join(
+            f"""SELECT {i} AS fold, LinkRef, bin_ts, z, mean, scale, weight, row_number() OVER (PARTITION BY LinkRef ORDER BY bin_ts) - 1 AS t,
+                       count(*) OVER (PARTITION BY LinkRef) AS n_bins FROM z{side}{i}""" for i in range(FOLDS))))
+    return ctes
+
+
+_VALID = f"a.t >= {LAGS} AND a.t < a.n_bins - {PREDS}"
+
+
+def _fold_board_sql() -> str:
     return with_views(f"""
         SELECT CAST(fold AS INTEGER) AS fold, CAST(horizon AS INTEGER) AS horizon,
                round(sqrt(avg((truth - baseline) ** 2)), 4) AS rmse, round(avg(abs(truth - baseline)), 4) AS mae,
                round(avg(abs(truth - baseline) / truth) * 100, 4) AS mape, count(*) AS n_pairs
-        FROM ({" UNION ALL ".join(parts)}) WHERE truth > 0 GROUP BY fold, horizon""", "obs", extra=[numbered, *ctes])
+        FROM (SELECT a.fold, k AS horizon, a.bin_ts, sum((b.z * b.scale + b.mean) * b.weight) / 60 AS truth,
+                     sum(b.mean * b.weight) / 60 AS baseline
+              FROM testwindows a, generate_series(1, {PREDS}) g(k), testwindows b
+              WHERE {_VALID} AND b.fold = a.fold AND b.LinkRef = a.LinkRef AND b.t = a.t + k - 1
+              GROUP BY a.fold, k, a.bin_ts) WHERE truth > 0 GROUP BY fold, horizon""", "obs", extra=_fold_ctes(False))
+
+
+def _lists(side: str) -> str:
+    """Windows as lists (1, lags oldest first, horizons)."""
+    return f"""SELECT fold, LinkRef, bin_ts, list_concat([1.0::DOUBLE], zs[:{LAGS + PREDS}]) AS v FROM (
+        SELECT fold, LinkRef, bin_ts, t, n_bins, list(z) OVER (PARTITION BY fold, LinkRef ORDER BY t
+                ROWS BETWEEN {LAGS} PRECEDING AND {PREDS - 1} FOLLOWING) AS zs FROM {side}windows) a WHERE {_VALID}"""
+
+
+_WIDTH = 1 + LAGS + PREDS
+_PRODUCTS = [("vs", f"SELECT fold, i, v[i] AS x, v FROM ({_lists('train')}), generate_series(1, {_WIDTH}) g(i)"),
+             ("sums", f"""SELECT fold, i, {', '.join(f'sum(x * v[{j}]) AS c{j}' for j in range(1, _WIDTH + 1))}
+                          FROM vs GROUP BY fold, i""")]
+
+
+@query("lag_product_sums", with_views(f"""
+    SELECT CAST(fold AS INTEGER) AS fold, CAST((i - 1) * {_WIDTH} + j - 1 AS INTEGER) AS position,
+           round([{', '.join(f'c{j}' for j in range(1, _WIDTH + 1))}][j], 4) AS total
+    FROM sums, generate_series(1, {_WIDTH}) g(j)""", "obs", extra=_fold_ctes(True) + _PRODUCTS))
+def q_lag_product_sums(spark, sf_dir):
+    """Sums of products of (1, lags, horizons) over the train windows of every fold."""
+    train, _ = fd.fold_windows(_fold_state(spark, sf_dir), LAGS, PREDS)
+    return models.product_sums(train, fd.FOLD).select("fold", "position", r4("total"))
+
+
+# Gauss-Jordan elimination of the normal equations, one row of (lags | horizons) a step.
+_SOLVED = [
+    ("m0", f"SELECT fold, list([{', '.join(f'c{j}' for j in range(1, _WIDTH + 1))}] ORDER BY i) AS m FROM sums WHERE i <= {1 + LAGS} GROUP BY fold"),
+    ("gj", f"""SELECT fold, 0 AS k, m FROM m0 UNION ALL
+        SELECT fold, k + 1, list_transform(m, lambda r, i: CASE WHEN i = k + 1 THEN list_transform(r, lambda x: x / r[k + 1])
+            ELSE list_transform(r, lambda x, j: x - r[k + 1] * m[k + 1][j] / m[k + 1][k + 1]) END) FROM gj WHERE k < {1 + LAGS}"""),
+    ("forecast", f"""SELECT w.fold, LinkRef, bin_ts, h AS horizon, v[{1 + LAGS} + h] AS z_true,
+            list_sum(list_transform(v[:{1 + LAGS}], lambda x, i: x * m[i][{1 + LAGS} + h])) AS z_pred
+        FROM ({_lists('test')}) w JOIN gj ON gj.fold = w.fold AND k = {1 + LAGS}, generate_series(1, {PREDS}) g(h)"""),
+    ("seconds", """SELECT f.fold, f.LinkRef, f.bin_ts, f.horizon, b.weight, z_true, z_pred, z_true * b.scale + b.mean AS truth,
+            z_pred * b.scale + b.mean AS model, b.mean AS baseline
+        FROM forecast f JOIN testwindows a USING (fold, LinkRef, bin_ts) JOIN testwindows b
+          ON b.fold = f.fold AND b.LinkRef = f.LinkRef AND b.t = a.t + f.horizon - 1"""),
+]
+
+
+def _forecast_sql(select: str) -> str:
+    return with_views(select, "obs", extra=_fold_ctes(True) + _PRODUCTS + _SOLVED).replace("WITH ", "WITH RECURSIVE ", 1)
+
+
+_IN_SECONDS = ("z_true", "z_pred", "truth", "model", "baseline")
+
+
+@query("lag_regression", _forecast_sql(f"""
+    SELECT CAST(fold AS INTEGER) AS fold, LinkRef, bin_ts, CAST(horizon AS INTEGER) AS horizon, weight,
+           {', '.join(f'round({c}, 3) AS {c}' for c in _IN_SECONDS)} FROM seconds"""))
+def q_lag_regression(spark, sf_dir):
+    """Out-of-sample forecast of every fold, all folds and horizons fitted in one pass."""
+    return _fold_forecasts(spark, sf_dir).select("fold", "LinkRef", "bin_ts", "horizon", "weight",
+                                                 *[round_half_away(c, 3).alias(c) for c in _IN_SECONDS])
 
 
 @query("scoreboard_by_fold", _fold_board_sql())
 def q_scoreboard_by_fold(spark, sf_dir):
     """Historical average against truth per expanding fold and horizon."""
-    out = None
-    for fold, _, test in _fold_series(spark, sf_dir):
-        hz = wn.explode_horizons(wn.roll(test, LAGS, PREDS))
-        part = hz.select(F.lit(fold).alias("fold"), "horizon", "bin_ts", "weight", F.col("mean").alias("baseline"),
-                         (F.col("z") * F.col("scale") + F.col("mean")).alias("truth"))
-        out = part if out is None else out.unionByName(part)
-    board = _fold_totals(out, "truth", "baseline").groupBy("fold", "horizon").agg(*error_metrics("truth", "baseline"))
+    state = _fold_state(spark, sf_dir)
+    test = state.series(state.fit(), state.test_cells())
+    hz = wn.explode_horizons(wn.roll(test, LAGS, PREDS, key=["fold", "LinkRef"]), key=["fold", "LinkRef"])
+    rows = hz.select("fold", "horizon", "bin_ts", "weight", F.col("mean").alias("baseline"),
+                     (F.col("z") * F.col("scale") + F.col("mean")).alias("truth"))
+    board = _fold_totals(rows, "truth", "baseline").groupBy("fold", "horizon").agg(*error_metrics("truth", "baseline"))
     return board.select("fold", "horizon", r4("rmse"), r4("mae"), r4("mape"), "n_pairs")
 
 
-@query("scoreboard_model_by_fold")
+_KEPT = ("rmse", "mae", "mape")
+
+
+def _side_sql(side: str) -> str:
+    return (f"sqrt(avg((truth - {side}) ** 2)) AS {side}_rmse, avg(abs(truth - {side})) AS {side}_mae, "
+            f"avg(abs(truth - {side}) / truth) * 100 AS {side}_mape")
+
+
+@query("scoreboard_model_by_fold", _forecast_sql(f"""
+    SELECT CAST(fold AS INTEGER) AS fold, CAST(horizon AS INTEGER) AS horizon,
+           {', '.join(f'round({s}_{m}, 3) AS {s}_{m}' for s in ('baseline', 'model') for m in _KEPT)},
+           {', '.join(f'round(model_{m} - baseline_{m}, 3) AS difference_{m}' for m in _KEPT)}, n_pairs
+    FROM (SELECT fold, horizon, {_side_sql('baseline')}, {_side_sql('model')}, count(*) AS n_pairs
+          FROM (SELECT fold, horizon, bin_ts, sum(truth * weight) / 60 AS truth, sum(baseline * weight) / 60 AS baseline,
+                       sum(model * weight) / 60 AS model FROM seconds GROUP BY fold, horizon, bin_ts)
+          WHERE truth > 0 GROUP BY fold, horizon)"""))
 def q_scoreboard_model_by_fold(spark, sf_dir):
-    """Baseline, lag model and their difference per fold and horizon (the model has no SQL form)."""
+    """Baseline, lag model and their difference per fold and horizon."""
     totals = _fold_totals(_fold_forecasts(spark, sf_dir), "truth", "baseline", "model")
     board = totals.groupBy("fold", "horizon").agg(*error_metrics("truth", "baseline", "baseline_"),
                                                   *error_metrics("truth", "model", "model_"))
-    kept = ("rmse", "mae", "mape")
-    return board.select("fold", "horizon", *[f"{side}_{m}" for side in ("baseline", "model") for m in kept],
-                        *[(F.col(f"model_{m}") - F.col(f"baseline_{m}")).alias(f"difference_{m}") for m in kept],
+    def r3(c, name):
+        return round_half_away(c, 3).alias(name)
+    return board.select("fold", "horizon", *[r3(f"{side}_{m}", f"{side}_{m}") for side in ("baseline", "model") for m in _KEPT],
+                        *[r3(F.col(f"model_{m}") - F.col(f"baseline_{m}"), f"difference_{m}") for m in _KEPT],
                         F.col("model_n_pairs").alias("n_pairs"))
