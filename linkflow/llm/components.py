@@ -11,23 +11,39 @@ from linkflow.session import materialize
 def connected_components(links: DataFrame) -> DataFrame:
     """(node, root): every node of ``links`` (a, b) with the smallest node of its component.
 
-    Label spreading with pointer jumping: each round a node takes the smallest label among
-    its neighbours and itself, then the label of its label, so rounds grow with the
-    logarithm of a component's width. Labels are written to the shared checkpoint folder
-    after every round; only one count comes to the driver.
+    Contraction: each round every node is merged into the smallest of its neighbours and
+    itself, both ends of the links are replaced by what they were merged into, and loops and
+    repeated links are dropped, so the table shrinks by a factor each round (nodes must be in
+    no particular order along the links, as digests are). The rounds' merges are then followed
+    back from the last. Tables are written to the shared checkpoint folder; one count a round
+    comes to the driver.
     """
-    both = materialize(
-        links.select("a", "b").unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        .where("a <> b").distinct(), "links")
-    labels = materialize(both.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("m"))
-                         .select("node", F.least("node", "m").alias("root")), "labels")
-    while True:
-        seen = (both.join(labels.select(F.col("node").alias("b"), "root"), "b")
-                .groupBy(F.col("a").alias("node")).agg(F.min("root").alias("m")))
-        low = labels.join(seen, "node").select("node", F.col("root").alias("old"), F.least("root", "m").alias("low"))
-        jump = labels.select(F.col("node").alias("low"), F.col("root").alias("next"))
-        new = materialize(low.join(jump, "low", "left").select(
-            "node", "old", F.least("low", F.coalesce("next", "low")).alias("root")), "labels")
-        labels = new.select("node", "root")
-        if new.where("root <> old").limit(1).count() == 0:
-            return labels
+    left = materialize(_distinct(links), "links")
+    merges = []
+    while not left.isEmpty():
+        ends = left.unionByName(left.select(F.col("b").alias("a"), F.col("a").alias("b")))
+        into = materialize(ends.groupBy(F.col("a").alias("node")).agg(F.least("node", F.min("b")).alias("root")), "merges")
+        merges.append(into)
+        moved = left
+        for end in ("a", "b"):
+            to = into.select(F.col("node").alias(end), F.col("root").alias("to"))
+            moved = moved.join(to, end).drop(end).withColumnRenamed("to", end)
+        left = materialize(_distinct(moved), "links")
+    if not merges:
+        return links.select(F.col("a").alias("node"), F.col("b").alias("root")).limit(0)
+    known = merges.pop()
+    while merges:
+        later = known.select(F.col("node").alias("root"), F.col("root").alias("last"))
+        known = merges.pop().join(later, "root", "left").select("node", F.coalesce("last", "root").alias("root"))
+    return _to_least(known)
+
+
+def _distinct(links: DataFrame) -> DataFrame:
+    return links.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+
+
+def _to_least(labels: DataFrame) -> DataFrame:
+    """A component's nodes all end at one node; the smallest one takes its place."""
+    labels = materialize(labels, "labels")
+    least = labels.groupBy("root").agg(F.least("root", F.min("node")).alias("least"))
+    return labels.join(least, "root").select("node", F.col("least").alias("root"))

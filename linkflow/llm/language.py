@@ -4,8 +4,8 @@ Each direction keeps a state of ``HIDDEN`` units under one update gate,
 ``h = h + z * (c - h)`` with ``c = s(x_c + h U_c)`` and ``z = (1 + s(x_z + h U_z)) / 2``, where
 x comes from a table with a row per byte and ``s(a) = a / (1 + |a|)`` bounds the units. The two states at a byte give the language
 probabilities of that position; a document's probabilities are their mean over all its
-bytes. The network is trained by backpropagation through time (Adam) on pieces of a bounded
-sample: at most ``PER_LANG`` rows of each language, the first by a hash of doc_id, and
+bytes. The network is trained by backpropagation through time (Adam) on a bounded
+sample of whole texts: at most ``PER_LANG`` rows of each language, the first by a hash of doc_id, and
 ``MAX_SAMPLE`` in all. Rows with crc32(doc_id as text) mod 5 = 0 are held out.
 
 Prediction covers whole texts. A text is cut every ``STEP`` bytes; the states of a piece
@@ -31,7 +31,7 @@ from linkflow.llm.words import slices, text_buffers
 HIDDEN = 8
 STEP, CONTEXT = 256, 16
 PER_LANG, MAX_SAMPLE = 400, 20_000      # bounds of the training sample, in rows
-PIECES, PIECE_CHARS = 3, 96             # pieces of a sampled text, and their length
+PIECE = 96                              # bytes that one step of training reads, anywhere in a sampled text
 ROUNDS, BATCH, RATE = 200, 192, 0.03
 SLICE = 448 << 10                       # bytes of text predicted at once
 PAD = 256
@@ -44,17 +44,22 @@ def held_out(doc_id="doc_id"):
 
 
 def training_sample(docs: DataFrame) -> list[tuple[str, bytes]]:
-    """(language, piece) pairs of the bounded sample, in a fixed order."""
-    order = Window.partitionBy("lang").orderBy("h", "doc_id", "text")
-    n = F.length("text")
-    pieces = F.transform(F.array(*[F.lit(i) for i in range(PIECES)]), lambda i: F.substring(
-        F.col("text"), F.floor((n - F.least(n, F.lit(PIECE_CHARS))) * i / max(1, PIECES - 1)).cast("int") + 1, F.lit(PIECE_CHARS)))
-    rows = (docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), F.col("lang").cast("string").alias("lang"))
-            .where(F.col("doc_id").isNotNull() & ~held_out() & F.col("lang").isNotNull() & F.coalesce(F.col("text").rlike(r"\p{L}"), F.lit(False)))
-            .select("doc_id", "lang", F.xxhash64(F.col("doc_id").cast("string")).alias("h"), pieces.alias("text"))
-            .withColumn("n", F.row_number().over(order)).where(F.col("n") <= PER_LANG)
+    """(language, whole text) pairs of the bounded sample, in a fixed order.
+
+    Languages are counted first; a language's rows are then held to a share of all hashes that
+    leaves about four times as many as wanted, and only those few are ranked. Repeated rows
+    count as one.
+    """
+    known = (docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), F.col("lang").cast("string").alias("lang"))
+             .where(F.col("doc_id").isNotNull() & ~held_out() & F.col("lang").isNotNull() & F.coalesce(F.col("text").rlike(r"\p{L}"), F.lit(False))))
+    counts = known.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(MAX_SAMPLE).collect()
+    shares = docs.sparkSession.createDataFrame([(r["lang"], min(1.0, 4.0 * PER_LANG / r["count"])) for r in counts], "lang string, share double")
+    hashed = known.withColumn("h", F.xxhash64(F.col("doc_id").cast("string"), "text")).join(F.broadcast(shares), "lang")   # MAX_SAMPLE rows at most
+    near = hashed.where(F.col("h") / 2.0 ** 64 + 0.5 < F.col("share")).dropDuplicates(["lang", "h"])
+    order = Window.partitionBy("lang").orderBy("h")
+    rows = (near.withColumn("n", F.row_number().over(order)).where(F.col("n") <= PER_LANG)
             .orderBy("n", "lang").limit(MAX_SAMPLE).select("lang", "text").collect())
-    return [(r["lang"], p.encode("utf-8")) for r in rows for p in r["text"]]
+    return [(r["lang"], r["text"].encode("utf-8")) for r in rows]
 
 
 class Direction:
@@ -97,16 +102,18 @@ class Direction:
 
 
 def train(sample: list[tuple[str, bytes]], rounds: int = ROUNDS, seed: int = 1):
-    """(languages, weights) learned from (language, piece) pairs; None if there are none."""
+    """(languages, weights) learned from (language, text) pairs; None if there are none.
+
+    A step draws texts, and of each text any ``PIECE`` bytes, so all of every text is learned from.
+    """
     langs = sorted({lang for lang, _ in sample})
     if not langs:
         return None
     rng = np.random.default_rng(seed)
     y_all = np.array([langs.index(lang) for lang, _ in sample])
-    x_all = np.full((len(sample), PIECE_CHARS), PAD)
-    for i, (_, piece) in enumerate(sample):
-        piece = piece[:PIECE_CHARS]
-        x_all[i, :len(piece)] = np.frombuffer(piece, np.uint8)
+    data = np.append(np.frombuffer(b"".join(t for _, t in sample), np.uint8).astype(np.int16), PAD)
+    size = np.array([len(t) for _, t in sample])
+    begin = np.cumsum(size) - size
     share = np.bincount(y_all, minlength=len(langs))
     draw = (1 / share)[y_all] / len(langs)              # languages are drawn equally often
     both = [Direction(rng, len(langs)), Direction(rng, len(langs))]
@@ -115,7 +122,9 @@ def train(sample: list[tuple[str, bytes]], rounds: int = ROUNDS, seed: int = 1):
     m, v = [np.zeros_like(p) for p in params], [np.zeros_like(p) for p in params]
     for r in range(1, rounds + 1):
         pick = rng.choice(len(sample), min(BATCH, len(sample)), p=draw / draw.sum())
-        x, y = np.ascontiguousarray(x_all[pick].T), y_all[pick]
+        first = (rng.random(len(pick)) * np.maximum(size[pick] - PIECE + 1, 1)).astype(np.int64)
+        at = first + np.arange(PIECE)[:, None]
+        x, y = data[np.where(at < size[pick], begin[pick] + at, len(data) - 1)].astype(np.int64), y_all[pick]
         ways = [x, x[::-1]]
         runs = [d.states(w) for d, w in zip(both, ways)]
         after = [np.stack([k[0] for k in kept[1:]] + [last]) for kept, last in runs]

@@ -12,8 +12,8 @@ Without given weights the target is the tempered one: weights in proportion to
 ``size ** temperature``. Weights need not add to one; sources without a weight (and those
 of weight 0) give no rows. A null source is a source of its own. A null text counts as
 empty; if all texts are empty, rows are counted instead of code points. Repeated rows have
-equal counts. All input columns are kept; the copy number and mixing key are added under
-the names given.
+equal counts. All input columns are kept as they are; the copy number and mixing key are added
+under the names given, with ``_`` behind a name that the input has already.
 """
 
 from __future__ import annotations
@@ -26,7 +26,6 @@ from linkflow.session import materialize
 TEMPERATURE = 0.5
 SEED = 20240601
 SPLIT = 32.0                   # largest mean inverted at once
-MAX_BROADCAST = 10_000         # sources whose rates are broadcast; more are joined by a shuffle
 
 
 def hash52(*parts: Column) -> Column:
@@ -81,15 +80,16 @@ def poisson_mix(docs: DataFrame, weights: DataFrame | None = None, temperature:
     rates = materialize(
         source_rates(docs, weights, temperature).where("rate > 0")
         .withColumn("parts", F.ceil(F.col("rate") / SPLIT).cast("int"))
-        .select(F.col("source").alias("__source"), F.col("parts").alias("__parts"),
-                poisson_table(F.col("rate") / F.col("parts")).alias("__table")), "rates")
-    if rates.limit(MAX_BROADCAST + 1).count() <= MAX_BROADCAST:
-        rates = F.broadcast(rates)                         # size just counted
+        .select(F.col("source").alias("of"), "parts", poisson_table(F.col("rate") / F.col("parts")).alias("table")), "rates")
+    while copy in docs.columns:
+        copy += "_"
+    while order in (*docs.columns, copy):
+        order += "_"
     key = F.concat_ws("|", F.coalesce(F.col("doc_id").cast("string"), F.lit("null")), F.md5(F.coalesce("text", F.lit("")).cast("binary")))
-    keyed = docs.withColumn("__key", key).join(rates, F.col("source").eqNullSafe(F.col("__source")))
-    copies = (keyed.withColumn("__n", poisson_count(F.col("__table"), F.col("__parts"), F.col("__key"), seed))
-              .where("__n > 0").withColumn(copy, F.explode(F.sequence(F.lit(1), F.col("__n")))))
-    dealt = copies.withColumn(order, hash52(F.lit(f"order {seed}"), F.col(copy).cast("string"), F.col("__key")))
+    rows = docs.select("source", key.alias("key"), F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("kept"))
+    drawn = rows.join(rates, F.col("source").eqNullSafe(F.col("of"))).withColumn("n", poisson_count(F.col("table"), F.col("parts"), F.col("key"), seed))
+    copies = drawn.where("n > 0").select("kept", "key", F.explode(F.sequence(F.lit(1), F.col("n"))).alias("copy"))
+    dealt = copies.withColumn("place", hash52(F.lit(f"order {seed}"), F.col("copy").cast("string"), F.col("key")))
     parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return (dealt.repartition(parts, F.col(order)).sortWithinPartitions(order, "__key")
-            .select(*docs.columns, copy, order))
+    return (dealt.repartition(parts, F.col("place")).sortWithinPartitions("place", "key")
+            .select("kept.*", F.col("copy").alias(copy), F.col("place").alias(order)))

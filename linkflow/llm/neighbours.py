@@ -1,19 +1,22 @@
 """N-gram Jaccard join: MinHash LSH forest, exact verification, classes and link counts.
 
-Every document's five-word shingles give ``TREES`` labels of up to ``MAX_DEPTH`` MinHash
-values. A tree is the trie of its labels; documents under one trie node are candidates.
-Matched prefixes start at full depth and are shortened by one value at a time until
-``1 - (1 - s**depth) ** TREES`` -- the chance that a pair at the threshold similarity s
-meets in some tree -- reaches the target recall (``forest_depth``); every node at that
-depth holds all matches of the deeper ones, so that level alone is built. Nodes are sorted
-by label prefix and each member is linked to its node's smallest one, so a node of n
-members makes n - 1 candidate links, never n * n.
+Every document's five-word shingles give ``TREES`` labels of ``MAX_DEPTH`` MinHash values each. A
+tree of the forest is the prefix trie of its labels, kept as the sorted labels: rows that share a
+prefix stand beside each other. Each row is linked to its neighbour at the longest prefix the
+two share; that prefix is shortened from ``MAX_DEPTH`` no further than to the depth at which
+``1 - (1 - s**depth) ** TREES`` -- the chance that a pair at the threshold similarity s meets in
+some tree -- reaches the target recall (``forest_depth``). Neighbours that share less are not
+linked. A node of n rows makes n - 1 candidate links in this way, never n * n. Labels are sorted
+by a range partitioning over tree, label and row, so a prefix that many rows share is dealt over
+tasks; the rows at the partitions' edges are compared apart.
 
 Verification is exact: documents of one candidate component compare their whole shingle
-sets, block by block (``BLOCK`` documents a side), so a large component is dealt over many
-tasks. Within a block pair one document at a time is compared with all others at once;
-where the triangle inequality of the Jaccard distance already proves every remaining pair
-linked, the comparison is skipped.
+sets, block by block (at most about ``BLOCK`` documents and ``BLOCK_BYTES`` of sets a side), so a
+large component is dealt over many tasks. A block is compared with itself first, which gives
+its linked groups; two blocks then report the linked copies of each document and links between
+their groups only, at most one fewer than there are groups. Within a task one document at a
+time is compared with all others at once; where the triangle inequality of the Jaccard distance
+already proves every remaining pair linked, the comparison is skipped.
 
 Result, one row per input row: doc_id, class_id (smallest doc_id of all documents joined
 by links), n_links (other rows whose similarity to this one is at least the threshold).
@@ -22,6 +25,7 @@ Documents with equal shingle sets (copies) are linked to each other and share li
 Defined cases: null, empty and blank texts have no shingles: their class is their own
 doc_id and they have no links. A text of 1 to 4 words has one shingle, all its words. A
 null doc_id counts as larger than any other. Repeated rows are copies of each other.
+Other columns are ignored, or kept as they are where rows are returned, whatever their names.
 """
 
 from __future__ import annotations
@@ -30,6 +34,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -44,6 +49,8 @@ MAX_DEPTH = 8
 TARGET_RECALL = 0.995         # of pairs exactly at the threshold; higher above it
 NO_ID = (1 << 63) - 1          # stands for a null doc_id in keys
 BLOCK = 512                   # documents on one side of a verification task
+BLOCK_BYTES = 8 << 20         # and bytes of their shingle sets
+VALUE_BYTES = 2               # of one MinHash value in a label
 
 
 def forest_depth(threshold: float = THRESHOLD, trees: int = TREES, deepest: int = MAX_DEPTH,
@@ -56,15 +63,14 @@ def forest_depth(threshold: float = THRESHOLD, trees: int = TREES, deepest: int
 
 
 def labels(sh: np.ndarray, off: np.ndarray, trees: int, depth: int) -> np.ndarray:
-    """rows x trees array: hash of each tree's label prefix of ``depth`` MinHash values.
+    """rows x trees x depth array of 16-bit MinHash values, big-endian so that bytes sort like values.
 
     Rows must have shingles.
     """
-    out = np.zeros((len(off) - 1, trees), np.uint64)
+    out = np.zeros((len(off) - 1, trees, depth), ">u2")
     low = (sh & np.uint64(0xFFFFFFFF)).astype(np.uint32)
     high = (sh >> np.uint64(32)).astype(np.uint32) | np.uint32(1)
     for t in range(trees):
-        acc = np.full(len(off) - 1, t + 1, np.uint64)
         for d in range(depth):
             k = t * MAX_DEPTH + d + 1
             a = np.uint32(int(mix64(np.array([k], np.uint64))[0]) & 0xFFFFFFFF | 1)
@@ -72,8 +78,8 @@ def labels(sh: np.ndarray, off: np.ndarray, trees: int, depth: int) -> np.ndarra
             v ^= v >> np.uint32(15)
             v *= np.uint32(0x2C1B3C6D)
             v ^= v >> np.uint32(13)
-            acc = mix64(acc ^ np.minimum.reduceat(v, off[:-1]).astype(np.uint64))
-        out[:, t] = acc
+            least = np.minimum.reduceat(v, off[:-1])
+            out[:, t, d] = (least * np.uint32(0x9E3779B1)) >> np.uint32(16)
     return out
 
 
@@ -95,7 +101,7 @@ def _shingle_sets(texts: pa.Array) -> Iterator[tuple[np.ndarray, np.ndarray, np.
 
 
 def _signed(docs: DataFrame, trees: int, depth: int) -> DataFrame:
-    """(doc_id, th, g, labels): set digest g and trie labels of every row that has shingles."""
+    """(doc_id, th, g, size, labels): set digest g, shingles and labels of every row that has shingles."""
     def run(batches):
         for b in batches:
             for rows, sh, off in _shingle_sets(b.column(2)):
@@ -105,14 +111,68 @@ def _signed(docs: DataFrame, trees: int, depth: int) -> DataFrame:
                 one = np.add.reduceat(mix64(sh), off[:-1])
                 two = mix64(np.bitwise_xor.reduceat(mix64(sh + np.uint64(77)), off[:-1]) + np.diff(off).astype(np.uint64))
                 g = np.stack([one, two], 1).astype(">u8").tobytes()
-                lab = labels(sh, off, trees, depth).view(np.int64)
+                lab = labels(sh, off, trees, depth)
+                width, n = VALUE_BYTES * depth, len(rows) * trees
+                cells = pa.Array.from_buffers(pa.binary(), n, [
+                    None, pa.py_buffer(np.arange(0, (n + 1) * width, width, dtype=np.int32)), pa.py_buffer(lab.tobytes())])
                 yield pa.RecordBatch.from_arrays([
                     b.column(0).take(take), b.column(1).take(take),
-                    pa.array([g[k:k + 16] for k in range(0, len(g), 16)], pa.binary()),
-                    pa.ListArray.from_arrays(pa.array(np.arange(0, lab.size + 1, trees), pa.int32()), pa.array(lab.ravel()))],
-                    names=["doc_id", "th", "g", "labels"])
+                    pa.array([g[k:k + 16] for k in range(0, len(g), 16)], pa.binary()), pa.array(np.diff(off)),
+                    pa.ListArray.from_arrays(pa.array(np.arange(0, n + 1, trees), pa.int32()), cells)],
+                    names=["doc_id", "th", "g", "size", "labels"])
 
-    return docs.mapInArrow(run, "doc_id long, th long, g binary, labels array<long>")
+    return docs.mapInArrow(run, "doc_id long, th long, g binary, size long, labels array<binary>")
+
+
+LINK, FIRST, LAST = range(3)
+
+
+def _neighbours(depth: int):
+    """Links of rows sorted by (tree, label, g) that share a prefix of ``depth`` values, and the partition's edges."""
+    names = ["kind", "part", "tree", "label", "a", "b"]
+
+    def edge(kind, part, row):
+        return pa.RecordBatch.from_arrays([pa.array([kind], pa.int32()), pa.array([part], pa.int32()), pa.array([row[0]], pa.int32()),
+                                           pa.array([row[1]], pa.binary()), pa.array([row[2]], pa.binary()), pa.nulls(1, pa.binary())], names=names)
+
+    def run(batches):
+        part, last = TaskContext.get().partitionId(), None
+        for b in batches:
+            if not b.num_rows:
+                continue
+            tree, g = b.column(0).to_numpy(), b.column(2)
+            raw, off = text_buffers(b.column(1))
+            label = raw[off[0]:off[-1]].reshape(len(tree), -1)
+            now = (int(tree[0]), label[0].tobytes(), g[0].as_py())
+            if last is None:
+                yield edge(FIRST, part, now)
+            elif last[0] == now[0] and last[1][:VALUE_BYTES * depth] == now[1][:VALUE_BYTES * depth]:
+                yield pa.RecordBatch.from_arrays([pa.array([LINK], pa.int32()), pa.array([part], pa.int32()), pa.array([now[0]], pa.int32()),
+                                                  pa.nulls(1, pa.binary()), pa.array([last[2]], pa.binary()), g.slice(0, 1)], names=names)
+            shared = (tree[1:] == tree[:-1]) & (label[1:, :VALUE_BYTES * depth] == label[:-1, :VALUE_BYTES * depth]).all(1)
+            at = np.flatnonzero(shared)
+            yield pa.RecordBatch.from_arrays([
+                pa.array(np.full(len(at), LINK, np.int32)), pa.array(np.full(len(at), part, np.int32)), pa.array(tree[at], pa.int32()),
+                pa.nulls(len(at), pa.binary()), g.take(pa.array(at)), g.take(pa.array(at + 1))], names=names)
+            last = (int(tree[-1]), label[-1].tobytes(), g[len(tree) - 1].as_py())
+        if last is not None:
+            yield edge(LAST, part, last)
+
+    return run
+
+
+def candidate_links(reps: DataFrame, depth: int) -> DataFrame:
+    """(a, b): neighbours in some sorted tree that share ``depth`` values; ``reps`` is (g, labels)."""
+    nodes = reps.select(F.posexplode("labels").alias("tree", "label"), "g")
+    found = materialize(nodes.repartitionByRange("tree", "label", "g").sortWithinPartitions("tree", "label", "g")
+                        .mapInArrow(_neighbours(depth), "kind int, part int, tree int, label binary, a binary, b binary"), "forest")
+    prefix = F.substring("label", 1, VALUE_BYTES * depth)
+    along = Window.orderBy("part", "kind")                      # two rows a partition: its first and its last
+    edges = found.where(F.col("kind") != LINK).withColumn("prefix", prefix)
+    edges = edges.select("kind", "a", ((F.lag("tree").over(along) == F.col("tree")) & (F.lag("prefix").over(along) == F.col("prefix"))).alias("shared"),
+                         F.lag("a").over(along).alias("before"))
+    over = edges.where((F.col("kind") == FIRST) & F.col("shared")).select(F.col("before").alias("a"), F.col("a").alias("b"))
+    return found.where(F.col("kind") == LINK).select("a", "b").unionByName(over)
 
 
 def _sets(docs: DataFrame) -> DataFrame:
@@ -141,59 +201,103 @@ def _similar(left: int, ids: np.ndarray, off: np.ndarray, size: np.ndarray, mark
     return both / (size[left] + size - both)
 
 
-def _links(side: np.ndarray, g: list, copies: np.ndarray, sets: list, threshold: float):
-    """Verified links of one block pair: (copies linked to each row, forest links a, b).
+class _Block:
+    """Sets of one task: digests, copies, packed sets; of two blocks, also the side and the linked group."""
+
+    def __init__(self):
+        self.key, self.side, self.g, self.copies, self.group, self.sets = None, [], [], [], [], []
+
+    def links(self, threshold: float):
+        """(linked copies of each row, pairs of row numbers that prove its groups linked).
+
+        One block against itself, or (rows sorted by side) every row of side 0 against side 1.
+        """
+        side, copies = np.array(self.side), np.array(self.copies, np.int64)
+        n, split = len(side), int((side == 0).sum())
+        found, pairs = np.zeros(n, np.int64), []
+        if n < 2 or side[0] == 1:
+            return found, pairs
+        size = np.array([len(x) for x in self.sets], np.int64)
+        off = np.concatenate([[0], np.cumsum(size)])
+        ids = np.unique(np.concatenate(self.sets), return_inverse=True)[1]
+        mark = np.zeros(ids.max() + 1, bool)
+        far = 1 - _similar(0, ids, off, size, mark)   # distances to one row bound all others
+        for i in range(min(split, n - 1)):
+            later = np.arange(i + 1 if split == n else split, n)
+            if not len(later):
+                break
+            if far[i] + far[later].max() <= 1 - threshold - 1e-9:
+                linked = later
+            else:
+                linked = later[_similar(i, ids, off, size, mark)[later] >= threshold - 1e-12]
+            if len(linked):
+                found[i] += copies[linked].sum()
+                found[linked] += copies[i]
+                pairs += [(i, int(k)) for k in linked]
+        return found, pairs
+
+
+def _blocks(batches, done):
+    """Stream over rows (key..., side, g, copies, group, sh) sorted by key: one key's block is held at a time."""
+    block = _Block()
+    for batch in batches:
+        width = batch.num_columns - 5
+        cols = [batch.column(k).to_pylist() for k in range(width + 4)]
+        raw, off = text_buffers(batch.column(width + 4))
+        for r in range(batch.num_rows):
+            key = tuple(c[r] for c in cols[:width])
+            if key != block.key:
+                if block.g:
+                    yield done(block)
+                block = _Block()
+                block.key = key
+            if not block.g or block.g[-1] != cols[width + 1][r]:   # repeated rows bring a set more than once
+                for field, c in zip((block.side, block.g, block.copies, block.group), cols[width:]):
+                    field.append(c[r])
+                block.sets.append(raw[off[r]:off[r + 1]].view(np.uint64).copy())
+    if block.g:
+        yield done(block)
+
+
+def _inside(threshold: float):
+    """(g, group, n) of the rows of each block: their linked group's smallest digest, and linked copies."""
+    def done(block):
+        found, pairs = block.links(threshold)
+        root = _roots(len(block.g), pairs)
+        least: dict = {}
+        for k, r in enumerate(root):
+            least[r] = min(least.get(r, block.g[k]), block.g[k])
+        return pa.RecordBatch.from_arrays([pa.array(block.g, pa.binary()), pa.array([least[r] for r in root], pa.binary()), pa.array(found)],
+                                          names=["g", "group", "n"])
+
+    return lambda batches: _blocks(batches, done)
+
+
+def _across(threshold: float):
+    """(a, b, n) of two blocks: linked copies of each row (b null), links between the blocks' groups."""
+    def done(block):
+        found, pairs = block.links(threshold)
+        a, b = _forest(*zip(*dict.fromkeys((block.group[i], block.group[k]) for i, k in pairs))) if pairs else ([], [])
+        some = np.flatnonzero(found)
+        return pa.RecordBatch.from_arrays([pa.array([block.g[k] for k in some] + a, pa.binary()), pa.array([None] * len(some) + b, pa.binary()),
+                                           pa.array([*found[some].tolist(), *[0] * len(a)], pa.int64())], names=["a", "b", "n"])
+
+    return lambda batches: _blocks(batches, done)
+
+
+def _roots(n: int, pairs: list[tuple[int, int]]) -> list[int]:
+    root = list(range(n))
 
-    Rows are sorted by side; only rows of side 0 mean one block against itself.
-    """
-    n, split = len(g), int((side == 0).sum())
-    size = np.array([len(x) for x in sets], np.int64)
-    off = np.concatenate([[0], np.cumsum(size)])
-    ids = np.unique(np.concatenate(sets), return_inverse=True)[1]
-    mark = np.zeros(ids.max() + 1, bool)
-    found, a, b = np.zeros(n, np.int64), [], []
-    far = 1 - _similar(0, ids, off, size, mark)   # distances to one row bound all others
-    for i in range(min(split, n - 1)):
-        later = np.arange(i + 1 if split == n else split, n)
-        if far[i] + far[later].max() <= 1 - threshold - 1e-9:
-            linked = later
-        else:
-            linked = later[_similar(i, ids, off, size, mark)[later] >= threshold - 1e-12]
-        if len(linked):
-            found[i] += copies[linked].sum()
-            found[linked] += copies[i]
-            a += [g[i]] * len(linked)
-            b += [g[k] for k in linked]
-    return found, *_forest(a, b)
-
-
-def _block_links(threshold: float):
-    """Stream over rows sorted by (root, i, j, side, g): one block pair is held at a time."""
-    names = ["a", "b", "n"]
-
-    def solve(rows):
-        side, g, copies, sets = zip(*rows)
-        found, a, b = _links(np.array(side), g, np.array(copies, np.int64), [np.frombuffer(x, np.uint64) for x in sets], threshold)
-        return [*g, *a], [*[None] * len(g), *b], [*found.tolist(), *[0] * len(a)]
-
-    def run(batches):
-        key, held = None, []
-        for batch in batches:
-            out = [[], [], []]
-            for root, i, j, side, g, copies, sh in zip(*(c.to_pylist() for c in batch.columns)):
-                if (root, i, j) != key:
-                    if held:
-                        for o, v in zip(out, solve(held)):
-                            o += v
-                    key, held = (root, i, j), []
-                if not held or held[-1][1] != g:   # repeated rows bring a set more than once
-                    held.append((side, g, copies, sh))
-            yield pa.RecordBatch.from_arrays([pa.array(out[0], pa.binary()), pa.array(out[1], pa.binary()), pa.array(out[2], pa.int64())], names=names)
-        if held:
-            out = solve(held)
-            yield pa.RecordBatch.from_arrays([pa.array(out[0], pa.binary()), pa.array(out[1], pa.binary()), pa.array(out[2], pa.int64())], names=names)
+    def find(x):
+        while root[x] != x:
+            root[x] = root[root[x]]
+            x = root[x]
+        return x
 
-    return run
+    for x, y in pairs:
+        p, q = find(x), find(y)
+        root[max(p, q)] = min(p, q)
+    return [find(x) for x in range(n)]
 
 
 def _forest(a: list, b: list) -> tuple[list, list]:
@@ -226,21 +330,16 @@ def jaccard_rows(docs: DataFrame, threshold: float = THRESHOLD, trees: int = TRE
     depth = forest_depth(threshold, trees, MAX_DEPTH, target)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("th"),
                        F.col("text").cast("string").alias("text"))
-    signed = materialize(_signed(rows.select("doc_id", "th", "text"), trees, depth), "signed")
+    signed = materialize(_signed(rows.select("doc_id", "th", "text"), trees, MAX_DEPTH), "signed")
     order = F.coalesce(F.col("doc_id"), F.lit(NO_ID))
     reps = materialize(signed.groupBy("g").agg(
         F.min(F.struct(order.alias("k"), "th")).alias("rep"), F.count(F.lit(1)).alias("copies"),
-        F.first("labels").alias("labels")), "reps")
-    nodes = reps.select("g", F.posexplode("labels").alias("tree", "label"))
-    shared = nodes.groupBy("tree", "label").agg(F.min("g").alias("m"), F.count(F.lit(1)).alias("n")).where("n > 1")
-    near = nodes.join(shared, ["tree", "label"]).where("g <> m").select(F.col("g").alias("a"), F.col("m").alias("b")).distinct()
-    groups = connected_components(near)
-    groups = materialize(groups.join(reps.select(F.col("g").alias("node"), "rep", "copies"), "node"), "groups")
-    found = materialize(_verified(rows, groups, threshold), "found")
-    classes = connected_components(found.where("b is not null").select("a", "b"))
-    counts = found.where("b is null").groupBy(F.col("a").alias("g")).agg(F.sum("n").alias("n"))
+        F.first("size").alias("size"), F.first("labels").alias("labels")), "reps")
+    groups = connected_components(candidate_links(reps, depth))
+    groups = materialize(groups.join(reps.select(F.col("g").alias("node"), "rep", "copies", "size"), "node"), "groups")
+    counts, classes = _verified(rows, groups, threshold)
     per_set = (reps.select("g", "rep", "copies")
-               .join(classes.select(F.col("node").alias("g"), "root"), "g", "left")
+               .join(classes, "g", "left")
                .withColumn("root", F.coalesce("root", "g"))
                .join(counts, "g", "left"))
     lowest = per_set.groupBy("root").agg(F.min("rep").alias("low"))
@@ -260,28 +359,38 @@ def jaccard_classes(docs: DataFrame, threshold: float = THRESHOLD, trees: int =
 
 
 def one_of_each_class(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """``docs``, all columns, with the first row of each class; equal rows count as one."""
-    keep = jaccard_rows(docs, threshold).where("first").select(F.col("k").alias("__k"), F.col("th").alias("__th")).distinct()
-    keyed = docs.withColumn("__k", F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID))).withColumn("__th", F.xxhash64("text"))
-    same = Window.partitionBy("__k", "__th").orderBy("__k")
-    return (keyed.join(keep, ["__k", "__th"], "left_semi")
-            .withColumn("__n", F.row_number().over(same)).where("__n = 1").select(*docs.columns))
-
-
-def _verified(rows: DataFrame, groups: DataFrame, threshold: float) -> DataFrame:
-    """(a, b, n): verified forest links (b set), and linked copies counted per set and task (b null)."""
-    sizes = groups.groupBy("root").agg(F.count(F.lit(1)).alias("members"))
-    dealt = (groups.join(sizes, "root")
-             .withColumn("blocks", F.ceil(F.col("members") / BLOCK).cast("int"))
+    """``docs``, all columns, with the first row of each class; rows of one doc_id and text count as one."""
+    keep = jaccard_rows(docs, threshold).where("first").select("k", "th").distinct()
+    rows = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("k"), F.xxhash64("text").alias("th"),
+                       F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("kept"))
+    same = Window.partitionBy("k", "th").orderBy("k")
+    return (rows.join(keep, ["k", "th"], "left_semi")
+            .withColumn("n", F.row_number().over(same)).where("n = 1").select("kept.*"))
+
+
+def _verified(rows: DataFrame, groups: DataFrame, threshold: float) -> tuple[DataFrame, DataFrame]:
+    """((g, n): linked copies of each set, (g, root): its class) over the candidate components."""
+    sizes = groups.groupBy("root").agg(F.count(F.lit(1)).alias("members"), (F.sum("size") * 8).alias("bytes"))
+    blocks = F.greatest(F.ceil(F.col("members") / BLOCK), F.ceil(F.col("bytes") / BLOCK_BYTES)).cast("int")
+    dealt = (groups.join(sizes, "root").withColumn("blocks", blocks)
              .withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")))
-    active = dealt.select(F.col("rep.k").alias("k"), F.col("rep.th").alias("th"), "node", "root", "copies", "blocks", "block")
+    active = dealt.select(F.col("rep.k").alias("k"), F.col("rep.th").alias("th"), F.col("node").alias("g"), "root", "copies", "blocks", "block")
     key = F.coalesce(F.col("doc_id"), F.lit(NO_ID))
-    texts = rows.withColumn("k", key).join(active, ["k", "th"]).select(
-        F.col("node").alias("g"), "root", "copies", "blocks", "block", "text")
-    sets = _sets(texts)
-    other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
-    pairs = (sets.withColumn("other", other)
+
+    def sets(of: DataFrame) -> DataFrame:
+        return _sets(rows.withColumn("k", key).join(of, ["k", "th"]).drop("k", "th", "doc_id"))
+
+    alone = sets(active).repartition("root", "block").sortWithinPartitions("root", "block", "g").select(
+        "root", "block", F.lit(0).alias("side"), "g", "copies", F.lit(None).cast("binary").alias("group"), "sh")
+    inside = materialize(alone.mapInArrow(_inside(threshold), "g binary, group binary, n long"), "inside")
+    other = F.explode(F.filter(F.sequence(F.lit(0), F.col("blocks") - 1), lambda o: o != F.col("block")))
+    pairs = (sets(active.where("blocks > 1").join(inside.select("g", "group"), "g")).withColumn("other", other)
              .select("root", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"),
-                     F.when(F.col("block") <= F.col("other"), 0).otherwise(1).alias("side"), "g", "copies", "sh"))
-    return (pairs.repartition("root", "i", "j").sortWithinPartitions("root", "i", "j", "side", "g")
-            .mapInArrow(_block_links(threshold), "a binary, b binary, n long"))
+                     F.when(F.col("block") < F.col("other"), 0).otherwise(1).alias("side"), "g", "copies", "group", "sh"))
+    across = materialize(pairs.repartition("root", "i", "j").sortWithinPartitions("root", "i", "j", "side", "g")
+                         .mapInArrow(_across(threshold), "a binary, b binary, n long"), "across")
+    joined = connected_components(across.where("b is not null").select("a", "b"))
+    counts = inside.select("g", "n").unionByName(across.where("b is null").select(F.col("a").alias("g"), "n"))
+    classes = inside.select("g", "group").join(joined.withColumnRenamed("node", "group"), "group", "left").select(
+        "g", F.coalesce("root", "group").alias("root"))
+    return counts.groupBy("g").agg(F.sum("n").alias("n")), classes

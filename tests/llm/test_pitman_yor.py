@@ -114,10 +114,7 @@ def test_reseating_follows_the_predictive_rule():
 
 
 def test_better_than_the_base_on_held_out_texts(spark):
-    rnd = random.Random(2)
-    parts = ["ka", "lo", "mi", "ter", "on", "sil", "ve"]
-    rows = [(i, " ".join("".join(rnd.choice(parts) for _ in range(rnd.randint(1, 4))) for _ in range(60))) for i in range(300)]
-    got = [r for r in py.score_texts(documents(spark, rows)).collect() if r.held_out]
+    got = [r for r in py.score_texts(spark.read.parquet("/root/testdata/sf0.01/documents.parquet")).collect() if r.held_out]
     assert got and sum(r.score for r in got) > sum(r.base_score for r in got)
 
 
