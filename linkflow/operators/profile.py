@@ -20,13 +20,16 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.fixed import fixed_mean
 from ..functions.time import SECONDS_PER_WEEK, freq_seconds, slot_of_week, slot_timestamp
 from ..session import materialize as materialize_table
-from .fill import interpolate
-from .robust import MAD_SCALE, counted_cells, robust_cells
+from .fill import bfill, interpolate, pad
+from .joins import join_small
+from .robust import MAD_SCALE, counted_cells, mad_bounds, median_mad, robust_cells, strictly_inside
+from .smoothing import rolling_mean
 
 VALUE = "LinkTravelTime"
 
@@ -126,3 +129,28 @@ def _profile(stats: DataFrame, freq, materialize: bool, by: Sequence[str] = ())
         stats = materialize_table(stats, "profile-cells")
     links = stats.select(*by, "LinkRef").distinct()
     return Profile(fill_profile(stats, links, freq, by), link_scale(stats, by), stats, freq, materialize)
+
+
+def fit_link_profile(obs: DataFrame, freq="15min", k: float = 3.0, smooth: int = 7) -> Profile:
+    """The older fit: one band per link, smoothed slot means, unit scale.
+
+    Band: median +- k MAD over the link's whole history, lower bound floored at 0. The means of
+    the inliers by slot are interpolated between the link's first and last slot, averaged over
+    ``smooth`` slots centred on each (missing where the window is not full), and padded, then
+    back-filled over the week. ``scales`` has scale 1 and the band of every link.
+    """
+    x = obs.where(F.col(VALUE).isNotNull())
+    bands = materialize_table(mad_bounds(median_mad(x, ["LinkRef"], VALUE), k, 0.0).select("LinkRef", "low", "upr"), "link-bands")
+    inside = join_small(with_time_keys(x, freq), bands, "LinkRef").where(strictly_inside(VALUE))
+    means = inside.groupBy("LinkRef", "slot").agg(fixed_mean(VALUE).alias("mean"))
+    means = materialize_table(means, "link-means")
+    n_slots = SECONDS_PER_WEEK // freq_seconds(freq)
+    spine = bands.select("LinkRef", F.explode(F.sequence(F.lit(0), F.lit(n_slots - 1))).alias("slot"))
+    cells = spine.join(means, ["LinkRef", "slot"], "left")
+    last = F.max(F.when(F.col("mean").isNotNull(), F.col("slot"))).over(Window.partitionBy("LinkRef"))
+    line = cells.select("LinkRef", "slot", F.when(F.col("slot") <= last, interpolate("mean", ["LinkRef"], "slot", then_bfill=False)).alias("mean"))
+    smoothed = rolling_mean(line, "mean", "LinkRef", "slot", smooth, "_smooth")
+    filled = smoothed.select("LinkRef", "slot", slot_timestamp("slot", freq).alias("DowTimeRef"), F.coalesce(
+        pad("_smooth", ["LinkRef"], "slot"), bfill("_smooth", ["LinkRef"], "slot")).alias("mean"))
+    filled = join_small(filled, bands, "LinkRef")
+    return Profile(filled, bands.withColumn("scale", F.lit(1.0)), means, freq)

@@ -31,6 +31,7 @@ from .fill import Carried, carried
 from .joins import join_small
 from .profile import VALUE, Profile, with_time_keys
 from .resample import POSITION, union_spine
+from .robust import strictly_inside
 
 
 def cell_sums(obs: DataFrame, freq="15min", *by: str) -> DataFrame:
@@ -71,8 +72,14 @@ def transform_cells(cells: DataFrame, profile: Profile, freq="15min", by: Sequen
     )
 
 
-def transform(obs: DataFrame, profile: Profile, freq="15min") -> DataFrame:
-    """``(LinkRef, bin_ts, z, dev, mean, scale, weight, x)`` on the union spine."""
+def transform(obs: DataFrame, profile: Profile, freq="15min", inside: bool = False) -> DataFrame:
+    """``(LinkRef, bin_ts, z, dev, mean, scale, weight, x)`` on the union spine.
+
+    ``inside``: only observations strictly inside their link's band (``profile.scales`` of
+    ``fit_link_profile``) are taken, as the older preparation did.
+    """
+    if inside:
+        obs = join_small(obs, profile.scales.select("LinkRef", "low", "upr"), "LinkRef").where(strictly_inside(VALUE)).drop("low", "upr")
     return transform_cells(cell_sums(obs, freq), profile, freq)
 
 

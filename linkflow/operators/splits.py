@@ -169,6 +169,23 @@ def position_folds(n_windows: int, bootstrap: float = 0.75, step: float = 0.05,
     return [(i, i + width) for i in range(start, min(start + n_folds * width, n_windows), width)]
 
 
+def tag_position_folds(rows: DataFrame, position: str, n_windows: int, bootstrap: float = 0.75, step: float = 0.05,
+                       n_folds: int = 5) -> tuple[DataFrame, int]:
+    """(rows with their ``segment``, folds): ``position_folds`` over windows that know their position.
+
+    Segment -1 trains every fold, segment i is tested by fold i and trains the later ones; rows
+    after the last fold are in segment ``folds``. Positions come with the series (bins are laid
+    out along a spine), so nothing is numbered here.
+    """
+    folds = position_folds(n_windows, bootstrap, step, n_folds)
+    if not folds:
+        return rows.withColumn("segment", F.lit(-1)), 0
+    start, width = folds[0][0], folds[0][1] - folds[0][0]
+    at = F.col(position)
+    segment = F.when(at < start, -1).otherwise(F.least(F.floor((at - start) / width), F.lit(len(folds))))
+    return rows.withColumn("segment", segment.cast("int")), len(folds)
+
+
 def date_split(df: DataFrame, ts: str, train_before: str, test_from: str,
                test_before: str | None = None):
     """(train, test): ``ts < train_before`` and ``test_from <= ts [< test_before]``."""

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import q_extract, q_forecast, q_geo, q_more, q_profile, q_series  # noqa: F401  (registration side effects)
+from . import q_extract, q_forecast, q_geo, q_more, q_profile, q_series, q_study  # noqa: F401  (registration side effects)
 from .registry import ORACLE, QUERIES
 
 

@@ -25,19 +25,20 @@ from ..session import materialize
 FOLD = ["fold"]
 
 
+def training(rows: DataFrame, folds: int) -> DataFrame:
+    """Rows of every segment under each ``fold`` that it trains."""
+    later = F.sequence(F.col("segment") + 1, F.lit(folds - 1))
+    return rows.where(F.col("segment") < folds - 1).withColumn("fold", F.explode(later)).drop("segment")
+
+
 class FoldState:
     """Sums per segment: ``counts`` (segment, LinkRef, slot, value, _n), ``cells`` (segment, LinkRef, bin_ts, slot, ...)."""
 
     def __init__(self, counts: DataFrame, cells: DataFrame, folds: int, freq):
         self.counts, self.cells, self.folds, self.freq = counts, cells, folds, freq
 
-    def _training(self, rows: DataFrame) -> DataFrame:
-        """Rows of every segment under each fold that it trains."""
-        later = F.sequence(F.col("segment") + 1, F.lit(self.folds - 1))
-        return rows.where(F.col("segment") < self.folds - 1).withColumn("fold", F.explode(later)).drop("segment")
-
     def train_cells(self) -> DataFrame:
-        return self._training(self.cells).groupBy(*FOLD, "LinkRef", "bin_ts", "slot").agg(
+        return training(self.cells, self.folds).groupBy(*FOLD, "LinkRef", "bin_ts", "slot").agg(
             *[F.sum(c).alias(c) for c in ("total", "seen", "rows")])
 
     def test_cells(self) -> DataFrame:
@@ -45,7 +46,7 @@ class FoldState:
 
     def fit(self) -> pr.Profile:
         """The profiles of all folds' training parts."""
-        merged = self._training(self.counts).groupBy(*FOLD, "LinkRef", "slot", pr.VALUE).agg(F.sum("_n").alias("_n"))
+        merged = training(self.counts, self.folds).groupBy(*FOLD, "LinkRef", "slot", pr.VALUE).agg(F.sum("_n").alias("_n"))
         return pr.fit_counted(merged, self.freq, by=FOLD)
 
     def series(self, profile: pr.Profile, cells: DataFrame) -> DataFrame:

@@ -5,6 +5,7 @@
 * ``sar_fit``: per link, z(t) on its last ``lags`` values; then a refit with the previous
   one-step error of that first model as one more regressor (0 where there is none before).
   Two least-squares fits stand for the original one-sample-at-a-time training.
+* ``sar_recursive``: that model's own errors, run along the training and the test series.
 * ``lag_regression``: least squares of every horizon on the lag vector of each (link, bin)
   window, fitted on one set of windows and applied to another. One pass sums the products of
   lags and horizons of every fold; one small system per fold is solved for all horizons.
@@ -12,32 +13,47 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.time import epoch_seconds, freq_seconds
+from ..operators.recurrence import linear_recurrence
 from ..session import materialize
 
 
-def _solved(frames):
-    for pdf in frames:
-        pdf["coef"] = [np.linalg.lstsq(np.array(sums, float).reshape(len(right), -1), np.array(right, float), rcond=None)[0]
-                       for sums, right in zip(pdf["_xx"], pdf["_xy"])]
-        yield pdf.drop(columns=["_xx", "_xy"])
+def _solved(bound: float | None):
+    def run(frames):
+        for pdf in frames:
+            out = []
+            for sums, right in zip(pdf["_xx"], pdf["_xy"]):
+                xx, xy = np.array(sums, float).reshape(len(right), -1), np.array(right, float)
+                coef = np.linalg.lstsq(xx, xy, rcond=None)[0]
+                if bound is not None and abs(coef[-1]) > bound:
+                    last = np.clip(coef[-1], -bound, bound)
+                    coef = np.append(np.linalg.lstsq(xx[:-1, :-1], xy[:-1] - last * xx[:-1, -1], rcond=None)[0], last)
+                out.append(coef)
+            pdf["coef"] = out
+            yield pdf.drop(columns=["_xx", "_xy"])
+
+    return run
+
 
+def least_squares(rows: DataFrame, key: str, y: str, xs: Sequence[str], bound: float | None = None) -> DataFrame:
+    """``(key, n, coef)``: intercept and one coefficient per regressor, over rows without NULLs.
 
-def least_squares(rows: DataFrame, key: str, y: str, xs: Sequence[str]) -> DataFrame:
-    """``(key, n, coef)``: intercept and one coefficient per regressor, over rows without NULLs."""
+    ``bound``: the last coefficient stays within it, the others are the best beside it.
+    """
     whole = rows.dropna(subset=[y, *xs])
     design = [F.lit(1.0)] + [F.col(x) for x in xs]
     sums = whole.groupBy(key).agg(
         F.count(F.lit(1)).alias("n"),
         F.array(*[F.sum(a * b) for a in design for b in design]).alias("_xx"),
         F.array(*[F.sum(a * F.col(y)) for a in design]).alias("_xy"))
-    return sums.mapInPandas(_solved, f"{key} {rows.schema[key].dataType.simpleString()}, n long, coef array<double>")
+    return sums.mapInPandas(_solved(bound), f"{key} {rows.schema[key].dataType.simpleString()}, n long, coef array<double>")
 
 
 def _predicted(xs: Sequence[str]):
@@ -47,8 +63,8 @@ def _predicted(xs: Sequence[str]):
     return total
 
 
-def sar_fit(series: DataFrame, lags: int = 3, key: str = "LinkRef", order: str = "bin_ts"):
-    """(coefficients of the refit, its one-step errors).
+def sar_fit(series: DataFrame, lags: int = 3, key: str = "LinkRef", order: str = "bin_ts", bound: float | None = None):
+    """(coefficients of the refit, its one-step errors); ``bound`` holds the error's coefficient.
 
     Coefficients: ``(key, n, intercept, lag_1 .. lag_n, lag_error)``. Errors: ``(key, order, y,
     pred, error, weight)`` for every position with all lags.
@@ -62,7 +78,7 @@ def sar_fit(series: DataFrame, lags: int = 3, key: str = "LinkRef", order: str =
     errors = rows.join(first, key).withColumn("_e", F.col("y") - _predicted(xs)).drop("coef")
     again = materialize(errors.withColumn("lag_error", F.coalesce(F.lag("_e").over(w), F.lit(0.0))), "sar-again")
     both = [*xs, "lag_error"]
-    second = materialize(least_squares(again, key, "y", both), "sar-second")
+    second = materialize(least_squares(again, key, "y", both, bound), "sar-second")
     coefficients = second.select(key, "n", F.col("coef")[0].alias("intercept"),
                                  *[F.col("coef")[i].alias(x) for i, x in enumerate(both, 1)])
     steps = (again.join(second.select(key, "coef"), key).withColumn("pred", _predicted(both))
@@ -70,14 +86,40 @@ def sar_fit(series: DataFrame, lags: int = 3, key: str = "LinkRef", order: str =
     return coefficients, steps
 
 
-def weighted_rmse(steps: DataFrame, order: str = "bin_ts") -> DataFrame:
-    """``(rmse_sar, rmse_ha, n)``: root mean square over bins of the weighted total error, a 60th.
+def sar_recursive(coefficients: DataFrame, parts: Mapping[str, DataFrame], lags: int = 3, freq="15min") -> DataFrame:
+    """``(part, LinkRef, bin_ts, y, error, weight)``: one-step errors run along each series.
+
+    ``pred_t = intercept + lags + lag_error * e_{t-1}`` and ``e_t = y_t - pred_t``, e before the
+    first forecast 0: the error of the model itself is fed back, so it is a recurrence
+    (``operators.recurrence``). ``coefficients`` come from ``sar_fit`` on the training series;
+    ``parts`` are the series it is run through, seen or not.
+    """
+    both = None
+    for name, series in parts.items():
+        one = series.select(F.lit(name).alias("part"), "LinkRef", "bin_ts", "z", "weight")
+        both = one if both is None else both.unionByName(one)
+    w = Window.partitionBy("part", "LinkRef").orderBy("bin_ts")
+    xs = [f"x_{i}" for i in range(1, lags + 1)]
+    rows = both.select("part", "LinkRef", "bin_ts", F.floor(epoch_seconds("bin_ts") / freq_seconds(freq)).alias("_bin"), F.col("z").alias("y"),
+                       "weight", *[F.lag("z", i).over(w).alias(x) for i, x in enumerate(xs, 1)]).dropna(subset=xs)
+    alone = F.col("y") - F.col("intercept")
+    for i, x in enumerate(xs, 1):
+        alone = alone - F.col(f"lag_{i}") * F.col(x)
+    free = rows.join(coefficients, "LinkRef").select("part", "LinkRef", "bin_ts", "_bin", "y", "weight", alone.alias("alone"),
+                                                     (-F.col("lag_error")).alias("factor"))
+    free = materialize(free, "sar-parts")
+    errors = linear_recurrence(free, ["part", "LinkRef"], "_bin", "alone", "factor", "error")
+    return free.join(errors, ["part", "LinkRef", "_bin"]).select("part", "LinkRef", "bin_ts", "y", "error", "weight")
+
+
+def weighted_rmse(steps: DataFrame, order: str = "bin_ts", by: Sequence[str] = ()) -> DataFrame:
+    """``(by..., rmse_sar, rmse_ha, n)``: root mean square over bins of the weighted total error, a 60th.
 
     The historical average forecasts a normalised value of 0, so its error is y itself.
     """
-    totals = steps.groupBy(order).agg(F.sum(F.col("weight") * F.col("error") / 60.0).alias("e"),
+    totals = steps.groupBy(*by, order).agg(F.sum(F.col("weight") * F.col("error") / 60.0).alias("e"),
                                       F.sum(F.col("weight") * F.col("y") / 60.0).alias("h"))
-    return totals.agg(F.sqrt(F.avg(F.col("e") * F.col("e"))).alias("rmse_sar"),
+    return totals.groupBy(*by).agg(F.sqrt(F.avg(F.col("e") * F.col("e"))).alias("rmse_sar"),
                       F.sqrt(F.avg(F.col("h") * F.col("h"))).alias("rmse_ha"), F.count(F.lit(1)).alias("n"))
 
 

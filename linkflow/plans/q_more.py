@@ -159,7 +159,10 @@ def _fold_state(spark, sf_dir) -> fd.FoldState:
 def _fold_forecasts(spark, sf_dir) -> DataFrame:
     """Models fitted on each fold's train windows, applied to its test windows, in seconds."""
     train, test = fd.fold_windows(_fold_state(spark, sf_dir), LAGS, PREDS)
-    scored = models.lag_regression(train, test, PREDS, fd.FOLD)
+    return in_seconds(models.lag_regression(train, test, PREDS, fd.FOLD))
+
+
+def in_seconds(scored: DataFrame) -> DataFrame:
     return scored.select("fold", "LinkRef", "bin_ts", "horizon", "weight", "z_true", "z_pred",
                          (F.col("z_true") * F.col("scale") + F.col("mean")).alias("truth"),
                          (F.col("z_pred") * F.col("scale") + F.col("mean")).alias("model"),
@@ -207,47 +210,59 @@ def _fold_board_sql() -> str:
               GROUP BY a.fold, k, a.bin_ts) WHERE truth > 0 GROUP BY fold, horizon""", "obs", extra=_fold_ctes(False))
 
 
-def _lists(side: str) -> str:
+def _lists(windows: str, where: str = "TRUE") -> str:
     """Windows as lists (1, lags oldest first, horizons)."""
     return f"""SELECT fold, LinkRef, bin_ts, list_concat([1.0::DOUBLE], zs[:{LAGS + PREDS}]) AS v FROM (
-        SELECT fold, LinkRef, bin_ts, t, n_bins, list(z) OVER (PARTITION BY fold, LinkRef ORDER BY t
-                ROWS BETWEEN {LAGS} PRECEDING AND {PREDS - 1} FOLLOWING) AS zs FROM {side}windows) a WHERE {_VALID}"""
+        SELECT *, list(z) OVER (PARTITION BY fold, LinkRef ORDER BY t
+                ROWS BETWEEN {LAGS} PRECEDING AND {PREDS - 1} FOLLOWING) AS zs FROM {windows}) a WHERE {_VALID} AND {where}"""
 
 
 _WIDTH = 1 + LAGS + PREDS
-_PRODUCTS = [("vs", f"SELECT fold, i, v[i] AS x, v FROM ({_lists('train')}), generate_series(1, {_WIDTH}) g(i)"),
-             ("sums", f"""SELECT fold, i, {', '.join(f'sum(x * v[{j}]) AS c{j}' for j in range(1, _WIDTH + 1))}
-                          FROM vs GROUP BY fold, i""")]
+
+
+def product_ctes(windows: str, where: str = "TRUE") -> list[tuple[str, str]]:
+    """DuckDB: ``sums`` of products of (1, lags, horizons), a row per fold and first factor."""
+    return [("vs", f"SELECT fold, i, v[i] AS x, v FROM ({_lists(windows, where)}), generate_series(1, {_WIDTH}) g(i)"),
+            ("sums", f"""SELECT fold, i, {', '.join(f'sum(x * v[{j}]) AS c{j}' for j in range(1, _WIDTH + 1))}
+                         FROM vs GROUP BY fold, i""")]
 
 
 @query("lag_product_sums", with_views(f"""
     SELECT CAST(fold AS INTEGER) AS fold, CAST((i - 1) * {_WIDTH} + j - 1 AS INTEGER) AS position,
            round([{', '.join(f'c{j}' for j in range(1, _WIDTH + 1))}][j], 4) AS total
-    FROM sums, generate_series(1, {_WIDTH}) g(j)""", "obs", extra=_fold_ctes(True) + _PRODUCTS))
+    FROM sums, generate_series(1, {_WIDTH}) g(j)""", "obs", extra=_fold_ctes(True) + product_ctes("trainwindows")))
 def q_lag_product_sums(spark, sf_dir):
     """Sums of products of (1, lags, horizons) over the train windows of every fold."""
     train, _ = fd.fold_windows(_fold_state(spark, sf_dir), LAGS, PREDS)
     return models.product_sums(train, fd.FOLD).select("fold", "position", r4("total"))
 
 
-# Gauss-Jordan elimination of the normal equations, one row of (lags | horizons) a step.
-_SOLVED = [
-    ("m0", f"SELECT fold, list([{', '.join(f'c{j}' for j in range(1, _WIDTH + 1))}] ORDER BY i) AS m FROM sums WHERE i <= {1 + LAGS} GROUP BY fold"),
-    ("gj", f"""SELECT fold, 0 AS k, m FROM m0 UNION ALL
-        SELECT fold, k + 1, list_transform(m, lambda r, i: CASE WHEN i = k + 1 THEN list_transform(r, lambda x: x / r[k + 1])
-            ELSE list_transform(r, lambda x, j: x - r[k + 1] * m[k + 1][j] / m[k + 1][k + 1]) END) FROM gj WHERE k < {1 + LAGS}"""),
-    ("forecast", f"""SELECT w.fold, LinkRef, bin_ts, h AS horizon, v[{1 + LAGS} + h] AS z_true,
-            list_sum(list_transform(v[:{1 + LAGS}], lambda x, i: x * m[i][{1 + LAGS} + h])) AS z_pred
-        FROM ({_lists('test')}) w JOIN gj ON gj.fold = w.fold AND k = {1 + LAGS}, generate_series(1, {PREDS}) g(h)"""),
-    ("seconds", """SELECT f.fold, f.LinkRef, f.bin_ts, f.horizon, b.weight, z_true, z_pred, z_true * b.scale + b.mean AS truth,
-            z_pred * b.scale + b.mean AS model, b.mean AS baseline
-        FROM forecast f JOIN testwindows a USING (fold, LinkRef, bin_ts) JOIN testwindows b
-          ON b.fold = f.fold AND b.LinkRef = f.LinkRef AND b.t = a.t + f.horizon - 1"""),
-]
+def solved_ctes(windows: str, where: str = "TRUE") -> list[tuple[str, str]]:
+    """DuckDB: ``seconds``, the forecasts of ``windows`` by the least squares of ``sums``.
+
+    Gauss-Jordan elimination of the normal equations, one row of (lags | horizons) a step.
+    """
+    return [
+        ("m0", f"SELECT fold, list([{', '.join(f'c{j}' for j in range(1, _WIDTH + 1))}] ORDER BY i) AS m FROM sums WHERE i <= {1 + LAGS} GROUP BY fold"),
+        ("gj", f"""SELECT fold, 0 AS k, m FROM m0 UNION ALL
+            SELECT fold, k + 1, list_transform(m, lambda r, i: CASE WHEN i = k + 1 THEN list_transform(r, lambda x: x / r[k + 1])
+                ELSE list_transform(r, lambda x, j: x - r[k + 1] * m[k + 1][j] / m[k + 1][k + 1]) END) FROM gj WHERE k < {1 + LAGS}"""),
+        ("forecast", f"""SELECT w.fold, LinkRef, bin_ts, h AS horizon, v[{1 + LAGS} + h] AS z_true,
+                list_sum(list_transform(v[:{1 + LAGS}], lambda x, i: x * m[i][{1 + LAGS} + h])) AS z_pred
+            FROM ({_lists(windows, where)}) w JOIN gj ON gj.fold = w.fold AND k = {1 + LAGS}, generate_series(1, {PREDS}) g(h)"""),
+        ("seconds", f"""SELECT f.fold, f.LinkRef, f.bin_ts, f.horizon, b.weight, z_true, z_pred, z_true * b.scale + b.mean AS truth,
+                z_pred * b.scale + b.mean AS model, b.mean AS baseline
+            FROM forecast f JOIN {windows} a USING (fold, LinkRef, bin_ts) JOIN {windows} b
+              ON b.fold = f.fold AND b.LinkRef = f.LinkRef AND b.t = a.t + f.horizon - 1"""),
+    ]
+
+
+def recursive(sql: str) -> str:
+    return sql.replace("WITH ", "WITH RECURSIVE ", 1)
 
 
 def _forecast_sql(select: str) -> str:
-    return with_views(select, "obs", extra=_fold_ctes(True) + _PRODUCTS + _SOLVED).replace("WITH ", "WITH RECURSIVE ", 1)
+    return recursive(with_views(select, "obs", extra=_fold_ctes(True) + product_ctes("trainwindows") + solved_ctes("testwindows")))
 
 
 _IN_SECONDS = ("z_true", "z_pred", "truth", "model", "baseline")
@@ -282,21 +297,31 @@ def _side_sql(side: str) -> str:
             f"avg(abs(truth - {side}) / truth) * 100 AS {side}_mape")
 
 
-@query("scoreboard_model_by_fold", _forecast_sql(f"""
+MODEL_BOARD_SQL = f"""
     SELECT CAST(fold AS INTEGER) AS fold, CAST(horizon AS INTEGER) AS horizon,
            {', '.join(f'round({s}_{m}, 3) AS {s}_{m}' for s in ('baseline', 'model') for m in _KEPT)},
            {', '.join(f'round(model_{m} - baseline_{m}, 3) AS difference_{m}' for m in _KEPT)}, n_pairs
     FROM (SELECT fold, horizon, {_side_sql('baseline')}, {_side_sql('model')}, count(*) AS n_pairs
           FROM (SELECT fold, horizon, bin_ts, sum(truth * weight) / 60 AS truth, sum(baseline * weight) / 60 AS baseline,
                        sum(model * weight) / 60 AS model FROM seconds GROUP BY fold, horizon, bin_ts)
-          WHERE truth > 0 GROUP BY fold, horizon)"""))
-def q_scoreboard_model_by_fold(spark, sf_dir):
-    """Baseline, lag model and their difference per fold and horizon."""
-    totals = _fold_totals(_fold_forecasts(spark, sf_dir), "truth", "baseline", "model")
+          WHERE truth > 0 GROUP BY fold, horizon)"""
+
+
+def model_board(forecasts: DataFrame) -> DataFrame:
+    """Baseline, model and their difference per fold and horizon, over weighted line totals."""
+    totals = _fold_totals(forecasts, "truth", "baseline", "model")
     board = totals.groupBy("fold", "horizon").agg(*error_metrics("truth", "baseline", "baseline_"),
                                                   *error_metrics("truth", "model", "model_"))
+
     def r3(c, name):
         return round_half_away(c, 3).alias(name)
+
     return board.select("fold", "horizon", *[r3(f"{side}_{m}", f"{side}_{m}") for side in ("baseline", "model") for m in _KEPT],
                         *[r3(F.col(f"model_{m}") - F.col(f"baseline_{m}"), f"difference_{m}") for m in _KEPT],
                         F.col("model_n_pairs").alias("n_pairs"))
+
+
+@query("scoreboard_model_by_fold", _forecast_sql(MODEL_BOARD_SQL))
+def q_scoreboard_model_by_fold(spark, sf_dir):
+    """Baseline, lag model and their difference per fold and horizon."""
+    return model_board(_fold_forecasts(spark, sf_dir))
