@@ -114,6 +114,19 @@ def geojson_features(merged: DataFrame) -> DataFrame:
                          .alias("feature"))
 
 
+def segment_features(segments: DataFrame) -> DataFrame:
+    """One GeoJSON Feature per segment of a layer (``TripPointF, TripPointT, wkt``), its end points as properties."""
+    lines = F.transform(line_parts("wkt"), lambda line: F.transform(line, lambda p: F.array(p["x"], p["y"])))
+    ends = F.struct("TripPointF", "TripPointT")
+    return segments.select(F.when(F.size(lines) == 1, _feature("LineString", F.get(lines, 0), ends)).otherwise(
+        _feature("MultiLineString", lines, ends)).alias("feature"))
+
+
+def layer_segments(features: DataFrame) -> DataFrame:
+    """Features of a layer file (``properties``, ``parts``) as segments ``TripPointF, TripPointT, wkt``."""
+    return features.select(*[F.col("properties")[c].alias(c) for c in ("TripPointF", "TripPointT")], geometry_wkt().alias("wkt"))
+
+
 def point_features(points: DataFrame, wkt_col: str = "Geography") -> DataFrame:
     """Points with a WKT column to GeoJSON Point features (other columns as properties)."""
     from ..functions.text import wkt_point_xy

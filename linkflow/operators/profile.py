@@ -23,6 +23,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..checks import Expectation, expect_profile, written
 from ..functions.fixed import fixed_mean
 from ..functions.time import SECONDS_PER_WEEK, freq_seconds, slot_of_week, slot_timestamp
 from ..session import materialize as materialize_table
@@ -91,27 +92,31 @@ class Profile:
     Spark then knows its bytes and broadcasts it below its own threshold, never above.
     """
 
-    def __init__(self, filled: DataFrame, scales: DataFrame, stats: DataFrame, freq, written: bool = True):
+    def __init__(self, filled: DataFrame, scales: DataFrame, stats: DataFrame, freq, written: bool = True,
+                 expect: Sequence[Expectation] = ()):
         self.scales, self.stats, self.freq = scales, stats, freq
-        self._filled, self._unwritten = filled, written
+        self._filled, self._unwritten, self._expect = filled, written, list(expect)
 
     @property
     def slots(self) -> DataFrame:
         if self._unwritten:
-            self._filled, self._unwritten = materialize_table(self._filled, "profile-slots"), False
+            self._filled, self._unwritten = written(self._filled, "profile-slots", self._expect), False
         return self._filled
 
 
 def fit_profile(obs: DataFrame, freq="15min", k: float = 3.0,
-                mad_scale: float = MAD_SCALE, materialize: bool = True) -> Profile:
+                mad_scale: float = MAD_SCALE, materialize: bool = True, links: int | None = None) -> Profile:
     """Fit the seasonal profile (``fit_scale`` of the original pipeline).
 
     The fitted cell statistics are a model: with ``materialize`` they are computed
     once and written as a table in the shared checkpoint folder (lineage cut,
     executor loss safe), so every later use -- lookups, outlier bands, size checks
-    -- reads the small result (links x slots rows) instead of re-running the fit.
+    -- reads the small result (links x slots rows) instead of re-running the fit. With
+    ``links`` the job that writes the filled profile fails if it has another number of links,
+    or a gap.
     """
-    return _profile(slot_statistics(obs, freq, k, mad_scale), freq, materialize)
+    expect = () if links is None else expect_profile(links, SECONDS_PER_WEEK // freq_seconds(freq))
+    return _profile(slot_statistics(obs, freq, k, mad_scale), freq, materialize, expect=expect)
 
 
 def fit_counted(counted: DataFrame, freq="15min", k: float = 3.0, mad_scale: float = MAD_SCALE,
@@ -124,11 +129,11 @@ def fit_counted(counted: DataFrame, freq="15min", k: float = 3.0, mad_scale: flo
     return _profile(counted_cells(counted, [*by, "LinkRef", "slot"], VALUE, k, mad_scale), freq, True, by)
 
 
-def _profile(stats: DataFrame, freq, materialize: bool, by: Sequence[str] = ()) -> Profile:
+def _profile(stats: DataFrame, freq, materialize: bool, by: Sequence[str] = (), expect: Sequence[Expectation] = ()) -> Profile:
     if materialize:
         stats = materialize_table(stats, "profile-cells")
     links = stats.select(*by, "LinkRef").distinct()
-    return Profile(fill_profile(stats, links, freq, by), link_scale(stats, by), stats, freq, materialize)
+    return Profile(fill_profile(stats, links, freq, by), link_scale(stats, by), stats, freq, materialize, expect)
 
 
 def fit_link_profile(obs: DataFrame, freq="15min", k: float = 3.0, smooth: int = 7) -> Profile:

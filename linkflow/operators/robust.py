@@ -30,13 +30,6 @@ def value_counts(df: DataFrame, keys: Sequence[str], value: str) -> DataFrame:
             .groupBy(*keys, value).agg(F.count(F.lit(1)).alias("_n")))
 
 
-def exact_median(df: DataFrame, keys: Sequence[str], value: str,
-                 out: str = "median") -> DataFrame:
-    """Exact median of ``value`` per group (NULL values ignored)."""
-    counted = materialize(value_counts(df, keys, value), "value-counts")
-    return middle(counted, keys, value, widest(counted, keys)).select(*keys, F.col("median").alias(out))
-
-
 def widest(counted: DataFrame, keys: Sequence[str]) -> int:
     """Rows (distinct values) of the group that has most."""
     return counted.groupBy(*keys).count().agg(F.max("count")).first()[0] or 0

@@ -10,8 +10,12 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators import geo
+from ..checks import expect_links, written
+from ..session import scratch_table_path
 from ..sources.adapters import Tables
-from .registry import query
+from ..sources.readers import read_delimited, read_geojson_layer
+from ..sources.sinks import write_geojson_lines, write_table_csv
+from .registry import ORACLE, query
 
 
 def segment_layer(spark, sf_dir):
@@ -67,6 +71,29 @@ def q_link_geometry_merge(spark, sf_dir):
     return merged.select("LinkRef", "kind", "n_segments", "n_parts", geo.geometry_wkt().alias("wkt"))
 
 
+_MERGED_SQL = ORACLE["link_geometry_merge"]
+
+
+def layer_from_file(spark, sf_dir):
+    """(segments, link dimension), the segments written as a GeoJSON layer and read from it."""
+    segments, link_dim = segment_layer(spark, sf_dir)
+    path = scratch_table_path(spark, "layer")
+    write_geojson_lines(geo.segment_features(segments.where("wkt is not null")), path)
+    features, rejected = read_geojson_layer(spark, path)
+    written(rejected, "layer-rejected", expect_links(0))        # a row that is no line feature fails the query
+    return geo.layer_segments(features), link_dim
+
+
+@query("link_geometry_from_file", _MERGED_SQL)
+def q_link_geometry_from_file(spark, sf_dir):
+    """Layer file in, merged links written as a table of texts and read back."""
+    merged = geo.merge_link_geometry(*layer_from_file(spark, sf_dir))
+    path = scratch_table_path(spark, "geometry")
+    table = merged.select("LinkRef", "kind", "n_segments", "n_parts", geo.geometry_wkt().alias("wkt"))
+    write_table_csv(table, path, ";")
+    return read_delimited(spark, path, table.schema)
+
+
 @query("link_geojson", _EXPECTED + """
     SELECT LinkRef, '{"type":"Feature","geometry":{"type":"' ||
            CASE WHEN gap

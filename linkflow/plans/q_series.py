@@ -12,7 +12,10 @@ from ..operators import resample as rs
 from ..operators import series as se
 from ..operators import splits as sp
 from ..operators import windows as wn
-from ..sources.adapters import Tables, with_views
+from ..session import materialize, scratch_table_path
+from ..sources.adapters import Tables, link_dimension, with_views
+from ..sources.readers import read_link_observations, read_wide_blocks
+from ..sources.sinks import link_order, to_wide, write_wide_blocks
 from .q_profile import SLOT_SQL, _interp_sql, profile_sql
 from .registry import query, r4
 
@@ -119,16 +122,45 @@ def q_inverse_series(spark, sf_dir):
     return se.inverse(zseries(spark, sf_dir)).select("LinkRef", "bin_ts", r4("seconds"))
 
 
-EVENT_LINKS = ("click", "error", "purchase", "signup", "view")   # columns of the wide series
+EVENT_LINKS = ("click", "error", "purchase", "signup", "view")   # columns that the oracle expects
 
 
 @query("wide_series", zseries_sql("SELECT bin_ts, " + ", ".join(
     f"max(CASE WHEN LinkRef = '{link}' AND scale IS NOT NULL THEN round(dev + mean, 4) END) AS \"{link}\""
     for link in EVENT_LINKS) + " FROM zs GROUP BY bin_ts"))
 def q_wide_series(spark, sf_dir):
-    from ..sources.sinks import to_wide
+    """One column per link of the link dimension, in display order."""
     long = se.inverse(zseries(spark, sf_dir)).select("LinkRef", "bin_ts", r4("seconds"))
-    return to_wide(long, "bin_ts", "LinkRef", "seconds", EVENT_LINKS)
+    links = link_order(materialize(link_dimension(Tables(spark, sf_dir).raw("events")), "links")).orderBy("link_index").collect()
+    return to_wide(long, "bin_ts", "LinkRef", "seconds", [r.LinkRef for r in links])
+
+
+@query("wide_blocks", zseries_sql("""
+    SELECT LinkRef, bin_ts, round(CASE WHEN scale IS NOT NULL THEN dev + mean END, 4) AS seconds FROM zs
+    WHERE scale IS NOT NULL"""))
+def q_wide_blocks(spark, sf_dir):
+    """The series written wide, in blocks of two links by display order, and read back."""
+    long = se.inverse(zseries(spark, sf_dir)).select("LinkRef", "bin_ts", r4("seconds"))
+    path = scratch_table_path(spark, "wide")
+    write_wide_blocks(long, path, link_order(link_dimension(Tables(spark, sf_dir).raw("events"))), width=2)
+    return read_wide_blocks(spark, path).select("LinkRef", "bin_ts", "seconds")
+
+
+@query("link_order", with_views("SELECT LinkRef, LineDirectionLinkOrder AS link_index FROM obs_links", "obs"))
+def q_link_order(spark, sf_dir):
+    """Links in display order, from the observations' link orders."""
+    return link_order(Tables(spark, sf_dir).ordered_obs()).select("LinkRef", F.col("link_index").cast("int").alias("link_index"))
+
+
+@query("observations_from_csv", with_views("""
+    SELECT JourneyLinkRef, JourneyRef, DateTime, LineDirectionCode, LineDirectionLinkOrder, LinkRef, LinkName, DayOfWeek, LinkTravelTime
+    FROM obs""", "obs"))
+def q_observations_from_csv(spark, sf_dir):
+    """The extraction's file format: ';' CSV with a header, written and read with its declared schema."""
+    path = scratch_table_path(spark, "observations")
+    Tables(spark, sf_dir).ordered_obs().write.option("header", True).option("sep", ";").option(
+        "timestampNTZFormat", "yyyy-MM-dd HH:mm:ss.SSSSSS").csv(path)
+    return read_link_observations(spark, path)
 
 
 # --------------------------------------------------------------------- windows

@@ -11,14 +11,15 @@ from ..operators import profile as pr
 from ..operators import series as se
 from ..operators import splits as sp
 from ..operators import windows as wn
-from ..session import materialize
-from ..sources.adapters import Tables, with_views
+from ..session import materialize, scratch_table_path
+from ..sources.adapters import Tables, link_dimension, with_views
+from ..sources.sinks import write_forecast
 from . import folds as fd
 from . import models
 from . import scoring as sc
 from .q_forecast import COMPARISON_CTES, _metrics_sql, _models, _round_metrics, _split, _SUBSET_SQL, _totals_sql, _truth, forecast_ctes
-from .q_more import BOOTSTRAP, FOLDS, MODEL_BOARD_SQL, STEP, _SAR_CTES, in_seconds, model_board, product_ctes, recursive, solved_ctes
-from .q_profile import SLOT_SQL, profile_ctes
+from .q_more import BOOTSTRAP, FOLDS, MODEL_BOARD_SQL, STEP, _fold_forecasts, _forecast_sql, _SAR_CTES, in_seconds, model_board, product_ctes, recursive, solved_ctes
+from .q_profile import FILLED_SQL, SLOT_SQL, profile_ctes, profile_sql
 from .q_series import LAGS, ORDER, PREDS, _POS_CTE, _RN_CTE, transform_ctes, zseries, zseries_sql
 from .registry import query, r4, round_half_away
 
@@ -228,6 +229,27 @@ def q_scoreboard_with_model(spark, sf_dir):
     return _round_metrics(sc.scoreboard(compared))
 
 
+# ------------------------------------------------------------------------ export
+
+@query("forecast_export", _forecast_sql("""
+    SELECT 'lag_model' AS model, CAST(fold AS INTEGER) AS fold, LinkRef, bin_ts, round(model, 3) AS seconds FROM seconds WHERE horizon = 1"""))
+def q_forecast_export(spark, sf_dir):
+    """First-horizon forecasts of every fold, exported by model and fold and read back."""
+    scored = _fold_forecasts(spark, sf_dir).where("horizon = 1").select(
+        F.lit("lag_model").alias("model"), "fold", "LinkRef", "bin_ts", round_half_away("model", 3).alias("seconds"))
+    path = scratch_table_path(spark, "forecasts")
+    write_forecast(scored, path)
+    return spark.read.parquet(path).select("model", F.col("fold").cast("int").alias("fold"), "LinkRef", "bin_ts", "seconds")
+
+
+@query("checked_profile", profile_sql(FILLED_SQL))
+def q_checked_profile(spark, sf_dir):
+    """The filled profile, written by a job that fails if a link of the dimension or a slot is missing."""
+    tables = Tables(spark, sf_dir)
+    links = link_dimension(tables.raw("events")).count()
+    return pr.fit_profile(tables.obs(), links=links).slots.select("LinkRef", "slot", "DowTimeRef", "mean", "low", "upr")
+
+
 # ----------------------------------------------------------------- small studies
 
 @query("fold_sizes", with_views(f"""

@@ -66,16 +66,6 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     return sc.getCheckpointDir() or configured
 
 
-def cut_lineage(df: DataFrame, eager: bool = True) -> DataFrame:
-    """Cut a long lineage with a reliable checkpoint in the shared folder.
-
-    The checkpoint survives executor loss (unlike a local checkpoint), so
-    iterative plans do not recompute from the sources after a failure.
-    """
-    ensure_checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=eager)
-
-
 def materialize(df: DataFrame, name: str = "table") -> DataFrame:
     """Write ``df`` once as a parquet table in the shared checkpoint folder and read it back.
 

@@ -6,6 +6,8 @@
   or a ``log_date=YYYY-MM-DD`` partitioned folder is pruned by a filter.
 * ``read_wide_series``: header CSV whose first column is a time index and the other
   columns are links; returned in long form ``(model, bin_ts, LinkRef, seconds)``.
+* ``read_wide_blocks``: the wide CSV blocks of ``sinks.write_wide_blocks``, in long form.
+* ``read_geojson_layer``: a layer of line features; what is not one is kept apart.
 * ``read_delimited``: any ';' CSV with a declared schema (link dimension, points).
 """
 
@@ -81,3 +83,49 @@ def read_wide_series(spark: SparkSession, path: str, model: str, index_col: str
     long = wide.unpivot([idx], [c for c in header if c != idx], "LinkRef", "seconds")
     return long.select(F.lit(model).alias("model"),
                        F.to_timestamp_ntz(F.col(idx)).alias("bin_ts"), "LinkRef", "seconds")
+
+
+def read_wide_blocks(spark: SparkSession, path: str, index: str = "bin_ts", value: str = "seconds") -> DataFrame:
+    """``(index, LinkRef, value)`` of a wide output in column blocks; empty cells have no row."""
+    links = spark.read.parquet(f"{path}/links")
+    names = spark.read.option("header", True).csv(f"{path}/rows").columns
+    columns = [c for c in names if c not in (index, "block")]
+    schema = T.StructType([T.StructField(index, T.TimestampNTZType())] + [T.StructField(c, T.DoubleType()) for c in columns]
+                          + [T.StructField("block", T.LongType())])
+    wide = read_delimited(spark, f"{path}/rows", schema, ",", True)
+    long = wide.unpivot([index, "block"], columns, "column", value).where(F.col(value).isNotNull())
+    return long.join(links, ["block", "column"]).select(index, "LinkRef", value)
+
+
+FEATURE = ("struct<type:string,geometry:struct<type:string,coordinates:string>,properties:map<string,string>>")
+POINTS = "array<array<double>>"
+
+
+def read_geojson_layer(spark: SparkSession, path: str, collection: bool = False) -> tuple[DataFrame, DataFrame]:
+    """(line features, rejected rows) of a GeoJSON layer.
+
+    One feature a line, or (``collection``) FeatureCollection documents, one a file. Features:
+    ``properties`` (map of text) and ``parts`` (lines of points x, y). A row that is no JSON, no
+    feature, of another geometry, or that has a point of fewer than two numbers or a line of
+    fewer than two points, is rejected: ``(row, reason)``.
+    """
+    if collection:
+        text = spark.read.text(path, wholetext=True)
+        listed = F.from_json("value", "struct<type:string,features:array<string>>")
+        text = text.select(F.explode(F.coalesce(listed["features"], F.array("value"))).alias("row"))
+    else:
+        text = spark.read.text(path).select(F.col("value").alias("row"))
+    read = text.withColumn("f", F.from_json("row", FEATURE))
+    kind, raw = F.col("f.geometry.type"), F.col("f.geometry.coordinates")
+    lines = F.when(kind == "LineString", F.array(F.from_json(raw, POINTS))).when(
+        kind == "MultiLineString", F.from_json(raw, f"array<{POINTS}>"))
+    read = read.withColumn("lines", lines)
+    whole = F.forall("lines", lambda line: (F.size(line) >= 2) & F.forall(
+        line, lambda p: (F.size(p) >= 2) & F.get(p, 0).isNotNull() & F.get(p, 1).isNotNull()))
+    reason = (F.when(F.col("f").isNull() | F.col("f.type").isNull(), "not a feature").when(F.col("f.type") != "Feature", "not a feature")
+              .when(kind.isNull(), "no geometry").when(~kind.isin("LineString", "MultiLineString"), "not a line")
+              .when(~F.coalesce(whole & (F.size("lines") > 0), F.lit(False)), "malformed coordinates"))
+    read = read.withColumn("reason", reason)
+    parts = F.transform("lines", lambda line: F.transform(line, lambda p: F.struct(F.get(p, 0).alias("x"), F.get(p, 1).alias("y"))))
+    return (read.where(F.col("reason").isNull()).select(F.col("f.properties").alias("properties"), parts.alias("parts")),
+            read.where(F.col("reason").isNotNull()).select("row", "reason"))

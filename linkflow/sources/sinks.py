@@ -8,41 +8,60 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 
-def column_values(long: DataFrame, columns: str) -> list:
-    """Distinct values of the pivot column (the link list; bounded by the number of links)."""
-    return sorted(r[0] for r in long.select(columns).distinct().collect())
+BLOCK_COLUMNS = 256            # links side by side in one block of a wide output
 
 
-def to_wide(long: DataFrame, index: str, columns: str, values: str,
-            values_list: Sequence | None = None) -> DataFrame:
-    """One row per ``index``, one column per value of ``columns``."""
-    cols = list(values_list) if values_list is not None else column_values(long, columns)
-    return long.groupBy(index).pivot(columns, cols).agg(F.first(values))
+def link_order(links: DataFrame) -> DataFrame:
+    """``(LinkRef, link_index)``: links in display order, by their smallest ``LineDirectionLinkOrder``.
 
+    ``links`` may be any table with both columns; one row a link is ranked.
+    """
+    first = links.groupBy("LinkRef").agg(F.min("LineDirectionLinkOrder").alias("order"))
+    ranked = F.row_number().over(Window.orderBy("order", "LinkRef")) - 1
+    return first.select("LinkRef", ranked.alias("link_index"))
 
-def from_wide(wide: DataFrame, index: str, columns: str = "LinkRef",
-              values: str = "seconds") -> DataFrame:
-    """Back to long form (``unpivot`` of every non-index column)."""
-    value_cols = [c for c in wide.columns if c != index]
-    return wide.unpivot([index], value_cols, columns, values)
 
+def to_wide(long: DataFrame, index: str, columns: str, values: str, values_list: Sequence) -> DataFrame:
+    """One row per ``index``, one column per entry of ``values_list`` (links in display order)."""
+    return long.groupBy(index).pivot(columns, list(values_list)).agg(F.first(values))
 
-def write_wide_csv(long: DataFrame, path: str, index: str = "bin_ts", columns: str = "LinkRef",
-                   values: str = "seconds", values_list: Sequence | None = None) -> None:
+
+def write_wide_csv(long: DataFrame, path: str, values_list: Sequence, index: str = "bin_ts", columns: str = "LinkRef",
+                   values: str = "seconds") -> None:
     """Wide CSV with a header, overwriting ``path``."""
     (to_wide(long, index, columns, values, values_list).orderBy(index)
      .write.mode("overwrite").option("header", True).csv(path))
 
 
-def write_long_parquet(long: DataFrame, path: str, partition_by: Sequence[str] = ()) -> None:
-    w = long.write.mode("overwrite")
-    if partition_by:
-        w = w.partitionBy(*partition_by)
-    w.parquet(path)
+def write_forecast(forecast: DataFrame, path: str, by: Sequence[str] = ("model", "fold")) -> None:
+    """Long Parquet ``(model, fold, bin_ts, LinkRef, seconds)``, replacing the partitions written and no others.
+
+    Rows are dealt by link and sorted by time, so a rerun writes files of equal content.
+    """
+    parts = int(forecast.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    (forecast.repartition(parts, "LinkRef").sortWithinPartitions(*by, "bin_ts", "LinkRef").write.mode("overwrite")
+     .option("partitionOverwriteMode", "dynamic").partitionBy(*by).parquet(path))
+
+
+def write_wide_blocks(long: DataFrame, path: str, order: DataFrame, index: str = "bin_ts", values: str = "seconds",
+                      width: int = BLOCK_COLUMNS) -> None:
+    """Wide CSV in blocks of ``width`` links: ``path/rows/block=k`` and the columns' links in ``path/links``.
+
+    Links stand in display order (``link_order``); a block has the columns ``index, c0 .. c{width-1}``,
+    so one pass writes any number of links and no row is wider than a block.
+    """
+    placed = order.select("LinkRef", F.floor(F.col("link_index") / width).alias("block"),
+                          F.concat(F.lit("c"), F.col("link_index") % width).alias("column"))
+    placed.write.mode("overwrite").parquet(f"{path}/links")
+    placed = order.sparkSession.read.parquet(f"{path}/links")
+    names = [f"c{i}" for i in range(width)]
+    wide = long.join(placed, "LinkRef").groupBy("block", index).pivot("column", names).agg(F.first(values))
+    (wide.repartition("block").sortWithinPartitions("block", index).write.mode("overwrite")
+     .partitionBy("block").option("header", True).option("timestampNTZFormat", "yyyy-MM-dd HH:mm:ss").csv(f"{path}/rows"))
 
 
 def write_geojson_lines(features: DataFrame, path: str) -> None:

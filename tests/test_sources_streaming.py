@@ -34,7 +34,7 @@ def test_wide_round_trip(spark):
                                           F.col("LinkTravelTime").alias("seconds")) \
         .groupBy("LinkRef", "bin_ts").agg(F.max("seconds").alias("seconds"))
     path = os.path.join(tempfile.mkdtemp(prefix="linkflow-wide-"), "wide")
-    sinks.write_wide_csv(long, path)
+    sinks.write_wide_csv(long, path, [r.LinkRef for r in long.select("LinkRef").distinct().collect()])
     back = readers.read_wide_series(spark, path, "m").where("seconds is not null")
     assert back.count() == long.where("seconds is not null").count()
 
