@@ -4,7 +4,9 @@
 every response into a linked pair: a ``metadata`` record (application/warc-fields: title,
 language, links, sizes and the source record's own headers) and a ``conversion`` record
 (the page as plain text). Both name the response in WARC-Refers-To, with its target URI
-and date, and carry SHA-1 block digests; the response's payload digest is kept in both.
+and date, and carry SHA-1 block digests; the response's payload digest and its own WARC and
+HTTP headers are kept in both (``source-`` and ``http-`` before their names). Pages are read by
+``html_reader``, in time linear in their length.
 Record ids are UUIDs derived from the source record's id and the record type, so a retry
 gives the same ids. ``as_bytes`` writes a record in WARC/1.1 form and ``parse`` reads it
 back.
@@ -18,36 +20,22 @@ from __future__ import annotations
 
 import base64
 import hashlib
-import html
-import re
 import uuid
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from linkflow.llm.html_reader import read_page
+
 DATE = "2024-01-01T00:00:00Z"   # the tables carry no fetch time
 SPACE = uuid.UUID("6ba7b811-9dad-11d1-80b4-00c04fd430c8")   # the public name space of URLs
-_DROP = re.compile(r"<!--.*?-->|<(script|style|noscript|template)\b[^>]*>.*?</\1\s*>", re.S | re.I)
-_BLOCK = re.compile(r"</?(?:p|div|br|li|ul|ol|h[1-6]|tr|table|article|section|nav|header|footer|title|head|body|html|pre|blockquote)\b[^>]*>", re.I)
-_TAG = re.compile(r"<[a-zA-Z/!?][^>]*>")
-_TITLE = re.compile(r"<title\b[^>]*>(.*?)</title\s*>", re.S | re.I)
-_LANG = re.compile(r"<html\b[^>]*\blang\s*=\s*[\"']?([A-Za-z0-9-]+)", re.I)
-_HREF = re.compile(r"<a\b[^>]*\bhref\s*=\s*[\"']?([^\"'\s>]+)", re.I)
-_BLANK = re.compile(r"[^\S\n]+")
-_LINES = re.compile(r"\s*\n\s*")
 
 
 def digest(block: bytes) -> str:
     return "sha1:" + base64.b32encode(hashlib.sha1(block).digest()).decode("ascii")
 
 
-def plain_text(page: str) -> str:
-    """The page's text: scripts, styles, comments and tags gone, one line per block."""
-    text = _TAG.sub("", _BLOCK.sub("\n", _DROP.sub(" ", page)))
-    return _LINES.sub("\n", _BLANK.sub(" ", html.unescape(text))).strip()
-
-
 def record_id(*parts: str | None) -> str:
     return f"<urn:uuid:{uuid.uuid5(SPACE, chr(0).join('' if p is None else p for p in parts))}>"
 
@@ -112,21 +100,18 @@ def derive(responses: DataFrame) -> DataFrame:
     """Two rows per response record: its ``metadata`` and its ``conversion``, linked to it."""
     def pair(page_id, rid, uri, payload_digest, headers, block):
         head, _, page = (block or "").partition("\r\n\r\n")
-        title, lang = _TITLE.search(page), _LANG.search(page)
-        text = plain_text(page)
-        links = _HREF.findall(page)
+        read = read_page(page)
         conversion = record_id("conversion", rid)
         source = [("source-" + k, v) for k, _, v in (x.partition(": ") for x in (headers or "").split("\r\n")) if k]
         http = [("http-" + k.lower(), v) for k, _, v in (x.partition(": ") for x in head.split("\r\n")[1:]) if k]
         about = header_lines([
-            ("title", html.unescape(title[1]) if title else None), ("language", lang[1] if lang else None),
-            ("outlinks", str(len(links))), ("text-length", str(len(text))), ("conversion", conversion),
-            *source, *http, *(("outlink", html.unescape(x)) for x in links)])
+            ("title", read.title), ("language", read.language), ("outlinks", str(len(read.links))), ("text-length", str(len(read.text))),
+            ("conversion", conversion), *source, *http, *(("outlink", x) for x in read.links)])
         refers = [("WARC-Refers-To", rid), ("WARC-Refers-To-Target-URI", uri), ("WARC-Refers-To-Date", DATE)]
         return (_record(page_id, "metadata", record_id("metadata", rid), rid, uri, payload_digest,
                         "application/warc-fields", about, refers),
                 _record(page_id, "conversion", conversion, rid, uri, payload_digest,
-                        "text/plain; charset=utf-8", text, refers))
+                        "text/plain; charset=utf-8", read.text, [*refers, *source, *http]))
 
     def run(batches):
         for b in batches:

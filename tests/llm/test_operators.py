@@ -173,4 +173,5 @@ def test_warc_round_trip(spark):
     assert conversion.block == "T & t\nHi you\nl"
     fields, block = warc.parse(warc.as_bytes(conversion.headers, conversion.block.encode()))
     assert fields["WARC-Refers-To"] == conversion.refers_to and warc.digest(block) == conversion.block_digest
+    assert fields["source-WARC-Type"] == "response" and fields["http-content-type"] == "text/html; charset=utf-8"
     assert "source-WARC-Record-ID" in next(r for r in out if r.page_id == 1 and r.record_type == "metadata").block
