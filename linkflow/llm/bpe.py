@@ -7,10 +7,13 @@ repaired: the stretch from the last safe boundary of the left chunk to the first
 boundary of the right one is encoded again as one piece, growing over whole chunks until
 it ends at safe boundaries on both sides. A safe boundary is a space between an ASCII
 non-space byte and an ASCII letter: no alternative of the byte-level pre-tokenizer's
-pattern matches across it and none looks past it, so encoding the two sides apart agrees
-exactly with encoding them together. Every distinct piece (chunk body or repaired join) is
-encoded once for all documents of a slice, and a bounded cache carries pieces on.
-Decoding looks up the bytes of every id of a document.
+pattern matches across it and none looks past it. At every boundary used, the words on its
+two sides are encoded together and apart; where the two encodings differ, the pieces are
+joined and encoded again as one, until all joins agree (``agreed_bounds``). Every distinct
+piece (chunk body or repaired join) is encoded once for all documents of a slice, every
+distinct pair of words compared once, and bounded caches carry both on. Decoding looks up the
+bytes of every id of a document. A vocabulary whose files disagree with each other, or whose
+pre-tokenizer is not the byte-level one, is refused (``ValueError``).
 
 Nulls count as empty text; an empty text has no tokens (the digests of the empty string).
 Repeated rows give repeated results; the tables may be empty; other columns are ignored.
@@ -19,6 +22,7 @@ Repeated rows give repeated results; the tables may be empty; other columns are
 from __future__ import annotations
 
 import hashlib
+import json
 
 import numpy as np
 import pyarrow as pa
@@ -33,6 +37,8 @@ CHUNK_BITS = 8                # a chunk ends at a byte with probability 2**-CHUN
 ROLL_BYTES = 16               # bytes under the rolling hash
 SLICE_MB = 8                  # MB of text worked on at once
 CACHE_BYTES = 32 << 20        # pieces kept from slice to slice; the cache is emptied beyond
+CACHE_JOINS = 100_000         # pairs of words at joins, likewise
+BYTE_LEVEL = {"type": "ByteLevel", "add_prefix_space": False, "use_regex": True}
 
 
 def tokenizer_path(name: str = TOKENIZER) -> str:
@@ -69,6 +75,16 @@ def piece_bounds(data: np.ndarray, doc_starts: np.ndarray, bits: int = CHUNK_BIT
     return np.flatnonzero(safe)
 
 
+def byte_letters() -> dict[str, int]:
+    """The character that stands for each byte in a byte-level vocabulary.
+
+    Printable bytes of Latin-1 stand for themselves, the others for the characters from 256 on.
+    """
+    plain = [b for b in range(256) if 33 <= b <= 126 or 161 <= b <= 172 or b >= 174]
+    rest = [b for b in range(256) if b not in plain]
+    return {chr(b): b for b in plain} | {chr(256 + k): b for k, b in enumerate(rest)}
+
+
 class PieceCoder:
     """Encodes pieces, each distinct one once while it is cached.
 
@@ -89,6 +105,7 @@ class PieceCoder:
         self.tokenizer.no_padding()
         with open(ranks_path, "rb") as f:
             ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
+        self.check(path, ranks)
         self.fast = tiktoken.Encoding("ranks", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
         self.special = [t.content.encode() for t in self.tokenizer.get_added_tokens_decoder().values()]
         size = max(self.tokenizer.get_vocab_size(), max(ranks.values()) + 1)
@@ -105,10 +122,32 @@ class PieceCoder:
         self.odd = odd
         self.reset()
 
+    def check(self, path: str, ranks: dict[bytes, int]) -> None:
+        """Safe boundaries hold for one pre-tokenizer, and the two files must be one vocabulary."""
+        spec = json.loads(self.tokenizer.to_str())
+        before = spec["pre_tokenizer"] or {}
+        if spec["normalizer"] or {k: before.get(k) for k in BYTE_LEVEL} != BYTE_LEVEL:
+            raise ValueError(f"{path}: not a byte-level pre-tokenizer without prefix space")
+        letters, added = byte_letters(), set(self.tokenizer.get_added_tokens_decoder())
+        spelled = {bytes(letters[c] for c in t): i for t, i in spec["model"]["vocab"].items() if i not in added}
+        if spelled != ranks:
+            raise ValueError(f"{path}: its vocabulary is not that of the ranks")
+
     def reset(self):
         self.seen: dict[bytes, np.ndarray] = {}
+        self.joins: dict[tuple[bytes, bytes], bool] = {}
         self.held = 0
 
+    def agree(self, left: bytes, right: bytes) -> bool:
+        """Two words beside each other encode together as they do apart."""
+        known = self.joins.get((left, right))
+        if known is None:
+            if len(self.joins) >= CACHE_JOINS:
+                self.joins.clear()
+            ids = [self.encode(w, not w.isascii()) for w in (left, right, left + right)]
+            known = self.joins[left, right] = ids[0].tolist() + ids[1].tolist() == ids[2].tolist()
+        return known
+
     def encode(self, piece: bytes, odd: bool) -> np.ndarray:
         text = piece.decode("utf-8")
         if odd:
@@ -142,6 +181,21 @@ def _digests(parts: pa.Array, bounds: np.ndarray, drop: int) -> list[str]:
             for a, b in zip(off[bounds[:-1]].tolist(), off[bounds[1:]].tolist())]
 
 
+def agreed_bounds(data: bytes, bounds: np.ndarray, starts: np.ndarray, agree) -> np.ndarray:
+    """``bounds`` without those at which the words on the two sides do not encode apart as together.
+
+    Leaving a boundary out joins the pieces on its sides, which are then encoded as one.
+    """
+    first = np.isin(bounds, starts)
+    keep = np.ones(len(bounds), bool)
+    at = bounds.tolist()
+    for k in np.flatnonzero(~first).tolist():
+        low, b, high = at[k - 1], at[k], at[k + 1] if k + 1 < len(at) else len(data)
+        left, right = max(low, data.rfind(b" ", low, b)), data.find(b" ", b + 1, high)
+        keep[k] = agree(data[left:b], data[b:right if right > 0 else high])
+    return bounds[keep]
+
+
 def token_slices(texts: pa.Array, coder: PieceCoder, bits: int = CHUNK_BITS):
     """For each slice of a column: (token ids of its documents in a row, bounds of each document)."""
     raw, off = text_buffers(texts)
@@ -149,7 +203,8 @@ def token_slices(texts: pa.Array, coder: PieceCoder, bits: int = CHUNK_BITS):
         lo, hi = int(off[i]), int(off[j])
         starts = off[i:j] - lo
         data = np.ascontiguousarray(raw[lo:hi])
-        bounds = piece_bounds(data, starts, bits)
+        whole = data.tobytes()
+        bounds = agreed_bounds(whole, piece_bounds(data, starts, bits), starts, coder.agree)
         pieces = pa.Array.from_buffers(pa.binary(), len(bounds), [
             None, pa.py_buffer(np.append(bounds, hi - lo).astype(np.int32)), pa.py_buffer(data)])
         coded = pieces.dictionary_encode()
@@ -158,7 +213,7 @@ def token_slices(texts: pa.Array, coder: PieceCoder, bits: int = CHUNK_BITS):
         if len(bounds):
             odd[which] = np.logical_or.reduceat(coder.odd[data], bounds)
         tokens = coder.lookup(coded.dictionary.to_pylist(), odd.tolist(),
-                              any(s in data.tobytes() for s in coder.special))
+                              any(s in whole for s in coder.special))
         flat = np.concatenate([np.zeros(0, np.uint32), *tokens])
         size = np.array([len(t) for t in tokens], np.int64)
         begin = np.cumsum(size) - size
