@@ -10,27 +10,26 @@ from ..operators import splits as sp
 from ..sources.adapters import Tables, with_views
 from . import forecast as fc
 from . import scoring as sc
+from .periods import PERIODS, Periods
 from .q_profile import _interp_sql, profile_ctes
 from .q_series import transform_ctes
 from .registry import query, r4
 
-TRAIN_BEFORE, TEST_FROM, TEST_BEFORE = "2024-01-22", "2024-01-23", "2024-01-27"
-EVAL_FROM, EVAL_TO = "2024-01-23", "2024-01-26"
 MODELS = ("historical_average", "incumbent", "external")
 
 
-def _split(spark, sf_dir):
-    return sp.date_split(Tables(spark, sf_dir).obs(), "DateTime", TRAIN_BEFORE, TEST_FROM, TEST_BEFORE)
+def _split(spark, sf_dir, periods: Periods = PERIODS):
+    return sp.date_split(Tables(spark, sf_dir).obs(), "DateTime", periods.train_before, periods.test_from, periods.test_before)
 
 
-def _truth(spark, sf_dir):
-    _, test = _split(spark, sf_dir)
+def _truth(spark, sf_dir, periods: Periods = PERIODS):
+    _, test = _split(spark, sf_dir, periods)
     return fc.ground_truth(test)
 
 
-def _models(spark, sf_dir):
+def _models(spark, sf_dir, periods: Periods = PERIODS):
     t = Tables(spark, sf_dir)
-    train, test = _split(spark, sf_dir)
+    train, test = _split(spark, sf_dir, periods)
     return {"historical_average": fc.historical_average(train, test),
             "incumbent": fc.incumbent_series(t.forecast_log(), "15min"),
             "external": fc.external_series(t.external_log())}
@@ -39,9 +38,9 @@ def _models(spark, sf_dir):
 # ----------------------------------------------------------------- SQL pieces
 
 SPLIT_CTES = [
-    ("train", f"SELECT * FROM obs WHERE DateTime < TIMESTAMP '{TRAIN_BEFORE}'"),
-    ("test", f"SELECT * FROM obs WHERE DateTime >= TIMESTAMP '{TEST_FROM}' "
-             f"AND DateTime < TIMESTAMP '{TEST_BEFORE}'"),
+    ("train", f"SELECT * FROM obs WHERE DateTime < TIMESTAMP '{PERIODS.train_before}'"),
+    ("test", f"SELECT * FROM obs WHERE DateTime >= TIMESTAMP '{PERIODS.test_from}' "
+             f"AND DateTime < TIMESTAMP '{PERIODS.test_before}'"),
 ]
 LEAD_SQL = ("CAST(date_diff('microsecond', LogTime, EstimatedDepartureDateTime) AS DOUBLE) "
             "/ CAST(60000000 AS DOUBLE)")
@@ -220,7 +219,7 @@ def _by_horizon_sql() -> str:
         f"SELECT bin_ts - to_minutes({15 * (h - 1)}) AS bin_ts, {h} AS horizon, total AS truth_total "
         f"FROM (SELECT bin_ts, {sql_fixed_sum('seconds')} AS total FROM truth GROUP BY bin_ts)"
         for h in (1, 2, 3))
-    ev = (f"bin_ts >= TIMESTAMP '{EVAL_FROM}' AND bin_ts <= TIMESTAMP '{EVAL_TO}' "
+    ev = (f"bin_ts >= TIMESTAMP '{PERIODS.eval_from}' AND bin_ts <= TIMESTAMP '{PERIODS.eval_to}' "
           f"AND {_tod_sql('bin_ts', '06:00', '22:00')}")
     return forecast_sql(f"""
         SELECT 'incumbent' AS model, CAST(t.horizon AS INTEGER) AS horizon,
@@ -237,5 +236,5 @@ def _by_horizon_sql() -> str:
 def q_scoreboard_by_horizon(spark, sf_dir):
     t = Tables(spark, sf_dir)
     ms = fc.incumbent_multistep(t.forecast_log())
-    out = sc.scoreboard_by_horizon(_truth(spark, sf_dir), ms, "incumbent", EVAL_FROM, EVAL_TO)
+    out = sc.scoreboard_by_horizon(_truth(spark, sf_dir), ms, "incumbent", PERIODS.eval_from, PERIODS.eval_to)
     return _round_metrics(out.withColumn("horizon", F.col("horizon").cast("int")))

@@ -16,6 +16,7 @@ from ..session import materialize, scratch_table_path
 from ..sources.adapters import Tables, link_dimension, with_views
 from ..sources.readers import read_link_observations, read_wide_blocks
 from ..sources.sinks import link_order, to_wide, write_wide_blocks
+from .periods import PERIODS
 from .q_profile import SLOT_SQL, _interp_sql, profile_sql
 from .registry import query, r4
 
@@ -237,17 +238,16 @@ def q_expanding_folds(spark, sf_dir):
             .select(F.col("fold").cast("int").alias("fold"), "part", "n_rows", "first_ts", "last_ts"))
 
 
-@query("date_split", with_views("""
+@query("date_split", with_views(f"""
     SELECT part, count(*) AS n_rows, count(DISTINCT LinkRef) AS n_links,
            min(DateTime) AS first_ts, max(DateTime) AS last_ts
-    FROM (SELECT 'train' AS part, * FROM obs WHERE DateTime < TIMESTAMP '2024-01-22'
+    FROM (SELECT 'train' AS part, * FROM obs WHERE DateTime < TIMESTAMP '{PERIODS.train_before}'
           UNION ALL
           SELECT 'test' AS part, * FROM obs
-          WHERE DateTime >= TIMESTAMP '2024-01-23' AND DateTime < TIMESTAMP '2024-01-27') q
+          WHERE DateTime >= TIMESTAMP '{PERIODS.test_from}' AND DateTime < TIMESTAMP '{PERIODS.test_before}') q
     GROUP BY part""", "obs"))
 def q_date_split(spark, sf_dir):
-    train, test = sp.date_split(obs(spark, sf_dir), "DateTime", "2024-01-22", "2024-01-23",
-                                "2024-01-27")
+    train, test = sp.date_split(obs(spark, sf_dir), "DateTime", PERIODS.train_before, PERIODS.test_from, PERIODS.test_before)
     def summary(df, part):
         return df.agg(F.lit(part).alias("part"), F.count(F.lit(1)).alias("n_rows"),
                       F.countDistinct("LinkRef").alias("n_links"),
