@@ -68,7 +68,7 @@ def some_rows():
     return rows
 
 
-@pytest.mark.parametrize("block", [16, 256, 4096])
+@pytest.mark.parametrize("block", [16, 4096])
 def test_manifest_against_plain_python(spark, monkeypatch, block):
     monkeypatch.setattr(mk, "BLOCK", block)
     rows = some_rows()

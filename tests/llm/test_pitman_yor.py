@@ -39,7 +39,7 @@ def grams(t, order=py.ORDER):
     return [sum(data[i - k] << 8 * k for k in range(order)) for i in range(order - 1, len(data))]
 
 
-@pytest.mark.parametrize("slab", [py.SLAB_BYTES, 20_000])
+@pytest.mark.parametrize("slab", [20_000])
 def test_scores_against_plain_python(spark, monkeypatch, slab):
     monkeypatch.setattr(py, "SLAB_BYTES", slab)
     rows = rows_of()
