@@ -88,20 +88,29 @@ def fill_profile(slot_stats: DataFrame, links: DataFrame, freq="15min", by: Sequ
 class Profile:
     """A fitted profile: filled (link, slot) table and per-link scales.
 
-    The filled table is written when it is first asked for: its readers join it with facts, and
-    Spark then knows its bytes and broadcasts it below its own threshold, never above.
+    Both are written when they are first asked for: their readers join them with facts, and
+    Spark then knows their bytes and broadcasts them below its own threshold, never above.
     """
 
     def __init__(self, filled: DataFrame, scales: DataFrame, stats: DataFrame, freq, written: bool = True,
                  expect: Sequence[Expectation] = ()):
-        self.scales, self.stats, self.freq = scales, stats, freq
-        self._filled, self._unwritten, self._expect = filled, written, list(expect)
+        self.stats, self.freq, self._expect = stats, freq, list(expect)
+        self._tables = {"slots": filled, "scales": scales}
+        self._unwritten = {"slots", "scales"} if written else set()
+
+    def _table(self, name: str) -> DataFrame:
+        if name in self._unwritten:
+            self._unwritten.discard(name)
+            self._tables[name] = written(self._tables[name], f"profile-{name}", self._expect if name == "slots" else [])
+        return self._tables[name]
 
     @property
     def slots(self) -> DataFrame:
-        if self._unwritten:
-            self._filled, self._unwritten = written(self._filled, "profile-slots", self._expect), False
-        return self._filled
+        return self._table("slots")
+
+    @property
+    def scales(self) -> DataFrame:
+        return self._table("scales")
 
 
 def fit_profile(obs: DataFrame, freq="15min", k: float = 3.0,

@@ -73,13 +73,12 @@ def islands(spans: DataFrame, freq="15min", by: Sequence[str] = ()) -> DataFrame
     return runs.select(*by, "first", "last", F.coalesce(F.sum(F.col("last") - F.col("first") + 1).over(earlier), F.lit(0)).alias("before"))
 
 
-def _with_layout(rows: DataFrame, spans: DataFrame, freq, by: Sequence[str]) -> DataFrame:
-    """``rows`` with all islands (of their ``by``) as one array ``_layout``.
+def _with_layout(rows: DataFrame, found: DataFrame, by: Sequence[str]) -> DataFrame:
+    """``rows`` with all ``islands`` (of their ``by``) as one array ``_layout``.
 
     The array is no longer than the row of bins that every key is laid out to.
     """
     listed = F.sort_array(F.collect_list(F.struct("first", "last", "before"))).alias("_layout")
-    found = islands(spans, freq, by)
     if by:
         return rows.join(found.groupBy(*by).agg(listed), list(by))
     return rows.withColumn("_layout", found.agg(listed).scalar())
@@ -111,9 +110,10 @@ def union_spine(bins: DataFrame, key: str, freq="15min", keys: DataFrame | None
     spans = link_spans(bins, *by, key)
     rows = spans.select(*by, key)
     rows = rows if keys is None else rows.join(keys, [*by, key], "left")
+    found = materialize(islands(spans, freq, by), "islands")      # a row per island, read for spine and bins
     layout = F.col("_layout")
-    spine = _with_layout(rows, spans, freq, by).select(*rows.columns, F.posexplode(_bins_of(layout, freq)).alias(POSITION, "bin_ts"))
-    known = _with_layout(bins, spans, freq, by).withColumn(POSITION, position_in(layout, "bin_ts", freq).cast("int"))
+    spine = _with_layout(rows, found, by).select(*rows.columns, F.posexplode(_bins_of(layout, freq)).alias(POSITION, "bin_ts"))
+    known = _with_layout(bins, found, by).withColumn(POSITION, position_in(layout, "bin_ts", freq).cast("int"))
     return spine, known.drop("_layout")
 
 

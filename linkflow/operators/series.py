@@ -51,12 +51,12 @@ def transform_cells(cells: DataFrame, profile: Profile, freq="15min", by: Sequen
         mean_of_total(F.sum("total"), F.sum("seen")).alias("x"),
         mean_of_total(F.sum(to_fixed("_pmean") * found.cast("decimal(19,0)")), F.sum(found)).alias("m"),
         F.sum("seen").alias("w"))
-    bins = materialize(bins, "series-bins")   # read by the spine, the spans and the known values
     scales = profile.scales.select(*link, "scale")
-    scaled = join_small(bins, scales, link, "left")
     away = F.col("x") - F.col("m")
+    scaled = join_small(bins, scales, link, "left")
     scaled = scaled.withColumn("z", F.try_divide(away, F.col("scale"))).withColumn(
         "dev", F.when(F.col("scale").isNotNull(), away)).drop("scale")
+    scaled = materialize(scaled, "series-bins")   # read by the spine, the spans and the known values
     spine, known = union_spine(scaled, "LinkRef", freq, keys=scales, by=by)
     around = carried(spine, known, link, POSITION, ["z", "dev", "m", "x", "w"])
     z, dev, m, x, w = (Carried(v, POSITION) for v in ("z", "dev", "m", "x", "w"))
