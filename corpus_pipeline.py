@@ -1,13 +1,17 @@
 """A training-data pipeline over ``documents``: five stages, each one operator of the llm subpackage.
 
-1. language ID: rows without a known language go;
+1. language ID: rows labelled ``und`` (null or empty text, no letter) or scored under 0.35 go;
 2. n-gram Jaccard join: one row of each class of near duplicates stays;
 3. secret scans: spans found are replaced by a mark;
 4. mixing: rows are repeated or dropped so that sources meet their target weights;
 5. BPE: the token ids of every row.
 
 Each stage takes (spark, docs, sf_dir) and works on all that its predecessor kept; all but
-the last return the columns of their input.
+the last return the columns of their input, whatever their names.
+
+Defined cases: null, empty and letterless texts go in stage 1; a null doc_id counts as larger
+than any other; rows of one doc_id and text count as one in stage 2; a null source is a source
+of its own in stage 4; a table without rows stays one.
 """
 
 from __future__ import annotations
