@@ -1,9 +1,9 @@
 """Route-link geometry: key, join, dissolve, end-to-end merge, GeoJSON features.
 
 Geometry travels as WKT text (coordinates already in the target reference system).
-Parsing and output use built-in expressions; only the merge of the few segments
-of one link is Python, per link group (``applyInPandas``), since a link has a
-handful of segments.
+Parsing, gathering by link and output use built-in expressions; only the merge of the few
+segments of one link is Python, over batches of links (``mapInArrow``), so a link costs
+no data frame of its own.
 
 Lines are joined wherever exactly two line ends meet; every part that is left is kept.
 The result does not depend on row order: equal segments (in either direction) count once,
@@ -16,7 +16,7 @@ from __future__ import annotations
 
 from collections import defaultdict
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -73,21 +73,25 @@ def merged_lines(lines: list[list[tuple]]) -> list[list[tuple]]:
     return sorted(found)
 
 
-def _merge_group(pdf: pd.DataFrame) -> pd.DataFrame:
-    lines = [[(p["x"], p["y"]) for p in line] for parts in pdf["lines"] if parts is not None for line in parts]
-    parts = merged_lines(lines)
-    kind = None if not parts else "LineString" if len(parts) == 1 else "MultiLineString"
-    return pd.DataFrame({"LinkRef": [pdf["LinkRef"].iloc[0]], "kind": [kind],
-                         "n_segments": [len(lines)], "n_parts": [len(parts)],
-                         "parts": [[[{"x": x, "y": y} for x, y in part] for part in parts]]})
+def _merge_links(batches):
+    """(LinkRef, kind, n_segments, n_parts, parts) of rows (LinkRef, lines), a batch of links at a time."""
+    points = pa.list_(pa.list_(pa.struct([("x", pa.float64()), ("y", pa.float64())])))
+    for b in batches:
+        lines = [[[(p["x"], p["y"]) for p in line] for line in link] for link in b.column(1).to_pylist()]
+        parts = [merged_lines(link) for link in lines]
+        kinds = [None if not found else "LineString" if len(found) == 1 else "MultiLineString" for found in parts]
+        yield pa.RecordBatch.from_arrays([
+            b.column(0), pa.array(kinds, pa.string()), pa.array([len(link) for link in lines], pa.int64()),
+            pa.array([len(found) for found in parts], pa.int64()), pa.array(parts, points)],
+            names=["LinkRef", "kind", "n_segments", "n_parts", "parts"])
 
 
 def merge_link_geometry(segments: DataFrame, link_dim: DataFrame) -> DataFrame:
     """Dissolve segments by stop link and merge them: (LinkRef, kind, n_segments, n_parts, parts)."""
     joined = segments_with_links(segments, link_dim).select(
-        F.col("StopPointLinkRef").alias("LinkRef"), line_parts("wkt").alias("lines"))
-    return joined.groupBy("LinkRef").applyInPandas(
-        _merge_group, f"LinkRef string, kind string, n_segments long, n_parts long, parts {PARTS}")
+        F.col("StopPointLinkRef").cast("string").alias("LinkRef"), line_parts("wkt").alias("lines"))
+    links = joined.groupBy("LinkRef").agg(F.flatten(F.collect_list("lines")).alias("lines"))   # segments without a line add nothing
+    return links.mapInArrow(_merge_links, f"LinkRef string, kind string, n_segments long, n_parts long, parts {PARTS}")
 
 
 def geometry_wkt(parts="parts") -> Column:

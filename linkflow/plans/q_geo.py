@@ -20,10 +20,10 @@ from .registry import ORACLE, query
 
 def segment_layer(spark, sf_dir):
     """(segments, link dimension); points of link (s, l) are (s, l), (s + 0.25, l + 0.5), (s + 0.5, l)."""
-    pairs = Tables(spark, sf_dir).raw("lineitem").select(
+    pairs = Tables(spark, sf_dir).raw("lineitem").select("l_suppkey", "l_linenumber").distinct().select(
         F.col("l_suppkey").cast("double").alias("x"), F.col("l_linenumber").cast("double").alias("y"),
         F.concat_ws("-", "l_suppkey", "l_linenumber").alias("name"),
-        (F.col("l_linenumber") % 4).alias("shape")).distinct()
+        (F.col("l_linenumber") % 4).alias("shape"))
 
     def point(dx, dy):
         return F.concat_ws(" ", (F.col("x") + dx).cast("string"), (F.col("y") + dy).cast("string"))

@@ -35,6 +35,23 @@ def test_wkt_kinds_through_spark(spark):
     assert feature["none"] is None and len(json.loads(feature["link"])["geometry"]["coordinates"]) == 3
 
 
+def test_many_links_are_merged_in_batches(spark):
+    """Links go through Python in batches, not as a group each; repeated and null links are as in the groups."""
+    n = 3000
+    rows = [(f"{i}a", f"{i}m", f"LINESTRING ({i} 0, {i} 1)") for i in range(n)] + [(f"{i}m", f"{i}z", f"LINESTRING ({i} 2, {i} 1)") for i in range(n)]
+    rows += [("0m", "0z", "LINESTRING (0 2, 0 1)"), ("p", "q", "LINESTRING (5 5, 6 6)")]
+    dim = [(f"{f}:{t}", f"{f[:-1]}") for f, t, _ in rows[:2 * n]] + [("p:q", None)]
+    merged = geo.merge_link_geometry(spark.createDataFrame(rows, "TripPointF string, TripPointT string, wkt string").repartition(5),
+                                     spark.createDataFrame(dim, "PointLinkRef string, StopPointLinkRef string"))
+    plan = merged._jdf.queryExecution().executedPlan().toString()
+    assert "MapInArrow" in plan and "FlatMapGroups" not in plan
+    got = {r.LinkRef: r for r in merged.withColumn("wkt", geo.geometry_wkt()).collect()}
+    assert len(got) == n + 1 and got["0"].n_segments == 3 and got[None].wkt == "LINESTRING (5.0 5.0, 6.0 6.0)"
+    for i in range(1, n):
+        assert (got[str(i)].kind, got[str(i)].n_segments, got[str(i)].n_parts) == ("LineString", 2, 1)
+        assert got[str(i)].wkt == f"LINESTRING ({i}.0 0.0, {i}.0 1.0, {i}.0 2.0)"
+
+
 def test_point_features(spark):
     points = spark.createDataFrame([(7, "POINT (1.5 -2)")], "id int, Geography string")
     got = json.loads(geo.point_features(points).first().feature)
