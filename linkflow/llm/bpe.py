@@ -35,7 +35,7 @@ TOKENIZER = "byte_bpe_50k.json"
 RANKS = "byte_bpe_50k.tiktoken"   # the same vocabulary as ranks
 CHUNK_BITS = 8                # a chunk ends at a byte with probability 2**-CHUNK_BITS
 ROLL_BYTES = 16               # bytes under the rolling hash
-SLICE_MB = 8                  # MB of text worked on at once
+SLICE_MB = 1                  # MB of text worked on at once (about 25 bytes of memory a byte)
 CACHE_BYTES = 32 << 20        # pieces kept from slice to slice; the cache is emptied beyond
 CACHE_JOINS = 100_000         # pairs of words at joins, likewise
 BYTE_LEVEL = {"type": "ByteLevel", "add_prefix_space": False, "use_regex": True}

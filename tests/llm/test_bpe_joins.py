@@ -39,6 +39,19 @@ def test_cuts_that_do_not_agree_are_joined(coder, monkeypatch):
     assert all(after < before for before, after in dropped)
 
 
+def test_slices_are_small(coder, monkeypatch):
+    """A worker holds a megabyte of text at a time, however large the batch; the ids are the library's."""
+    sizes = []
+    bounds = bpe.piece_bounds
+    monkeypatch.setattr(bpe, "piece_bounds", lambda data, starts, bits: sizes.append(len(data)) or bounds(data, starts, bits))
+    words = [f"word{i} number {i * i} stands here" for i in range(2000)]
+    column = pa.array([" ".join(words[i % 7::7]) for i in range(300)])
+    found = [ids[a:b].tolist() for ids, first in bpe.token_slices(column, coder) for a, b in zip(first, first[1:])]
+    assert sum(sizes) > 2 << 20 and max(sizes) <= 1 << 20
+    assert found[:7] == [coder.tokenizer.encode(t, add_special_tokens=False).ids for t in column.to_pylist()[:7]]
+    assert found[7:] == found[:-7]
+
+
 def test_agreement(coder):
     assert coder.agree(b" the", b" cat") and not coder.agree(b" th", b"e") and not coder.agree(b" do", b"n't")
 
