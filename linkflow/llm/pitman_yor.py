@@ -257,13 +257,14 @@ def samples(grams: DataFrame, burn_in: int = BURN_IN, kept: int = SAMPLES):
         rows[level - 1] = materialize(fewer.select("key", "c", F.least("c", F.lit(1)).cast("long").alias("t")), "grams")
     discount = discounts(rows)
 
-    def down(rows):
+    def down(rows, used):
         state = {}
         for level in range(1, ORDER + 1):
-            state[level] = materialize(_predicted(rows[level], state.get(level - 1), level, discount[level]), "predicted")
+            found = _predicted(rows[level], state.get(level - 1), level, discount[level])
+            state[level] = materialize(found if used or level < ORDER else found.drop("p"), "predicted")   # no level reads that p
         return state
 
-    state = down(rows)
+    state = down(rows, False)
     for sweep in range(burn_in + kept):
         rows = {}
         for level in range(ORDER, 0, -1):
@@ -272,7 +273,7 @@ def samples(grams: DataFrame, burn_in: int = BURN_IN, kept: int = SAMPLES):
                 old = old.drop("c").join(_customers(rows[level + 1], level + 1), "key")
             rows[level] = materialize(old.select("key", "c", "t", "whole", "parent").mapInArrow(
                 _reseat(level, sweep, discount[level]), "key long, c long, t long"), "seated")
-        state = down(rows)
+        state = down(rows, sweep >= burn_in)
         if sweep >= burn_in:
             yield state, discount
 
@@ -381,8 +382,8 @@ def score_texts(docs: DataFrame, out: Column | None = None) -> DataFrame:
         grams.select("kind", "bucket", "key").join(mean.withColumnRenamed("p", "value"), "key"))
     asked = values.select("kind", "bucket", F.lit(-1).alias("slab"), "key", "value", F.lit(None).cast("binary").alias("keys")).unionByName(
         entries.select("kind", "bucket", "slab", F.lit(0).cast("long").alias("key"), F.lit(0.0).alias("value"), "keys"))
-    answers = materialize(asked.repartition(slabs, "kind", "bucket").sortWithinPartitions("kind", "bucket", "slab")
-                          .mapInArrow(_answers, "slab int, side int, kind int, keys binary, values binary"), "answers")
+    answers = (asked.repartition(slabs, "kind", "bucket").sortWithinPartitions("kind", "bucket", "slab")   # read once, so not written first
+               .mapInArrow(_answers, "slab int, side int, kind int, keys binary, values binary"))
     none = F.lit(None)
     sides = answers.select("slab", "side", "kind", "keys", "values", none.cast("long").alias("doc_id"), none.cast("boolean").alias("held_out"),
                            none.cast("string").alias("text")).unionByName(

@@ -118,6 +118,17 @@ def test_better_than_the_base_on_held_out_texts(spark):
     assert got and sum(r.score for r in got) > sum(r.base_score for r in got)
 
 
+def test_nothing_is_written_that_is_not_read_again(spark, monkeypatch):
+    """Answers go straight to their slabs, and of the longest grams only the kept sweeps' probabilities are written."""
+    tables = []
+    monkeypatch.setattr(py, "materialize", lambda df, name="table", f=py.materialize: tables.append((name, df.columns)) or f(df, name))
+    assert py.score_texts(documents(spark, rows_of())).count() == len(rows_of())
+    assert "answers" not in [name for name, _ in tables]
+    predicted = [columns for name, columns in tables if name == "predicted"]
+    assert len(predicted) == py.ORDER * (1 + py.BURN_IN + py.SAMPLES)
+    assert ["p" in columns for columns in predicted[py.ORDER - 1::py.ORDER]] == [False] * (1 + py.BURN_IN) + [True] * py.SAMPLES
+
+
 def test_no_rows_and_no_training_rows(spark):
     assert py.score_texts(documents(spark, [(1, "a")]).limit(0)).collect() == []
     out = next(i for i in range(100) if held_out(i))
