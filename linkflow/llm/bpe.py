@@ -30,6 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from linkflow.llm.words import SLICE_BYTES, slices, text_buffers
+from linkflow.llm.workers import map_batches
 
 TOKENIZER = "byte_bpe_50k.json"
 RANKS = "byte_bpe_50k.tiktoken"   # the same vocabulary as ranks
@@ -258,7 +259,8 @@ def encode_documents(docs: DataFrame, tokenizer: str = TOKENIZER, ranks: str = R
                 [b.column(0), pa.array(n_tok, pa.int64()), pa.array(ids_sha, pa.string()), pa.array(text_sha, pa.string())],
                 names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, SCHEMA)
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    return map_batches(rows, run, SCHEMA)
 
 
 def tokenized_documents(docs: DataFrame, tokenizer: str = TOKENIZER, ranks: str = RANKS, bits: int = CHUNK_BITS) -> DataFrame:
@@ -275,5 +277,5 @@ def tokenized_documents(docs: DataFrame, tokenizer: str = TOKENIZER, ranks: str
                     names=["doc_id", "n_tokens", "ids"])
                 row += n
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(
-        run, "doc_id long, n_tokens long, ids array<int>")
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    return map_batches(rows, run, "doc_id long, n_tokens long, ids array<int>")

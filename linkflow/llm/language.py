@@ -27,6 +27,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from linkflow.llm.words import slices, text_buffers
+from linkflow.llm.workers import map_batches
 
 HIDDEN = 8
 STEP, CONTEXT = 256, 16
@@ -246,8 +247,8 @@ def label_documents(docs: DataFrame, model=None) -> DataFrame:
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(labels, pa.string()), pa.array(scores, pa.float64())],
                                              names=["doc_id", "held_out", "lang_pred", "score"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), held_out().alias("held_out"), F.col("text").cast("string").alias("text")).mapInArrow(
-        run, "doc_id long, held_out boolean, lang_pred string, score double")
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), held_out().alias("held_out"), F.col("text").cast("string").alias("text"))
+    return map_batches(rows, run, "doc_id long, held_out boolean, lang_pred string, score double")
 
 
 def known_language(docs: DataFrame, least: float = 0.35, model=None) -> DataFrame:
@@ -260,4 +261,4 @@ def known_language(docs: DataFrame, least: float = 0.35, model=None) -> DataFram
             labels, scores = predict(b.column(at).cast(pa.string()), model)
             yield b.filter(pa.array([lab != UNKNOWN and s >= least for lab, s in zip(labels, scores)], pa.bool_()))
 
-    return docs.mapInArrow(run, docs.schema)
+    return map_batches(docs, run, docs.schema)

@@ -41,6 +41,7 @@ from pyspark.sql.window import Window
 
 from linkflow.llm.components import connected_components
 from linkflow.llm.words import mix64, shingles, slices, text_buffers, word_table
+from linkflow.llm.workers import map_batches
 from linkflow.session import materialize
 
 THRESHOLD = 0.8
@@ -121,7 +122,7 @@ def _signed(docs: DataFrame, trees: int, depth: int) -> DataFrame:
                     pa.ListArray.from_arrays(pa.array(np.arange(0, n + 1, trees), pa.int32()), cells)],
                     names=["doc_id", "th", "g", "size", "labels"])
 
-    return docs.mapInArrow(run, "doc_id long, th long, g binary, size long, labels array<binary>")
+    return map_batches(docs, run, "doc_id long, th long, g binary, size long, labels array<binary>")
 
 
 LINK, FIRST, LAST = range(3)
@@ -164,8 +165,8 @@ def _neighbours(depth: int):
 def candidate_links(reps: DataFrame, depth: int) -> DataFrame:
     """(a, b): neighbours in some sorted tree that share ``depth`` values; ``reps`` is (g, labels)."""
     nodes = reps.select(F.posexplode("labels").alias("tree", "label"), "g")
-    found = materialize(nodes.repartitionByRange("tree", "label", "g").sortWithinPartitions("tree", "label", "g")
-                        .mapInArrow(_neighbours(depth), "kind int, part int, tree int, label binary, a binary, b binary"), "forest")
+    found = materialize(map_batches(nodes.repartitionByRange("tree", "label", "g").sortWithinPartitions("tree", "label", "g"),
+                                    _neighbours(depth), "kind int, part int, tree int, label binary, a binary, b binary"), "forest")
     prefix = F.substring("label", 1, VALUE_BYTES * depth)
     along = Window.orderBy("part", "kind")                      # two rows a partition: its first and its last
     edges = found.where(F.col("kind") != LINK).withColumn("prefix", prefix)
@@ -189,7 +190,7 @@ def _sets(docs: DataFrame) -> DataFrame:
                     names=["sh" if n == "text" else n for n in b.schema.names])
 
     kept = ", ".join(f"{f.name} {f.dataType.simpleString()}" if f.name != "text" else "sh binary" for f in docs.schema)
-    return docs.mapInArrow(run, kept)
+    return map_batches(docs, run, kept)
 
 
 def _similar(left: int, ids: np.ndarray, off: np.ndarray, size: np.ndarray, mark: np.ndarray) -> np.ndarray:
@@ -382,13 +383,13 @@ def _verified(rows: DataFrame, groups: DataFrame, threshold: float) -> tuple[Dat
 
     alone = sets(active).repartition("root", "block").sortWithinPartitions("root", "block", "g").select(
         "root", "block", F.lit(0).alias("side"), "g", "copies", F.lit(None).cast("binary").alias("group"), "sh")
-    inside = materialize(alone.mapInArrow(_inside(threshold), "g binary, group binary, n long"), "inside")
+    inside = materialize(map_batches(alone, _inside(threshold), "g binary, group binary, n long"), "inside")
     other = F.explode(F.filter(F.sequence(F.lit(0), F.col("blocks") - 1), lambda o: o != F.col("block")))
     pairs = (sets(active.where("blocks > 1").join(inside.select("g", "group"), "g")).withColumn("other", other)
              .select("root", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"),
                      F.when(F.col("block") < F.col("other"), 0).otherwise(1).alias("side"), "g", "copies", "group", "sh"))
-    across = materialize(pairs.repartition("root", "i", "j").sortWithinPartitions("root", "i", "j", "side", "g")
-                         .mapInArrow(_across(threshold), "a binary, b binary, n long"), "across")
+    across = materialize(map_batches(pairs.repartition("root", "i", "j").sortWithinPartitions("root", "i", "j", "side", "g"),
+                                     _across(threshold), "a binary, b binary, n long"), "across")
     joined = connected_components(across.where("b is not null").select("a", "b"))
     counts = inside.select("g", "n").unionByName(across.where("b is null").select(F.col("a").alias("g"), "n"))
     classes = inside.select("g", "group").join(joined.withColumnRenamed("node", "group"), "group", "left").select(
